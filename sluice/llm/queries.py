@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from sluice.llm.mixing import op8_mixing
 from sluice.llm.secrets import op10_secrets
 
 QUERIES = {
+    "op8_mixing": op8_mixing,
     "op10_secrets": op10_secrets,
 }
 
