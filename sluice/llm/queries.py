@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from sluice.llm.jaccard import op1_jaccard_join
 from sluice.llm.mixing import op8_mixing
 from sluice.llm.quality_rules import op2_quality_rules
 from sluice.llm.secrets import op10_secrets
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op8_mixing": op8_mixing,
     "op10_secrets": op10_secrets,
