@@ -6,8 +6,10 @@ from sluice.llm.jaccard import op1_jaccard_join
 from sluice.llm.mixing import op8_mixing
 from sluice.llm.quality_rules import op2_quality_rules
 from sluice.llm.secrets import op10_secrets
+from sluice.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op8_mixing": op8_mixing,
