@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from sluice.llm.shared import documents, labels, lowered, prefix_hash, span_hash, utf8, word_spans
 
 #: Hash buckets of words, the most labelled rows that the models are fitted on, and folds.
-BUCKETS, MAX_TRAIN, FOLDS, RIDGE = 1 << 18, 20_000, 4, 0.2
+BUCKETS, MAX_TRAIN, FOLDS, RIDGE = 1 << 18, 20_000, 4, 0.02
 #: A word is fitted if it is in so many documents at least and its share of those with some label
 #: exceeds its share of the others by so many standard errors (with 2**18 buckets, few pass by
 #: chance), and half of the documents with it have the label.
@@ -95,7 +95,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: Rows, y: np.ndarray, ridge: float = RIDGE, rounds: int = 80, memory: int = 8) -> np.ndarray:
+def fit_logistic(x: Rows, y: np.ndarray, ridge: float = RIDGE, rounds: int = 200, memory: int = 8) -> np.ndarray:
     """Weights of a ridge logistic regression (the last dense column, a constant, is free of the penalty), by L-BFGS."""
     penalty = np.full(x.width + x.dense.shape[1], ridge)
     penalty[-1] = 1e-6
