@@ -5,12 +5,14 @@ from __future__ import annotations
 from sluice.llm.jaccard import op1_jaccard_join
 from sluice.llm.media import op5_media
 from sluice.llm.mixing import op8_mixing
+from sluice.llm.packing import op7_packing
 from sluice.llm.quality_model import op6_quality
 from sluice.llm.quality_rules import op2_quality_rules
 from sluice.llm.secrets import op10_secrets
 from sluice.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op7_packing": op7_packing,
     "op6_quality": op6_quality,
     "op5_media": op5_media,
     "op4_toxicity": op4_toxicity,
