@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sluice.llm.jaccard import op1_jaccard_join
+from sluice.llm.language_model import op9_lm_scoring
 from sluice.llm.media import op5_media
 from sluice.llm.mixing import op8_mixing
 from sluice.llm.packing import op7_packing
@@ -12,6 +13,7 @@ from sluice.llm.secrets import op10_secrets
 from sluice.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op9_lm_scoring": op9_lm_scoring,
     "op7_packing": op7_packing,
     "op6_quality": op6_quality,
     "op5_media": op5_media,
