@@ -10,9 +10,11 @@ from sluice.llm.packing import op7_packing
 from sluice.llm.quality_model import op6_quality
 from sluice.llm.quality_rules import op2_quality_rules
 from sluice.llm.secrets import op10_secrets
+from sluice.llm.suffix_dedup import op3_suffix_dedup
 from sluice.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op7_packing": op7_packing,
     "op6_quality": op6_quality,
