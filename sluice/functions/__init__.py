@@ -1 +1 @@
-
+"""Column functions: confusion statistics, intervals, text and validator predicates."""

@@ -1 +1 @@
-
+"""Operators over corpora, decisions, scores, votes, vectors and resamples."""

@@ -1 +1,57 @@
+"""Readers and writers: tables, JSON documents and trees, scope directories, ledgers, reports."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON file (or files) that is one array of records."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def json_map(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
+    """(pos, key, value) of JSON files that are one object each, in the order of their keys in the file."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.posexplode(F.map_entries(F.from_json("value", f"map<string,{value_schema}>"))).alias("pos", "e")).select(F.col("pos").cast("long"), "e.key", "e.value")
+
+
+def json_tree(spark: SparkSession, path_glob: str, schema: str) -> DataFrame:
+    """Records of many JSON files; unreadable files and records are skipped."""
+    kind = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
+    read = spark.read.schema(kind).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path_glob)
+    return read.where("_corrupt is null").drop("_corrupt")
+
+
+def scope_directories(spark: SparkSession, path_glob: str) -> DataFrame:
+    """A row per governed directory: scope, files, canon, vocab, readme, claims_json."""
+    read = spark.read.option("wholetext", True).text(path_glob).select("value", F.col("_metadata.file_path").alias("path"))
+    named = read.select("value", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("scope"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    only = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    return named.groupBy("scope").agg(
+        F.array_sort(F.collect_set("name")).alias("files"),
+        only("CANON.md").alias("canon"), only("VOCAB.md").alias("vocab"), only("README.md").alias("readme"), only("claims.json").alias("claims_json"),
+    )
+
+
+def commit_log(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, sha, committed_date) of `sha date` lines; lines of another form are skipped. pos follows the file."""
+    lines = spark.read.text(path).select(F.split("value", " ").alias("p"), F.monotonically_increasing_id().alias("pos")).where(F.size("p") == 2)
+    return lines.select("pos", F.col("p")[0].alias("sha"), F.col("p")[1].alias("committed_date"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A report table of at most `most` rows as Markdown."""
+    rows = df.limit(most).collect()
+    head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
+    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
