@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from sluice.llm.shared import chunks, documents, materialize, prefix_hash, span_
 LENGTH, GRAM = 50, 12
 #: Text bytes whose suffixes one range holds, by which the number of ranges grows with the input, and
 #: those that a task gathers before it sends them on.
-RANGE_BYTES, FLUSH_BYTES = 12 << 20, 6 << 20
+RANGE_BYTES, FLUSH_BYTES = 6 << 20, 6 << 20
 #: Bits of the bitmap that tells most documents without a repeat; a fixed size.
 BITMAP = 1 << 23
 #: Bytes whose suffixes are sorted at once, if groups allow.
@@ -79,12 +80,12 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     return order, np.cumsum(new) - 1
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first and last own window start, hash) of each anchor of the windows inside documents."""
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(document, first and last own window start, place, hash) of each anchor of the windows inside documents."""
     n, width = len(raw), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     prefix = prefix_hash(raw)
     at = np.arange(n - gram + 1)
     hashes = span_hash(prefix, at, at + gram)
@@ -101,10 +102,10 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     inside = starts + length <= offsets[doc + 1]
     starts, doc, anchor = starts[inside], doc[inside], (least[inside] & np.uint64((1 << bits) - 1)).astype(np.int64)
     if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
     last = np.append(first[1:], len(starts)) - 1
-    return doc[first], starts[first], starts[last], hashes[anchor[first]]
+    return doc[first], starts[first], starts[last], anchor[first], hashes[anchor[first]]
 
 
 def _packed(columns: dict[str, pa.Array]) -> bytes:
@@ -115,6 +116,30 @@ def _packed(columns: dict[str, pa.Array]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+#: Columns of a packed block of anchors: number of its bytes, place of the anchor in its windows' bytes,
+#: document's key (as differences), mark of its text, first window start.
+_BLOCK = {"size": "<u1", "place": "<u1", "id": "<i8", "mark": "<u2", "lo": "<i4"}
+
+
+def _pack_block(columns: dict[str, np.ndarray], flat: np.ndarray) -> bytes:
+    """Columns by byte planes, then the windows' bytes, compressed."""
+    columns = columns | {"id": np.diff(columns["id"], prepend=np.int64(0))}
+    planes = [columns[c].astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for c, kind in _BLOCK.items()]
+    return zstandard.compress(np.array([len(columns["id"]), len(flat)], "<i8").tobytes() + b"".join(planes) + flat.tobytes(), 3)
+
+
+def _unpack_block(data: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    raw = zstandard.decompress(data)
+    n, size = np.frombuffer(raw[:16], "<i8").tolist()
+    at, columns = 16, {}
+    for c, kind in _BLOCK.items():
+        width = np.dtype(kind).itemsize
+        columns[c] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+        at += n * width
+    columns["id"] = np.cumsum(columns["id"])
+    return columns, np.frombuffer(raw, np.uint8, size, at)
+
+
 def _deal(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Anchors with their windows, gathered by range; texts that this task has had with a lesser id go as whole runs."""
     seen: dict[int, int] = {}
@@ -122,7 +147,7 @@ def _deal(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        hashes, ids, texts, los, lengths, bodies = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes, ids, texts, los, places, lengths, bodies = (np.concatenate(x) for x in zip(*held, strict=True))
         part = (hashes >> np.uint64(40)).astype(np.int64) % ranges
         ends = np.cumsum(lengths)
         order = np.argsort(part, kind="stable")
@@ -135,14 +160,7 @@ def _deal(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
             n = lengths[own]
             flat = bodies[np.repeat(ends[own] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             numbers.append(r)
-            data.append(
-                _packed(
-                    {
-                        "hash": pa.array(hashes[own].view(np.int64)), "id": pa.array(ids[own]), "text": pa.array(texts[own]), "lo": pa.array(los[own]),
-                        "body": pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.py_buffer(flat)]),
-                    }
-                )
-            )
+            data.append(_pack_block({"size": n, "place": places[own], "id": ids[own], "mark": texts[own], "lo": los[own]}, flat))
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["range", "data"])
 
     for whole in batches:
@@ -159,18 +177,18 @@ def _deal(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
                 else:
                     seen[t] = i
             if whole_runs:
-                columns = (ids[whole_runs], texts[whole_runs], np.zeros(len(whole_runs), np.int64), sizes[whole_runs])
-                data = _packed(dict(zip(("id", "hash", "a", "z"), map(pa.array, columns), strict=True)))
+                columns = (ids[whole_runs], _mark(texts[whole_runs]), np.zeros(len(whole_runs), np.int64), sizes[whole_runs])
+                data = _packed(dict(zip(("id", "mark", "a", "z"), map(pa.array, columns), strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array([ranges + int(ids[whole_runs[0]]) % ranges], pa.int32()), pa.array([data], pa.binary())], ["range", "data"])
             batch = batch.filter(pa.array(keep))
             ids, texts = ids[keep], texts[keep]
             raw, offsets = utf8(batch.column(2))
-            doc, lo, hi, hashes = anchors(raw, offsets)
+            doc, lo, hi, anchor, hashes = anchors(raw, offsets)
             if not len(doc):
                 continue
             lengths = hi - lo + LENGTH
             bodies = raw[np.repeat(lo - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
-            held.append((hashes, ids[doc], texts[doc], lo - offsets[doc], lengths, bodies))
+            held.append((hashes, ids[doc], _mark(texts[doc]), lo - offsets[doc], anchor - lo, lengths, bodies))
             size += len(raw)
             if size >= FLUSH_BYTES:
                 yield from out()
@@ -212,16 +230,25 @@ def _least_ids(group: np.ndarray, ids: np.ndarray, bodies: list[np.ndarray], win
     return out
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Runs of window starts that a document with a lesser id has too."""
     for packed in by_group(batches, ["range"]):
-        table = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("data")]).combine_chunks()
-        if "z" in table.schema.names:
-            yield from table.to_batches()
+        data = packed.column("data")
+        if packed.column("range")[0].as_py() >= ranges:
+            yield from pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in data]).to_batches()
             continue
-        hashes, ids, texts, lo = (table.column(c).to_numpy() for c in ("hash", "id", "text", "lo"))
-        raw, offsets = _binary(table.column("body"))
-        bodies = span_hash(prefix_hash(raw), offsets[:-1], offsets[1:])
+        blocks = [_unpack_block(x.as_buffer()) for x in data]
+        ids, marks, lo, places, sizes = (np.concatenate([b[0][c] for b in blocks]).astype(np.int64) for c in ("id", "mark", "lo", "place", "size"))
+        raw = np.concatenate([b[1] for b in blocks])
+        del blocks, data
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        hashes, bodies = np.empty(len(ids), np.uint64), np.empty(len(ids), np.uint64)
+        for a in range(0, len(ids), 1 << 14):
+            own = slice(a, min(len(ids), a + (1 << 14)))
+            begin, end = offsets[own] - offsets[a], offsets[own.start + 1 : own.stop + 1] - offsets[a]
+            prefix = prefix_hash(raw[offsets[a] : offsets[own.stop]])
+            bodies[own] = span_hash(prefix, begin, end)
+            hashes[own] = span_hash(prefix, begin + places[own], begin + places[own] + GRAM)
         order = np.lexsort((ids, bodies, hashes))
         h, i, body = hashes[order], ids[order], bodies[order]
         new_anchor = np.concatenate(([True], h[1:] != h[:-1]))
@@ -253,17 +280,13 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stops = np.append(starts[1:], len(row)) - 1
             r = order[own][row[starts]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[r]), pa.array(texts[r]), pa.array(lo[r] + inside[starts]), pa.array(lo[r] + inside[stops] + LENGTH)], ["id", "hash", "a", "z"]
+                [pa.array(ids[r]), pa.array(marks[r]), pa.array(lo[r] + inside[starts]), pa.array(lo[r] + inside[stops] + LENGTH)], ["id", "mark", "a", "z"]
             )
 
 
-def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    array = column.combine_chunks()
-    if isinstance(array, pa.ChunkedArray):
-        array = pa.concat_arrays(array.chunks)
-    _, offsets, data = array.buffers()
-    at = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+def _mark(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of a text's hash."""
+    return (hashes.view(np.uint64) >> np.uint64(48)).astype(np.int64)
 
 
 def _union(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,15 +320,16 @@ def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, hash, a, z): byte ranges [a, z) of documents to be removed, written to the shared folder; they may overlap.
+    """(id, mark, a, z): byte ranges [a, z) of documents to be removed, written to the shared folder; they may overlap.
 
-    id: the key, null as the greatest number; hash: the text's 64-bit hash, which tells rows that repeat a key.
+    id: the key, null as the greatest number; mark: 16 bits of the text's hash,
+    which tell rows that repeat a key with another text.
     """
     rows = _keyed(docs, key, text)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-total // RANGE_BYTES))
     dealt = rows.mapInArrow(lambda it: _deal(it, ranges), "range int, data binary")
-    found = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_repeats, "id long, hash long, a long, z long")
+    found = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda it: _repeats(it, ranges), "id long, mark long, a long, z long")
     return materialize(found, "runs")
 
 
@@ -327,14 +351,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     results. An empty table stays empty; columns with these names are replaced, others pass through.
     """
     names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
-    rows = docs.drop(*names, "__id", "__hash")
+    rows = docs.drop(*names, "__id", "__mark")
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(int(_FAR))), "__hash": F.xxhash64(whole), "n_bytes": F.octet_length(whole).cast("long")})
+    rows = rows.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(int(_FAR))), "__mark": F.shiftrightunsigned(F.xxhash64(whole), 48), "n_bytes": F.octet_length(whole).cast("long")})
     runs = repeated_runs(docs, key, text)
-    listed = runs.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_list(F.struct("a", "z")).alias("__runs"))
+    listed = runs.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("a", "z")).alias("__runs"))
 
-    bit = F.pmod(F.xxhash64("__id", "__hash"), F.lit(BITMAP))
-    words = runs.select(F.pmod(F.xxhash64("id", "hash"), F.lit(BITMAP)).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    bit = F.pmod(F.xxhash64("__id", "__mark"), F.lit(BITMAP))
+    words = runs.select(F.pmod(F.xxhash64("id", "mark"), F.lit(BITMAP)).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)  # BITMAP bits, whatever the input
     bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -345,7 +369,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
 
     marked = rows.withColumn("__may", may_repeat(bit))
-    cut = marked.where("__may").join(listed.hint("merge"), ["__id", "__hash"], "left").withColumn("__cut", _cut(F.col(text), F.col("__runs")))
+    cut = marked.where("__may").join(listed.hint("merge"), ["__id", "__mark"], "left").withColumn("__cut", _cut(F.col(text), F.col("__runs")))
     cut = cut.select("*", *(F.col(f"__cut.{f.name}").alias(f.name) for f in _RESULT)).drop("__runs", "__cut", "__may")
     rest = marked.where("not __may").withColumns({"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": whole, "kept_sha256": F.sha2(whole, 256)}).drop("__may")
     return cut.unionByName(rest).select(*docs.drop(*names).columns, *names)
