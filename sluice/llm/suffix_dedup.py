@@ -1,6 +1,6 @@
 """Suffix-array dedup: repeated byte strings across documents, by difference-cover suffix sorting.
 
-Suffixes are dealt to tasks by a content-defined anchor: of the 16-grams of a 50-byte window, the
+Suffixes are dealt to tasks by a content-defined anchor: of the 20-grams of a 50-byte window, the
 one with the least hash. Equal windows have equal anchors at equal places, so windows that must be
 compared meet, and only an anchor's own windows travel. A task sorts the suffixes it got by the
 difference-cover algorithm (sort sampled triples, recurse on their names, merge the rest), and
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from sluice.llm.graph import by_group
 from sluice.llm.shared import chunks, documents, materialize, prefix_hash, span_hash, utf8
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 20
 #: Text bytes whose suffixes one range holds, by which the number of ranges grows with the input, and
 #: those that a task gathers before it sends them on.
 RANGE_BYTES, FLUSH_BYTES = 6 << 20, 6 << 20
@@ -60,12 +60,24 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     rank[sample] = names
     first = _pair(padded[:n], rank[1 : n + 1])  # of residues 0 and 1: entry, then a sampled suffix
     second = _pair(_pair(padded[:n], padded[1 : n + 1]), rank[2 : n + 2])  # of residues 0 and 2
-    zeros_first, zeros_second = np.sort(first[zero]), np.sort(second[zero])
-    ones, twos, samples = np.sort(first[one]), np.sort(second[two]), np.sort(names)
+    zeros_first, zeros_second, ones, twos, samples = (_sorted(x) for x in (first[zero], second[zero], first[one], second[two], names))
     out = np.empty(n, np.int64)
-    out[zero] = np.searchsorted(zeros_first, first[zero]) + np.searchsorted(ones, first[zero]) + np.searchsorted(twos, second[zero])
-    out[one] = np.searchsorted(samples, rank[one]) + np.searchsorted(zeros_first, first[one])
-    out[two] = np.searchsorted(samples, rank[two]) + np.searchsorted(zeros_second, second[two])
+    out[zero] = _below(zeros_first, zeros_first) + _below(zeros_first, ones) + _below(zeros_second, twos)
+    own = _below(samples, samples)
+    out[one] = own[: len(one)] + _below(ones, zeros_first)
+    out[two] = own[len(one) :] + _below(twos, zeros_second)
+    return out
+
+
+def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(values)
+    return values[order], order
+
+
+def _below(these: tuple[np.ndarray, np.ndarray], those: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each of these values, in their first order, how many of those are less; both come from _sorted."""
+    out = np.empty(len(these[0]), np.int64)
+    out[these[1]] = np.searchsorted(those[0], these[0])
     return out
 
 
