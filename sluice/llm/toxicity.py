@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from sluice.llm.shared import documents, labels, lowered, prefix_hash, span_hash, utf8, word_spans
 
 #: Hash buckets of words, the most labelled rows that the models are fitted on, and folds.
-BUCKETS, MAX_TRAIN, FOLDS, RIDGE = 1 << 18, 20_000, 4, 0.02
+BUCKETS, MAX_TRAIN, FOLDS, RIDGE = 1 << 18, 10_000, 4, 0.02
 #: A word is fitted if it is in so many documents at least and its share of those with some label
 #: exceeds its share of the others by so many standard errors (with 2**18 buckets, few pass by
 #: chance), and half of the documents with it have the label.
