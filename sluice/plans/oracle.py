@@ -53,19 +53,19 @@ anchored AS (
   FROM items i JOIN ledger l ON i.pos % 200 = l.pos CROSS JOIN lens),
 scopes AS (
   SELECT *, CASE WHEN NOT bare THEN 'inherits: /' || chr(10) || 'window_start: ' || w_start || chr(10) || 'window_end: ' || w_end || chr(10) || chr(10) || 'Governs '
-      || array_to_string(list_transform(used, t -> '[[' || t || ']]'), ' ') || CASE klass WHEN 'Gintro' THEN ' [[Unresolved]]' ELSE '' END || '.' || chr(10) END AS canon,
-    CASE WHEN NOT bare THEN '# VOCAB' || chr(10) || array_to_string(list_transform(used, t -> '- [[' || t || ']]: defined locally' || chr(10)), '') END AS vocab
+      || array_to_string(list_transform(used, lambda t: '[[' || t || ']]'), ' ') || CASE klass WHEN 'Gintro' THEN ' [[Unresolved]]' ELSE '' END || '.' || chr(10) END AS canon,
+    CASE WHEN NOT bare THEN '# VOCAB' || chr(10) || array_to_string(list_transform(used, lambda t: '- [[' || t || ']]: defined locally' || chr(10)), '') END AS vocab
   FROM anchored),
 parsed AS (
-  SELECT *, list_distinct(list_transform(regexp_extract_all(coalesce(canon, ''), '\[\[([^\]]+)\]\]', 1), t -> trim(t))) AS canon_terms,
-    list_distinct(list_transform(regexp_extract_all(coalesce(vocab, ''), '\[\[([^\]]+)\]\]', 1), t -> trim(t))) AS vocab_terms,
-    list_distinct(list_transform(regexp_extract_all(coalesce(vocab, ''), '(?m)^\s*[-*]\s*([^:]+?)\s*:\s*\S', 1), t -> replace(replace(t, '[[', ''), ']]', ''))) AS defs,
+  SELECT *, list_distinct(list_transform(regexp_extract_all(coalesce(canon, ''), '\[\[([^\]]+)\]\]', 1), lambda t: trim(t))) AS canon_terms,
+    list_distinct(list_transform(regexp_extract_all(coalesce(vocab, ''), '\[\[([^\]]+)\]\]', 1), lambda t: trim(t))) AS vocab_terms,
+    list_distinct(list_transform(regexp_extract_all(coalesce(vocab, ''), '(?m)^\s*[-*]\s*([^:]+?)\s*:\s*\S', 1), lambda t: replace(replace(t, '[[', ''), ']]', ''))) AS defs,
     nullif(regexp_extract(coalesce(canon, ''), '(?m)^window_start:\s*(.+)$', 1), '') AS ws, nullif(regexp_extract(coalesce(canon, ''), '(?m)^window_end:\s*(.+)$', 1), '') AS we
   FROM scopes),
 flags AS (
   SELECT *, NOT bare AS triad_ok, coalesce(regexp_extract(canon, '(?m)^inherits:\s*(.+)$', 1) LIKE '/%', FALSE) AS inheritance_ok,
-    len(list_filter(list_concat(canon_terms, vocab_terms), t -> NOT list_contains(defs, t))) = 0 AS introspection_ok,
-    bare OR len(list_filter(used, t -> NOT list_contains(defs, t))) = 0 AS gate_vocab_ok,
+    len(list_filter(list_concat(canon_terms, vocab_terms), lambda t: NOT list_contains(defs, t))) = 0 AS introspection_ok,
+    bare OR len(list_filter(used, lambda t: NOT list_contains(defs, t))) = 0 AS gate_vocab_ok,
     bare OR cites IN (SELECT sha FROM ledger) AS gate_evidence_ok,
     bare OR coalesce(ws <= committed_date AND committed_date <= we, FALSE) AS gate_scope_ok
   FROM parsed)"""
