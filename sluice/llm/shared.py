@@ -45,19 +45,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    path = df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else None
-    if path and path.startswith(shared_dir(spark).replace("file:///", "file:///")):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, n + 1 of each at least."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES * 2)
+        size = max(n + 1, 1 << 18)
         base, inverse = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
         base[0] = inverse[0] = 1
         _powers[:] = np.multiply.accumulate(base), np.multiply.accumulate(inverse)

@@ -176,7 +176,7 @@ def _deal(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["range", "data"])
 
     for whole in batches:
-        for batch in chunks(whole):
+        for batch in chunks(whole, most=1 << 19):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sizes = np.diff(utf8(batch.column(2))[1])
             keep = np.ones(len(ids), bool)
