@@ -43,7 +43,8 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     centre, scale = p + z * z / (2 * n), 1 + z * z / n
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     lo, hi = (centre - half) / scale, (centre + half) / scale
-    return F.coalesce(F.round(F.greatest(F.lit(0.0), lo), 3), F.lit(0.0)), F.coalesce(F.round(F.least(F.lit(1.0), hi), 3), F.lit(0.0))
+    known = lambda x: F.when(n.isNull(), 0.0).otherwise(F.round(x, 3))
+    return known(F.greatest(F.lit(0.0), lo)), known(F.least(F.lit(1.0), hi))
 
 
 def lgamma(x: Column) -> Column:

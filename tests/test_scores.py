@@ -1,0 +1,107 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.functions import metrics as M
+from sluice.operators import resample as R
+from sluice.operators import retrieval as V
+from sluice.operators import thresholds as TH
+
+
+def frame(spark, scores, gt):
+    return spark.createDataFrame([(k, None if s is None else float(s), g) for k, (s, g) in enumerate(zip(scores, gt, strict=True))], "pos long, score double, gt_slop boolean")
+
+
+def brute_threshold(scores, gt):
+    best = None
+    for t in scores:
+        if t is None or math.isnan(t):
+            continue
+        own = [(s, g) for s, g in zip(scores, gt, strict=True) if s is not None and not math.isnan(s)]
+        tp, fp, fn = sum(s <= t and g for s, g in own), sum(s <= t and not g for s, g in own), sum(s > t and g for s, g in own)
+        f1 = math.floor(2 * tp / max(1, 2 * tp + fp + fn) * 1000 + 0.5) / 1000
+        if best is None or f1 > best[1]:
+            best = (t, f1)
+    return best
+
+
+@pytest.mark.parametrize(
+    ("scores", "gt", "want"),
+    [([1.0, 2, 3, 4], [1, 1, 0, 0], (2, 1.0)), ([1.0, 2, 3, 4], [1, 0, 0, 1], (1, 0.667)), ([4.0, 1, 2, 3], [1, 1, 0, 0], (4, 0.667)), ([0.12345, 0.5], [1, 0], (0.123, 1.0))],
+)
+def test_threshold_goldens(spark, scores, gt, want):
+    row = TH.best_threshold(frame(spark, scores, [bool(g) for g in gt])).first()
+    assert (row["threshold"], row["f1"]) == want
+
+
+def test_threshold_and_auc_match_brute_force(spark):
+    rng = random.Random(3)
+    for _ in range(4):
+        n = rng.randint(5, 60)
+        scores = [rng.choice([None, float("nan"), rng.randint(0, 9) / 4, rng.random() * 3]) for _ in range(n)]
+        gt = [rng.random() < 0.4 for _ in range(n)]
+        df = frame(spark, scores, gt)
+        want = brute_threshold(scores, gt)
+        got = TH.best_threshold(df).first()
+        if want:
+            assert got["f1"] == want[1] and got["threshold"] == pytest.approx(want[0], abs=6e-4)
+        own = [(s, g) for s, g in zip(scores, gt, strict=True) if s is not None and not math.isnan(s)]
+        pairs = [(a, b) for a, x in own for b, y in own if x and not y]
+        auc = TH.roc_auc(df).first()["auc"]
+        if pairs:
+            assert auc == pytest.approx(sum(1.0 if a < b else 0.5 if a == b else 0 for a, b in pairs) / len(pairs), abs=6e-4)
+
+
+def test_auc_golden(spark):
+    assert TH.roc_auc(frame(spark, [1.0, 2, 2, 3], [True, False, True, False])).first()["auc"] == 0.875
+
+
+def test_lcg(spark):
+    states = [r["state"] for r in R.lcg_states(spark, 3000).orderBy("g").collect()]
+    s, want = R.SEED, []
+    for _ in range(3000):
+        s = (R.A * s + R.C) & 0x7FFFFFFF
+        want.append(s)
+    assert states == want
+    assert want[:6] == [1406932606, 654583775, 1449466924, 229283573, 1109335178, 1051550459]
+
+
+def test_bootstrap_matches_naive_draws(spark):
+    rng = random.Random(5)
+    cells = [[rng.randint(0, 4) for _ in range(4)] for _ in range(7)]
+    blocks = spark.createDataFrame([("x", k, *c) for k, c in enumerate(cells)], "arm string, block long, tp long, fp long, fn long, tn long")
+    got = R.bootstrap(spark, blocks, M.phi, iters=200).first()
+    s, values = R.SEED, []
+    for _ in range(200):
+        total = np.zeros(4)
+        for _ in range(7):
+            s = (R.A * s + R.C) & 0x7FFFFFFF
+            total += cells[s % 7]
+        tp, fp, fn, tn = total
+        m = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+        values.append(0.0 if m == 0 else (tp * tn - fp * fn) / math.sqrt(m))
+    values.sort()
+    assert (got["lo"], got["hi"]) == pytest.approx((values[5], values[195]), abs=6e-4)
+
+
+def test_exact_tail(spark):
+    cells = spark.createDataFrame([("T", 86, 94, 87, 93, 360)], "arm string, tp long, fp long, fn long, tn long, n long")
+    assert R.exact_f1_tail(cells).first()["p"] == pytest.approx(0.583529, abs=1e-6)
+
+
+def test_lgamma(spark):
+    xs = [1.0, 2.5, 10.0, 1234.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(M.lgamma(F.col("x"))).collect()
+    assert [r[0] for r in got] == pytest.approx([math.lgamma(x) for x in xs], abs=1e-9)
+
+
+def test_retrieval_ties_and_short_corpus(spark):
+    queries = spark.createDataFrame([(0, [1.0, 0.0], "a")], "q long, vector array<float>, q_source string")
+    corpus = spark.createDataFrame([(3, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, [0.0, 1.0], None)], "pos long, vector array<float>, source string")
+    sims = V.similarities(queries, corpus)
+    assert [(r["pos"], r["rank"]) for r in V.top_k(sims, 2).orderBy("rank").collect()] == [(1, 1), (3, 2)]
+    assert [r["pos"] for r in V.top_k(V.similarities(queries, corpus, True), 5).orderBy("rank").collect()] == [1, 2]
+    assert tuple(V.grounding(sims).first())[1:] == (1.0, 0.4)
