@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.graph import by_group, components
-from sluice.llm.shared import chunks, documents, materialize, mix, word_hashes
+from sluice.llm.shared import chunks, documents, materialize, mix, small_batches, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Chance at most that a pair of exactly the least similarity shares no band, and the rows of a band.
@@ -159,6 +159,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     have a null class and no links. Rows that repeat a key are repeated; with different texts they
     share one node. An empty table gives an empty result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     bands = bands_for(similarity, rows, miss)
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sketched = materialize(plain.mapInArrow(lambda it: _sketch(it, n, bands, rows), "key long, f1 long, f2 long, grams long, bands array<long>"), "sketch")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import chunks, documents, materialize, new_path
+from sluice.llm.shared import chunks, documents, materialize, new_path, small_batches
 
 #: Samples of a row, the value that fills the last one, and the bytes of a PNG that its metadata are in.
 WIDTH, FILL, HEADER = 576, 255, 33
@@ -126,6 +126,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     A payload is stored once a shard. Null texts are empty ones, whose payload is one row of FILL;
     any key, null or repeated, has a row for each row of docs; no rows, no shard.
     """
+    small_batches(docs.sparkSession)
     folder = folder or new_path(docs.sparkSession, "media")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(

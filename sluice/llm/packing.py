@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import chunks, documents, materialize
+from sluice.llm.shared import chunks, documents, materialize, small_batches
 
 #: Tokens of a sequence, the id that ends a document, dimensions of the curve and bits of each.
 LENGTH, END, DIMENSIONS, BITS = 1024, 0, 3, 12
@@ -157,6 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     packed; null keys stay null; an empty table gives an empty result; other columns are not read.
     Ids are shuffled once, and what comes to the driver is one number a partition.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     encoded = materialize(
         docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(

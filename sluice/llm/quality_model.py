@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.shared import chunks, documents, labels, mix, prefix_hash, span_hash, utf8
+from sluice.llm.shared import chunks, documents, labels, mix, prefix_hash, small_batches, span_hash, utf8
 from sluice.llm.toxicity import sigmoid, slices
 
 #: Hash buckets of tokens, dimensions, entries of an index vector that aren't 0, and neighbours on either side.
@@ -92,7 +92,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Mean and deviation of a text's word vectors and two of its lengths: texts x (2 DIMENSIONS + 2); zeros for no tokens."""
     out = []
-    for part in slices(texts, 1 << 20):
+    for part in slices(texts):
         ids, counts = tokens(part)
         some = counts > 0
         n = np.maximum(counts, 1)[:, None]
@@ -194,6 +194,7 @@ def classify_quality(docs: DataFrame, marked: DataFrame, key: str = "doc_id", te
     repeated rows get equal scores; an empty table stays empty; no labels give 0.5. Columns with
     these names are replaced, others pass through.
     """
+    small_batches(docs.sparkSession)
     net = fit_quality(docs, marked, key, text, label)
     return docs.withColumn("score", quality_score(docs.sparkSession, net, text)).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 

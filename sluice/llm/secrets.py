@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.shared import documents
+from sluice.llm.shared import documents, small_batches
 
 #: The base patterns.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -125,11 +125,13 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "spans") -> Dat
     ties give the same spans; an empty table stays empty; other columns pass through, and a
     column already called `out` is replaced.
     """
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, secret_spans(text))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each secret span of the text replaced by [SECRET]; null stays null, other columns pass through."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(text, _redact_udf(F.col(text), secret_spans(text)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 #: Text bytes that are worked on at once; a longer document is one chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows of a batch that goes to Python: texts are long, and workers share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

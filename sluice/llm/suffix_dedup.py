@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm.graph import by_group
-from sluice.llm.shared import chunks, documents, materialize, prefix_hash, span_hash, utf8
+from sluice.llm.shared import chunks, documents, materialize, prefix_hash, small_batches, span_hash, utf8
 
 LENGTH, GRAM = 50, 20
 #: Text bytes whose suffixes one range holds, by which the number of ranges grows with the input, and
@@ -176,7 +176,7 @@ def _deal(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["range", "data"])
 
     for whole in batches:
-        for batch in chunks(whole, most=1 << 19):
+        for batch in chunks(whole):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sizes = np.diff(utf8(batch.column(2))[1])
             keep = np.ones(len(ids), bool)
@@ -337,6 +337,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     id: the key, null as the greatest number; mark: 16 bits of the text's hash,
     which tell rows that repeat a key with another text.
     """
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, key, text)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-total // RANGE_BYTES))

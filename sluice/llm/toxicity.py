@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.shared import documents, labels, lowered, prefix_hash, span_hash, utf8, word_spans
+from sluice.llm.shared import documents, labels, lowered, prefix_hash, small_batches, span_hash, utf8, word_spans
 
 #: Hash buckets of words, the most labelled rows that the models are fitted on, and folds.
 BUCKETS, MAX_TRAIN, FOLDS, RIDGE = 1 << 18, 10_000, 4, 0.02
@@ -24,7 +24,7 @@ MIN_DOCS, STANDARD_ERRORS = 5, 5.0
 PREFIXES = (4, 5, 6, 7, 8)
 #: A document is rejected from this probability of the chain's last category on.
 THRESHOLD = 0.5
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 #: Seed words of the categories that come before the overall one. A labelled toxic
 #: document is in a category if it has one of its words.
@@ -256,6 +256,7 @@ def score_toxicity(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text
     empty table stays empty. Columns with these names are replaced, others pass through. With no
     labelled rows all probabilities are 0.
     """
+    small_batches(docs.sparkSession)
     chain = fit_chain(docs, marked, [*CATEGORIES, "toxic"], _seeded, key, text)
     names = [f"p_{n}" for n in chain.names]
     out = docs.drop(*names, "toxic", "__p").withColumn("__p", chain_scores(docs.sparkSession, chain, text))
