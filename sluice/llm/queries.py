@@ -6,6 +6,7 @@ from sluice.llm.jaccard import op1_jaccard_join
 from sluice.llm.language_model import op9_lm_scoring
 from sluice.llm.media import op5_media
 from sluice.llm.mixing import op8_mixing
+from sluice.llm.oracles import OP1, OP3
 from sluice.llm.packing import op7_packing
 from sluice.llm.quality_model import op6_quality
 from sluice.llm.quality_rules import op2_quality_rules
@@ -26,4 +27,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": OP1,
+    "op3_suffix_dedup": OP3,
+}
