@@ -23,7 +23,7 @@ MIN_DOCS, STANDARD_ERRORS = 5, 5.0
 #: Bytes of the prefixes of longer words that are features beside the words.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A document is rejected from this probability of the chain's last category on.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 CHUNK = 1 << 19
 
 #: Seed words of the categories that come before the overall one. A labelled toxic
