@@ -63,7 +63,7 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = F.array_join(F.transform("used", lambda t: F.concat(F.lit("[["), t, F.lit("]]"))), " ")
     mentions = F.concat(mentions, F.when(klass == "Gintro", " [[Unresolved]]").otherwise(""))
     canon = F.concat(F.lit("inherits: /\nwindow_start: "), "start", F.lit("\nwindow_end: "), "end", F.lit("\n\nGoverns "), mentions, F.lit(".\n"))
-    vocab = F.concat(F.lit("# VOCAB\n"), F.array_join(F.transform("used", lambda t: F.concat(F.lit("- [["), t, F.lit("]]: defined locally\n"))), ""))
+    vocab = F.concat(F.lit("# VOCAB\n"), F.array_join(F.transform("used", lambda t: F.concat(F.lit("- [["), t, F.lit("]]: meaning given here\n"))), ""))
     claim = F.struct(F.col("prose").alias("text"), F.col("used").alias("terms"), F.col("cites").alias("evidence_commit"), date.alias("evidence_date"))
     return base.select(
         "pos", "klass", "topic", "lang", "gt_slop", "labelled", "quality", "toxic", "prose",

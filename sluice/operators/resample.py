@@ -13,7 +13,7 @@ from sluice.functions import metrics as M
 
 #: The generator's multiplier, increment, modulus and seed.
 A, C, MODULUS, SEED = 1103515245, 12345, 1 << 31, 12345
-_STEP = 1024
+_STEP, _BITS = 1024, 36
 
 
 def jumps(n: int) -> list[tuple[int, int]]:
@@ -34,31 +34,24 @@ def lcg_states(spark: SparkSession, count: int | Column, source: DataFrame | Non
 
     count: a number, or a column of the one-row table source.
     """
-    doubling, a, c = [], A, C
-    for _ in range(48):
-        doubling.append((a, c))
+    a, c = jumps(_STEP)[-1]  # one block on; then jumps of 1, 2, 4 ... blocks by squaring
+    far = []
+    for _ in range(_BITS):
+        far.append((a, c))
         a, c = a * a % MODULUS, (c * a + c) % MODULUS
+    far_a, far_c, bits = _table([a for a, _ in far]), _table([c for _, c in far]), _table([1 << k for k in range(_BITS)])
+    near = jumps(_STEP)
+    near_a, near_c = _table([a for a, _ in near]), _table([c for _, c in near])
+
     n = F.lit(count).cast("long") if isinstance(count, int) else count.cast("long")
-    rows = (source or spark.range(1)).select(n.alias("n")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _STEP))))
-    rows = rows.repartition(F.col("b"))
-    power_a, power_c = _table([a * pow(1, 1) for a, _ in _powers(_STEP, doubling)]), _table([c for _, c in _powers(_STEP, doubling)])
-    start = F.aggregate(
-        F.sequence(F.lit(0), F.lit(36)),
-        F.lit(seed).cast("long"),
-        lambda s, j: F.when(F.shiftright(F.col("b"), 0).bitwiseAND(F.element_at(_table([1 << k for k in range(37)]), j + 1)) != 0, (F.get(power_a, j) * s + F.get(power_c, j)) % MODULUS).otherwise(s),
-    )
-    steps = jumps(_STEP)
+    rows = (source or spark.range(1)).select(n.alias("n")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _STEP)))).repartition("b")
+    set_ = lambda j: F.col("b").bitwiseAND(F.get(bits, j)) != 0
+    start = F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), F.lit(seed).cast("long"), lambda s, j: F.when(set_(j), (F.get(far_a, j) * s + F.get(far_c, j)) % MODULUS).otherwise(s))
     rows = rows.withColumn("s", start).withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(_STEP), F.col("n") - F.col("b") * _STEP).cast("int"))))
-    state = (F.get(_table([a for a, _ in steps]), F.col("k") - 1) * F.col("s") + F.get(_table([c for _, c in steps]), F.col("k") - 1)) % MODULUS
+    state = (F.get(near_a, F.col("k") - 1) * F.col("s") + F.get(near_c, F.col("k") - 1)) % MODULUS
     return rows.select((F.col("b") * _STEP + F.col("k")).alias("g"), state.alias("state"))
 
 
-def _powers(step: int, doubling: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(a, c) of jumps of step * 2**j states."""
-    first = step.bit_length() - 1
-    return doubling[first : first + 37]
-
-
 def draws(spark: SparkSession, blocks: DataFrame, iters: int, seed: int = SEED) -> DataFrame:
     """(iter, block, times): how often each of the n blocks, numbered from 0, is drawn in n draws of each iteration."""
     size = blocks.agg(F.countDistinct("block").alias("m"))

@@ -33,12 +33,12 @@ def validate(scopes: DataFrame, ledger: DataFrame, key: str = "pos") -> DataFram
     )
     out = out.withColumn("introspection_ok", F.size("undefined_terms") == 0).drop("__missing")
     said = F.array(
-        F.when(~F.col("triad_ok"), F.lit("triad incomplete")),
-        F.when(~F.col("inheritance_ok"), F.lit("inheritance missing")),
+        F.when(~F.col("triad_ok"), F.lit("files missing")),
+        F.when(~F.col("inheritance_ok"), F.lit("no inheritance from the root")),
         F.when(~F.col("introspection_ok"), F.concat(F.lit("undefined terms: "), F.array_join(F.slice("undefined_terms", 1, 5), ", "))),
-        F.when(~F.col("gate_vocab_ok"), F.lit("claim uses undefined term")),
-        F.when(~F.col("gate_evidence_ok"), F.lit("claim cites commit absent from ledger")),
-        F.when(~F.col("gate_scope_ok"), F.lit("claim evidence outside window")),
+        F.when(~F.col("gate_vocab_ok"), F.lit("a term has no definition")),
+        F.when(~F.col("gate_evidence_ok"), F.lit("evidence is not in the ledger")),
+        F.when(~F.col("gate_scope_ok"), F.lit("evidence is dated outside the window")),
     )
     return out.withColumn("accept", accept(None)).withColumn("reasons", F.array_compact(said))
 

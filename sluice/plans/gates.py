@@ -138,9 +138,9 @@ def ablation_long(spark, sf):
     return C.verdicts(spark, sf).select("pos", "klass", arms.alias("a")).select("pos", "klass", "a.*")
 
 
-@query(O.sql(*FLAGGED, select="""SELECT pos, concat_ws('; ', CASE WHEN NOT triad_ok THEN 'triad incomplete' END, CASE WHEN NOT inheritance_ok THEN 'inheritance missing' END,
+@query(O.sql(*FLAGGED, select="""SELECT pos, concat_ws('; ', CASE WHEN NOT triad_ok THEN 'files missing' END, CASE WHEN NOT inheritance_ok THEN 'no inheritance from the root' END,
   CASE WHEN NOT introspection_ok THEN 'undefined terms: ' || array_to_string(list_slice(list_sort(list_distinct(list_filter(list_concat(canon_terms, vocab_terms), lambda t: NOT list_contains(defs, t)))), 1, 5), ', ') END,
-  CASE WHEN NOT gate_vocab_ok THEN 'claim uses undefined term' END, CASE WHEN NOT gate_evidence_ok THEN 'claim cites commit absent from ledger' END, CASE WHEN NOT gate_scope_ok THEN 'claim evidence outside window' END) AS reasons FROM flags"""))
+  CASE WHEN NOT gate_vocab_ok THEN 'a term has no definition' END, CASE WHEN NOT gate_evidence_ok THEN 'evidence is not in the ledger' END, CASE WHEN NOT gate_scope_ok THEN 'evidence is dated outside the window' END) AS reasons FROM flags"""))
 def verdict_reasons(spark, sf):
     return C.verdicts(spark, sf).select("pos", F.array_join("reasons", "; ").alias("reasons"))
 
