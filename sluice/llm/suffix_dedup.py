@@ -342,7 +342,8 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-total // RANGE_BYTES))
     dealt = rows.mapInArrow(lambda it: _deal(it, ranges), "range int, data binary")
-    found = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda it: _repeats(it, ranges), "id long, mark long, a long, z long")
+    # one range a task: hashing range numbers would put several in some tasks and none in others
+    found = dealt.repartitionById(ranges, F.pmod("range", F.lit(ranges))).sortWithinPartitions("range").mapInArrow(lambda it: _repeats(it, ranges), "id long, mark long, a long, z long")
     return materialize(found, "runs")
 
 
