@@ -9,11 +9,13 @@ from sluice.llm.jaccard import drop_near_duplicates
 from sluice.llm.mixing import mix_sources
 from sluice.llm.packing import pack, tokenizer_path
 from sluice.llm.secrets import redact_secrets
-from sluice.llm.shared import documents, labels, materialize
+from sluice.llm.shared import documents, labels, materialize, written_order
 from sluice.llm.toxicity import drop_toxic
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Target weights of the sources (None: mix_sources' own), and the rows of the mixed order that are packed along one curve.
+WEIGHTS, STRETCH_ROWS = None, 128
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +35,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are written in the order in which their sources' blocks are due."""
-    return mix_sources(docs).orderBy("mix_position").select(*COLUMNS)
+    return mix_sources(docs, WEIGHTS).orderBy("mix_position").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences that the documents are packed into."""
-    return pack(docs, tokenizer_path())
+    """The pieces of the sequences that the documents are packed into, a stretch of the mixed order after the other."""
+    docs = written_order(docs, "mixed", "place").withColumn("stretch", F.floor(F.col("place") / STRETCH_ROWS))
+    return pack(docs, tokenizer_path(), stretch="stretch")
 
 
 STAGES = [

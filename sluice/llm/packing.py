@@ -110,8 +110,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
                     pa.array(counts),
                     pa.array([narrow] * len(ids)),
                     pa.array([(x.astype("<u2") if narrow else x).tobytes() for x in ids], pa.binary()),
+                    batch.column(2),
                 ],
-                ["row", "key", "place", "n", "narrow", "ids"],
+                ["row", "key", "place", "n", "narrow", "ids", "stretch"],
             )
             row += len(ids)
 
@@ -146,12 +147,13 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             )
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, stretch: str | None = None) -> DataFrame:
     """Pieces of all documents: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each text's ids and one `end` follow each other along the Hilbert curve of the documents' mean
     projected token vectors (ties by key) and are cut every `length` ids, so only the last sequence
-    is padded. ids_crc32 is of the piece's ids as little-endian unsigned 32-bit numbers.
+    is padded. stretch: a whole-numbered column; documents of a lower stretch come first, and the
+    curve orders those of one stretch. By default all are one. ids_crc32 is of the piece's ids as little-endian unsigned 32-bit numbers.
 
     Null and empty texts are one `end`. Texts are encoded whole. Rows that repeat a key are each
     packed; null keys stay null; an empty table gives an empty result; other columns are not read.
@@ -160,12 +162,13 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     encoded = materialize(
-        docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-            lambda it: _encode(it, tokenizer, end), f"row long, key {kind}, place long, n long, narrow boolean, ids binary"
+        docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(stretch) if stretch else F.lit(0)).cast("long").alias("stretch")).mapInArrow(
+            lambda it: _encode(it, tokenizer, end), f"row long, key {kind}, place long, n long, narrow boolean, ids binary, stretch long"
         ),
         "tokens",
     )
-    placed = encoded.select("row", "n", "place", "key").repartitionByRange("place", "key", "row").sortWithinPartitions("place", "key", "row").select("row", "n")
+    order = ["stretch", "place", "key", "row"]
+    placed = encoded.select("n", *order).repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n")
     placed = materialize(placed.mapInArrow(_starts, "row long, part long, start long, n long"), "places")
     totals = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     base, before = [0] * (max(totals, default=0) + 1), 0

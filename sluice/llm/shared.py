@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The bytes that separate words, [\x20\x09-\x0D].
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -56,6 +59,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_order(df: DataFrame, label: str, column: str) -> DataFrame:
+    """df with its rows' places in `column` (long, from 0): in the order of its Parquet files, each whole.
+
+    A table that isn't just read from Parquet files is first written in its own order. Readers deal
+    files and pieces of them to tasks in any order; file numbers and rows in a file don't change.
+    The driver gets one number a file.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = materialize(df, label)
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    rows = df.select(name.alias("f"), row.alias("r")).groupBy("f").agg(F.max("r").alias("r")).collect()
+    first, before = {}, 0
+    for f, n in sorted(((r["f"], r["r"] + 1) for r in rows), key=lambda x: (int((re.match(r"part-(\d+)", x[0]) or ["", 0])[1]), x[0])):
+        first[f] = before
+        before += n
+    starts = F.from_json(F.lit(json.dumps(first)), "map<string,bigint>")
+    return df.withColumn(column, F.element_at(starts, name) + row)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, n + 1 of each at least."""
     if not _powers or len(_powers[0]) <= n:

@@ -54,3 +54,22 @@ def test_run(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.agg(F.countDistinct("doc_id")).first()[0] > 100
+
+
+def test_run_follows_the_target_weights(spark, sf_dir, monkeypatch):
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()}
+    first = max(set(source.values()), key=str), min(set(source.values()), key=str)
+    heads = []
+    for heavy in first:
+        monkeypatch.setattr(P, "WEIGHTS", {s: 1000.0 if s == heavy else 1.0 for s in set(source.values())})
+        out = P.run(spark, sf_dir).groupBy("doc_id").agg(F.min(F.col("sequence_id") * 1024 + F.col("offset")).alias("at")).orderBy("at").collect()
+        heads.append([source[r["doc_id"]] for r in out][: P.STRETCH_ROWS])
+        n = sum(source[r["doc_id"]] == heavy for r in out)
+        assert heads[-1].count(heavy) == min(n, P.STRETCH_ROWS)
+    assert heads[0] != heads[1]
+
+
+def test_packing_reads_the_written_order(spark):
+    rows = spark.range(1000, numPartitions=7).withColumn("k", (F.col("id") * 389) % 1000)
+    for df in (rows.orderBy("k"), P.materialize(rows.orderBy("k"), "order")):
+        assert P.written_order(df, "order", "place").where("place <> k").count() == 0
