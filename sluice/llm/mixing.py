@@ -1,131 +1,123 @@
 """Mixing sources to target weights: Pfair windows per source block, interleaved earliest deadline first.
 
-DataFrame functions only. The driver plans from one count per source (at most MAX_SOURCES
-numbers); rows are never collected.
+DataFrame functions only. The driver plans with one entry per kind of source (its weight and rows)
+and writes the plan as a table, a bounded piece at a time; rows are never collected.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from dataclasses import dataclass, field
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sluice.llm.shared import documents
+from sluice.llm.shared import documents, materialize, new_path
 
-#: Rows of a block, slots of a period at least, and the most sources that are planned.
-BLOCK_ROWS, SLOTS, MAX_SOURCES = 16, 720, 4096
+#: Rows of a block, and the most sources that are planned.
+BLOCK_ROWS, MAX_SOURCES = 16, 4096
 #: Hash ranges of a source: row numbers are dealt inside one range, so that no source is one task.
 RANGES = 1024
+#: Sources of a run at most, and runs that the driver holds at once.
+PIECE, HELD = 1024, 1 << 16
 
+_PLAN = ("__g", "mix_block", "__from", "__count", "__at", "mix_release", "mix_deadline", "__row", "__rows")
 
-def quantise(weights: list[float], slots: int) -> list[int]:
-    """Whole slots for each weight, one at least, together `slots`: largest remainders, ties to the earlier."""
-    total = sum(weights)
-    exact = [w / total * slots for w in weights]
-    whole = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(exact)), key=lambda i: (-(exact[i] - int(exact[i])), i))
-    k = 0
-    while sum(whole) < slots:
-        whole[order[k % len(order)]] += 1
-        k += 1
-    while sum(whole) > slots:
-        top = max(range(len(whole)), key=lambda i: (whole[i], -i))
-        whole[top] -= 1
-    return whole
 
+def whole_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of weights. What isn't positive gets 2**-20 of the least that is."""
+    least = min((w for w in weights if w > 0), default=1.0)
+    exact = [Fraction(w) if w > 0 else Fraction(least) / (1 << 20) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    return [int(w * scale) for w in exact]
 
-def edf_slots(shares: list[int]) -> list[list[int]]:
-    """The slots of each source in a period of sum(shares) slots.
 
-    Subtask j (from 1) of a source with share a has release floor((j-1)A/a) and deadline
-    ceil(jA/a); in each slot, of the released subtasks that with the earliest deadline runs
-    (ties: the larger share, then the earlier source).
+def edf_runs(groups: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(group, block, first member, members, slot, release, deadline): whose blocks fill the slots from 0 on.
+
+    groups: (whole weight w, blocks n of each member, members); members' windows are equal. In the
+    ideal division at virtual time v every source has had min(wv, n) blocks, so all of them together
+    T(v), which is the slot: sources that run out leave their share to the others at once. Block j
+    (from 0) has release floor(T(j/w)) and deadline ceil(T((j+1)/w)), in whole numbers without
+    rounding; in each slot, of the released blocks that with the earliest deadline runs (ties: the
+    larger weight, then the earlier group, then the earlier member).
     """
-    period = sum(shares)
-    slots: list[list[int]] = [[] for _ in shares]
-    future = [(0, -(-period // a), -a, i) for i, a in enumerate(shares)]
-    heapq.heapify(future)
-    ready: list[tuple[int, int, int]] = []
-    for t in range(period):
+    order = sorted((i for i, g in enumerate(groups) if g[1] and g[2]), key=lambda i: Fraction(groups[i][1], groups[i][0]))
+    active, gone, phases = sum(groups[i][0] * groups[i][2] for i in order), 0, []
+    for i in order:  # until this group runs out: its weight and blocks, blocks of those that ran out before, weight of the others
+        w, n, m = groups[i]
+        phases.append((w, n, gone, active))
+        gone, active = gone + n * m, active - w * m
+    phase, block = [0] * len(groups), [0] * len(groups)
+    future, ready, t = [(0, i) for i in sorted(order)], [], 0
+    while future or ready:
         while future and future[0][0] <= t:
-            heapq.heappush(ready, heapq.heappop(future)[1:])
-        deadline, a, i = heapq.heappop(ready)
-        if t >= deadline:
-            raise AssertionError("a subtask missed its deadline")
+            release, i = heapq.heappop(future)
+            w, n, _ = groups[i]
+            j = block[i] = block[i] + 1
+            while j * phases[phase[i]][0] > phases[phase[i]][1] * w:
+                phase[i] += 1
+            _, _, before, others = phases[phase[i]]
+            whole, part = divmod(j * others, w)
+            heapq.heappush(ready, (before + whole + (part > 0), -w, i, j - 1, 0, release))
+            if j < n:
+                heapq.heappush(future, (before + whole, i))
+        deadline, minus, i, j, member, release = heapq.heappop(ready)
+        count = groups[i][2] - member
+        if future:
+            count = min(count, future[0][0] - t)
+        if t + count > deadline:
+            raise AssertionError("a block missed its deadline")
+        yield i, j, member, count, t, release, deadline
+        t += count
+        if member + count < groups[i][2]:
+            heapq.heappush(ready, (deadline, minus, i, j, member + count, release))
+
+
+def edf_slots(shares: list[int]) -> list[list[int]]:
+    """The slots of each source in a period of sum(shares) slots."""
+    slots: list[list[int]] = [[] for _ in shares]
+    for i, _, _, _, t, _, _ in edf_runs([(a, a, 1) for a in shares]):
         slots[i].append(t)
-        j, a = len(slots[i]) + 1, -a
-        if j <= a:
-            heapq.heappush(future, ((j - 1) * period // a, -(-j * period // a), -a, i))
     return slots
 
 
-@dataclass
-class Plan:
-    """Flat arrays that the position of any block is read from; see schedule()."""
-
-    phase_at: list[int] = field(default_factory=list)  # per source: its first entry in the phase arrays
-    phase_n: list[int] = field(default_factory=list)
-    first_block: list[int] = field(default_factory=list)  # per (source, phase): its first block there
-    share: list[int] = field(default_factory=list)
-    start: list[int] = field(default_factory=list)  # position of the phase's first slot
-    period: list[int] = field(default_factory=list)
-    slots_at: list[int] = field(default_factory=list)
-    slots: list[int] = field(default_factory=list)
-
-
-def schedule(blocks: list[int], weights: list[float], slots: int = SLOTS) -> Plan:
-    """Phases: whole periods while all active sources last, then one period with what is left of those that end in it."""
-    slots = max(slots, 2 * len(blocks))
-    left, done, position = list(blocks), [0] * len(blocks), 0
-    found: list[list[tuple]] = [[] for _ in blocks]
-    while any(left):
-        active = [i for i, n in enumerate(left) if n]
-        shares = quantise([weights[i] for i in active], slots)
-        own = edf_slots(shares)
-        whole = min(left[i] // a for i, a in zip(active, shares, strict=True))
-        if whole:
-            taken = [whole * a for a in shares]
-            length = slots
-        else:
-            taken = [min(left[i], a) for i, a in zip(active, shares, strict=True)]
-            rank = {t: k for k, t in enumerate(sorted(t for ts, n in zip(own, taken, strict=True) for t in ts[:n]))}
-            own = [[rank[t] for t in ts[:n]] for ts, n in zip(own, taken, strict=True)]
-            length = len(rank)
-        for i, ts, n in zip(active, own, taken, strict=True):
-            found[i].append((done[i], len(ts), position, length, ts))
-            done[i] += n
-            left[i] -= n
-        position += sum(taken)
-    plan = Plan()
-    for entries in found:
-        plan.phase_at.append(len(plan.first_block))
-        plan.phase_n.append(len(entries))
-        for first, share, start, length, ts in entries:
-            plan.first_block.append(first)
-            plan.share.append(share)
-            plan.start.append(start)
-            plan.period.append(length)
-            plan.slots_at.append(len(plan.slots))
-            plan.slots += ts
-    return plan
-
-
-def position_of(plan: Plan, source: int, block: int) -> int:
-    """The position of one block; what the column expressions compute."""
-    own = range(plan.phase_at[source], plan.phase_at[source] + plan.phase_n[source])
-    k = max(e for e in own if plan.first_block[e] <= block)
-    p, q = divmod(block - plan.first_block[k], plan.share[k])
-    return plan.start[k] + p * plan.period[k] + plan.slots[plan.slots_at[k] + q]
-
-
-def _array(values: list, kind: str = "bigint") -> Column:
-    """A constant array, folded once by the optimizer."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+def plan_rows(groups: list[tuple[int, int, int]], block_rows: int) -> Iterator[tuple[int, ...]]:
+    """The runs of edf_runs as rows of _PLAN, cut at multiples of PIECE members. groups: (weight, rows of each member, members)."""
+    row = 0
+    for i, j, member, count, t, release, deadline in edf_runs([(w, -(-n // block_rows), m) for w, n, m in groups]):
+        rows = min(block_rows, groups[i][1] - j * block_rows)
+        while count:
+            now = min(count, PIECE - member % PIECE)
+            yield i, j, member, now, t, release, deadline, row, rows
+            member, count, t, row = member + now, count - now, t + now, row + now * rows
+
+
+def _plan_table(spark: SparkSession, groups: list[tuple[int, int, int]], block_rows: int) -> DataFrame:
+    path, schema = new_path(spark, "plan"), pa.schema([(c, pa.int64()) for c in _PLAN])
+    rows, more = plan_rows(groups, block_rows), True
+    while more:
+        held = [r for _, r in zip(range(HELD), rows, strict=False)]
+        more = len(held) == HELD
+        table = pa.table([pa.array(c, pa.int64()) for c in zip(*held, strict=True)] or [pa.array([], pa.int64())] * len(_PLAN), schema=schema)
+        spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(T.StructType([T.StructField(c, T.LongType()) for c in _PLAN])).parquet(path)
+
+
+def _range(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - (RANGES.bit_length() - 1))
+
+
+def _before(rows: DataFrame, group: str) -> DataFrame:
+    """(group, __r, __before): rows of the group in the hash ranges before each of its ranges."""
+    own = Window.partitionBy(group).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy(group, "__r").count().withColumn("__before", F.coalesce(F.sum("count").over(own), F.lit(0))).drop("count")
 
 
 def mix_sources(
@@ -135,82 +127,64 @@ def mix_sources(
     source: str = "source",
     key: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
-    slots: int = SLOTS,
+    slots: int | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """docs with mix_block, mix_release, mix_deadline, mix_block_position and mix_position (all long).
 
     Each source's rows, in hash order of `key`, form blocks of block_rows; blocks get the Pfair
-    windows of their source's weight and run earliest deadline first, one a slot. While the same
-    sources have blocks, each source is less than one block from its share after every slot.
-    When some run out, the weights of the others are scaled up in a new phase, so every row gets
-    a place. weights: target weight by source (others get the least given weight); by default
-    row counts to the power of temperature. mix_position counts rows from 0 without gaps.
+    windows of their source's exact weight and run earliest deadline first, one a slot. After every
+    slot, each source is less than one block from its share, however long the input: no weight is
+    rounded. When a source runs out, the others share its part in proportion to their weights, so
+    every row gets a place. weights: target weight by source (others get the least given weight);
+    by default row counts to the power of temperature. mix_position counts rows from 0 without
+    gaps. slots: not used; there are no periods.
 
     Null sources are a source of their own, null keys hash alike; rows that tie on hash and key
     take the tied places in any order. Repeated rows get a place each, an empty table stays
     empty, and columns with the names above are replaced. More than max. MAX_SOURCES sources
-    are refused, since the plan is made on the driver.
+    are refused.
     """
     spark = docs.sparkSession
     added = ("mix_block", "mix_release", "mix_deadline", "mix_block_position", "mix_position")
-    docs = docs.drop(*added, "__s", "__h", "__r", "__n", "__e", "__q")
-    counted = docs.groupBy(F.col(source).alias("s")).count().orderBy("s").limit(MAX_SOURCES + 1).collect()
-    if len(counted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names, sizes = [r["s"] for r in counted], [r["count"] for r in counted]
+    own = ("__s", "__h", "__r", "__n", "__m", "__w", "__k", "__range", "__before", *_PLAN[:1], *_PLAN[2:5], *_PLAN[7:])
+    docs = docs.drop(*added, *own)
+    sizes = docs.groupBy(F.col(source).alias("__s")).agg(F.count("*").alias("__n"))
     if weights:
-        least = min(weights.values())
-        target = [float(weights.get(s, least)) for s in names]
+        given = F.from_json(F.lit(json.dumps([{"s": s, "w": float(w)} for s, w in weights.items()])), T.ArrayType(T.StructType([T.StructField("s", docs.schema[source].dataType), T.StructField("w", T.DoubleType())])))
+        named = spark.range(1).select(F.explode(given).alias("x")).select(F.col("x.s").alias("__name"), F.col("x.w").alias("__w"))
+        sizes = sizes.join(F.broadcast(named), F.col("__s").eqNullSafe(F.col("__name")), "left").select("__s", "__n", F.coalesce("__w", F.lit(float(min(weights.values())))).alias("__w"))
     else:
-        target = [n**temperature for n in sizes]
-    blocks = [-(-n // block_rows) for n in sizes]
-    plan = schedule(blocks, target, slots) if names else Plan([0], [0], [0], [1], [0], [1], [0], [0])
-    # rows that a source's last block lacks, and where it stands: row positions count rows, not places of blocks
-    gaps = [[position_of(plan, i, n - 1), n * block_rows - size] for i, (n, size) in enumerate(zip(blocks, sizes, strict=True)) if n * block_rows > size]
-
-    listed = (
-        spark.range(1)
-        .select(F.posexplode(F.from_json(F.lit(json.dumps([{"s": s} for s in names])), T.ArrayType(T.StructType([T.StructField("s", docs.schema[source].dataType)])))))
-        .select(F.col("pos").alias("__s"), F.col("col.s").alias("__name"))
-    )
-    sized = (
-        docs.join(F.broadcast(listed), F.col(source).eqNullSafe(F.col("__name")), "left")
-        .drop("__name")
-        .withColumn("__h", F.xxhash64(F.lit(seed), F.col(key)))
-        .withColumn("__r", F.shiftrightunsigned("__h", 64 - (RANGES.bit_length() - 1)))
-    )
-    before = (
-        docs.select(source, key)
-        .join(F.broadcast(listed), F.col(source).eqNullSafe(F.col("__name")), "left")
-        .groupBy("__s", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 64 - (RANGES.bit_length() - 1)).alias("__r"))
-        .count()
-        .withColumn("__n", F.coalesce(F.sum("count").over(Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("count")
-    )
-    ranked = sized.join(before, ["__s", "__r"], "inner").withColumn(
-        "__n", F.col("__n") + F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__h", key)) - 1
-    )
-    at = lambda name, index: F.get(_array(getattr(plan, name)), index)
-    block = F.floor(F.col("__n") / block_rows).cast("long")
-    own = F.slice(_array(plan.first_block), at("phase_at", F.col("__s")).cast("int") + 1, at("phase_n", F.col("__s")).cast("int"))
-    entry = (at("phase_at", F.col("__s")) + F.size(F.filter(own, lambda x: x <= F.col("mix_block"))) - 1).cast("int")
-    share, period, start = at("share", F.col("__e")), at("period", F.col("__e")), at("start", F.col("__e"))
-    index = F.col("mix_block") - at("first_block", F.col("__e"))
-    q = F.pmod(index, share)
-    run = start + F.floor(index / share) * period
-    lacking = F.aggregate(
-        _array(gaps, "array<bigint>"), F.lit(0).cast("long"), lambda acc, g: acc + F.when(F.get(g, 0) < F.col("mix_block_position"), F.get(g, 1)).otherwise(0)
+        sizes = sizes.withColumn("__w", F.lit(1.0))
+    sizes = materialize(sizes, "sources")
+    kinds = sizes.groupBy("__n", "__w").count().orderBy("__n", "__w").collect()
+    if sum(r["count"] for r in kinds) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    whole = whole_weights([r["__w"] if weights else float(r["__n"]) ** temperature for r in kinds])
+    plan = _plan_table(spark, [(w, r["__n"], r["count"]) for w, r in zip(whole, kinds, strict=True)], block_rows)
+
+    listed = pa.table({"__g": pa.array(range(len(kinds)), pa.int64()), "__n": pa.array([r["__n"] for r in kinds], pa.int64()), "__w": pa.array([r["__w"] for r in kinds], pa.float64())})
+    sized = sizes.join(spark.createDataFrame(listed), ["__n", "__w"]).select("__s", "__g", F.xxhash64(F.lit(seed), "__s").alias("__h")).withColumn("__r", _range(F.col("__h")))
+    member = F.col("__before") + F.row_number().over(Window.partitionBy("__g", "__r").orderBy("__h", "__s")) - 1
+    sized = sized.join(_before(sized, "__g"), ["__g", "__r"]).select(F.col("__s").alias("__name"), "__g", member.alias("__m"))
+
+    hashed = F.xxhash64(F.lit(seed), F.col(key))
+    before = _before(docs.select(F.col(source).alias("__s"), _range(hashed).alias("__r")), "__s")
+    before = before.join(sized, F.col("__s").eqNullSafe(F.col("__name"))).select("__s", F.col("__r").alias("__range"), "__before", "__g", "__m")
+    docs = docs.withColumn("__h", hashed).withColumn("__r", _range(F.col("__h")))
+    ranked = docs.join(before, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__r") == F.col("__range"))).withColumn(
+        "__n", F.col("__before") + F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__h", key)) - 1
     )
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("__n") / block_rows).cast("long")).withColumn("__k", F.floor(F.col("__m") / PIECE))
+    at = F.col("__m") - F.col("__from")
+    inside = (at >= 0) & (at < F.col("__count"))
     return (
-        ranked.withColumn("mix_block", block)
-        .withColumn("__e", entry)
-        .withColumn("__q", q)
-        .withColumn("mix_release", (run + F.floor(F.col("__q") * period / share)).cast("long"))
-        .withColumn("mix_deadline", (run + F.ceil((F.col("__q") + 1) * period / share)).cast("long"))
-        .withColumn("mix_block_position", (run + F.get(_array(plan.slots), (at("slots_at", F.col("__e")) + F.col("__q")).cast("int"))).cast("long"))
-        .withColumn("mix_position", (F.col("mix_block_position") * block_rows - lacking + F.pmod("__n", F.lit(block_rows))).cast("long"))
-        .drop("__s", "__h", "__r", "__n", "__e", "__q")
+        ranked.join(plan.withColumnsRenamed({"__g": "__pg", "mix_block": "__pb"}).withColumn("__pk", F.floor(F.col("__from") / PIECE)),
+            (F.col("__g") == F.col("__pg")) & (F.col("mix_block") == F.col("__pb")) & (F.col("__k") == F.col("__pk")) & inside)
+        .withColumn("mix_block_position", F.col("__at") + at)
+        .withColumn("mix_position", F.col("__row") + at * F.col("__rows") + F.pmod("__n", F.lit(block_rows)))
+        .drop(*own, "__pg", "__pb", "__pk")
+        .select(*(c for c in docs.columns if c not in own), *added)
     )
 
 

@@ -347,6 +347,50 @@ def test_mixing_positions_and_deviation(spark):
     assert [b for _, b in order] == sorted(b for _, b in order)
 
 
+def test_mixing_lag_under_indivisible_weights():
+    for rows in ([50_000, *[5_000] * 19], [30_011, 7_001, 1_013, 977, 31]):
+        whole = mixing.whole_weights([n**0.5 for n in rows])
+        target, seen = [n**0.5 for n in rows], [0] * len(rows)
+        for t, (i, *_) in enumerate(mixing.edf_runs([(w, n, 1) for w, n in zip(whole, rows, strict=True)]), 1):
+            seen[i] += 1
+            if seen[i] == rows[i]:
+                break
+            if t % 97 == 0:
+                assert all(abs(n - t * w / sum(target)) < 1 + 1e-6 for n, w in zip(seen, target, strict=True))
+        assert t > 2000 or len(rows) == 5
+
+
+def test_mixing_keeps_exact_weights_over_many_periods(spark):
+    sizes = {"big": 9000, **{f"s{k:02}": 900 for k in range(19)}}
+    rows = [(k, s) for s, n in sizes.items() for k in range(n)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).orderBy("mix_block_position").select("source").collect()
+    total, seen = sum(n**0.5 for n in sizes.values()), Counter()
+    for t, r in enumerate(out, 1):
+        seen[r["source"]] += 1
+        if max(seen[s] / sizes[s] for s in sizes) == 1:
+            break
+        assert abs(seen["big"] - t * 9000**0.5 / total) < 1 + 1e-6
+    assert t > 10_000
+
+
+def test_mixing_groups_equal_sources():
+    """Members of a group are planned like sources of their own, and each slot is filled once."""
+    groups = [(3, 40, 5), (7, 11, 3), (1, 1, 2000)]
+    slots, seen = [], Counter()
+    for i, j, member, count, t, release, deadline in mixing.edf_runs(groups):
+        assert release <= t and t + count <= deadline and t == len(slots)
+        for m in range(member, member + count):
+            assert seen[i, m] == j
+            seen[i, m] += 1
+            slots.append((i, m))
+    assert len(slots) == sum(n * m for _, n, m in groups)
+    at = 0
+    for i, j, _, count, t, _, _, row, rows in mixing.plan_rows([(w, n * 16 - 3, m) for w, n, m in groups], 16):
+        assert row == at and rows == (13 if j == groups[i][1] - 1 else 16)
+        at += count * rows
+    assert at == sum((n * 16 - 3) * m for _, n, m in groups)
+
+
 def hash_base(s):
     return {"a": 0, "b": 10_000, "c": 20_000}[s]
 
