@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 from sluice.llm.shared import documents, materialize, new_path
 
-#: Rows of a block, and the most sources that are planned.
-BLOCK_ROWS, MAX_SOURCES = 16, 4096
+#: Rows of a block.
+BLOCK_ROWS = 16
 #: Hash ranges of a source: row numbers are dealt inside one range, so that no source is one task.
 RANGES = 1024
 #: Sources of a run at most, and runs that the driver holds at once.
@@ -142,8 +142,8 @@ def mix_sources(
 
     Null sources are a source of their own, null keys hash alike; rows that tie on hash and key
     take the tied places in any order. Repeated rows get a place each, an empty table stays
-    empty, and columns with the names above are replaced. More than max. MAX_SOURCES sources
-    are refused.
+    empty, and columns with the names above are replaced. There may be any number of sources: those
+    of equal weight and rows are planned as one kind, and the plan is a table that rows are joined to.
     """
     spark = docs.sparkSession
     added = ("mix_block", "mix_release", "mix_deadline", "mix_block_position", "mix_position")
@@ -158,8 +158,6 @@ def mix_sources(
         sizes = sizes.withColumn("__w", F.lit(1.0))
     sizes = materialize(sizes, "sources")
     kinds = sizes.groupBy("__n", "__w").count().orderBy("__n", "__w").collect()
-    if sum(r["count"] for r in kinds) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     whole = whole_weights([r["__w"] if weights else float(r["__n"]) ** temperature for r in kinds])
     plan = _plan_table(spark, [(w, r["__n"], r["count"]) for w, r in zip(whole, kinds, strict=True)], block_rows)
 

@@ -373,6 +373,16 @@ def test_mixing_keeps_exact_weights_over_many_periods(spark):
     assert t > 10_000
 
 
+def test_mixing_takes_any_number_of_sources(spark):
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("s"), F.floor(F.col("id") * 7 / 9))).alias("source"))
+    assert rows.select("source").distinct().count() > 4096
+    out = mixing.mix_sources(rows).collect()
+    assert sorted(r["mix_position"] for r in out) == list(range(12_000))
+    blocks = {(r["source"], r["mix_block"]): r for r in out}
+    assert sorted(r["mix_block_position"] for r in blocks.values()) == list(range(len(blocks)))
+    assert all(r["mix_release"] <= r["mix_block_position"] < r["mix_deadline"] for r in out)
+
+
 def test_mixing_groups_equal_sources():
     """Members of a group are planned like sources of their own, and each slot is filled once."""
     groups = [(3, 40, 5), (7, 11, 3), (1, 1, 2000)]
