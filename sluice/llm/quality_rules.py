@@ -8,13 +8,17 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.shared import documents, labels
 
-#: Buckets that word unigrams and bigrams are hashed to, and the least length-normalised ratio that is kept.
+#: Buckets that word unigrams and bigrams are hashed to, and the least length-normalised ratio that is kept
+#: where none is derived.
 BUCKETS, THRESHOLD = 8192, -0.1
+#: A derived threshold: of the trusted documents, one in CALIBRATION is kept out of the counts, and the
+#: threshold is the greatest multiple of 1/STEPS below which at most FALSE_REJECTS of them are.
+CALIBRATION, STEPS, FALSE_REJECTS = 5, 1000, 0.01
 #: Added to every bucket's count in both multinomials.
 SMOOTHING = 1.0
 
@@ -66,62 +70,96 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> list[float] | None:
-    """log(target / raw) of each bucket, from all documents; None if no text is trusted.
+def _held(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string")) % CALIBRATION == 0
+
+
+def bucket_counts(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> list[tuple[int, int, int]]:
+    """(all, trusted, trusted and counted in calibration) of each bucket, from all documents.
 
     trusted: keys of the trusted documents (any number of rows a key). The result has `buckets`
-    numbers, whatever the corpus; counts are pre-aggregated before they are shuffled.
+    entries, whatever the corpus; counts are pre-aggregated before they are shuffled.
     """
     own = trusted.select(F.col(key).alias("__t")).where("__t is not null").distinct().withColumn("__in", F.lit(1))
     counted = (
         docs.select(F.col(key).alias("__k"), F.col(text).alias("__text"))
         .join(own.hint("merge"), F.col("__k") == F.col("__t"), "left")  # the same plan at every size
-        .select(F.col("__in"), F.explode(F.expr(grams("__text", buckets))).alias("bucket"))
+        .select(F.col("__in"), F.when(~_held("__t"), 1).alias("__fit"), F.explode(F.expr(grams("__text", buckets))).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("__in").alias("target"))
+        .agg(F.count("*").alias("raw"), F.count("__in").alias("target"), F.count("__fit").alias("fit"))
         .collect()
     )
-    raw, target = [SMOOTHING] * buckets, [SMOOTHING] * buckets
+    out = [(0, 0, 0)] * buckets
     for r in counted:
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
-    if sum(target) <= SMOOTHING * buckets:
+        out[r["bucket"]] = r["raw"], r["target"], r["fit"]
+    return out
+
+
+def _log_ratios(raw: list[int], target: list[int]) -> list[float] | None:
+    if not sum(target):
         return None
-    scale = math.log(sum(raw) / sum(target))
-    return [math.log(t / r) + scale for t, r in zip(target, raw, strict=True)]
+    scale = math.log((sum(raw) + SMOOTHING * len(raw)) / (sum(target) + SMOOTHING * len(raw)))
+    return [math.log((t + SMOOTHING) / (r + SMOOTHING)) + scale for t, r in zip(target, raw, strict=True)]
+
+
+def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> list[float] | None:
+    """log(target / raw) of each bucket, from all documents; None if no text is trusted."""
+    raw, target, _ = zip(*bucket_counts(docs, trusted, text, key, buckets), strict=True)
+    return _log_ratios(raw, target)
+
+
+def _llr(table: list[float], text: str, buckets: int) -> Column:
+    constant = F.from_json(F.lit(json.dumps([round(x, 9) for x in table])), "array<double>")
+    return F.element_at(
+        F.transform(
+            F.array(F.expr(grams(text, buckets))),
+            lambda g: F.when(F.size(g) == 0, 0.0).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(constant, b)) / F.size(g)),
+        ),
+        1,
+    )
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def derived_threshold(docs: DataFrame, trusted: DataFrame, table: list[float] | None, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> float:
+    """The threshold that all but FALSE_REJECTS of the trusted documents that table wasn't learnt from reach.
+
+    Every document that is kept out counts, by a histogram in steps of 1/STEPS. THRESHOLD if there is none.
+    """
+    if table is None:
+        return THRESHOLD
+    out = trusted.select(F.col(key).alias("__t")).where("__t is not null").where(_held("__t")).distinct()
+    own = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(out.hint("merge"), F.col("__k") == F.col("__t"), "left_semi")
+    found = own.select(F.floor(_llr(table, "__text", buckets) * STEPS).alias("step")).groupBy("step").count().collect()
+    total, below = sum(r["count"] for r in found), 0
+    for r in sorted(found, key=lambda r: r["step"]):
+        below += r["count"]
+        if below > FALSE_REJECTS * total:
+            return r["step"] / STEPS
+    return THRESHOLD
+
+
+def quality_rules(
+    docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, threshold: float | None = THRESHOLD
+) -> DataFrame:
     """docs with the columns of base_counts, llr (double) and kept.
 
     llr: the mean over a document's hashed words and word pairs of log(target / raw), the two
     multinomials being those of the trusted and of all documents; 0 for a text without words,
     and for all if nothing is trusted. kept: not base_failed and llr >= threshold, for every
-    document, by the same numbers. Null keys are never trusted; repeated rows count each;
-    an empty table stays empty; columns with these names are replaced, others pass through.
+    document, by the same numbers; threshold None: derived_threshold. Null keys are never
+    trusted; repeated rows count each; an empty table stays empty; columns with these names are
+    replaced, others pass through.
     """
-    table = ratios(docs, trusted, text, key, buckets)
-    out = base_counts(docs, text)
-    if table is None:
-        out = out.withColumn("llr", F.lit(0.0))
-    else:
-        constant = F.from_json(F.lit(json.dumps([round(x, 9) for x in table])), "array<double>")
-        out = out.withColumn(
-            "llr",
-            F.element_at(
-                F.transform(
-                    F.array(F.expr(grams(text, buckets))),
-                    lambda g: F.when(F.size(g) == 0, 0.0).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(constant, b)) / F.size(g)),
-                ),
-                1,
-            ),
-        )
+    raw, target, fit = zip(*bucket_counts(docs, trusted, text, key, buckets), strict=True)
+    table = _log_ratios(raw, target)
+    if threshold is None:
+        threshold = derived_threshold(docs, trusted, _log_ratios(raw, fit), text, key, buckets)
+    out = base_counts(docs, text).withColumn("llr", F.lit(0.0) if table is None else _llr(table, text, buckets))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = labels(spark, sf_dir).where("quality = 1").select("doc_id")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return quality_rules(docs, trusted).select(
+    return quality_rules(docs, trusted, threshold=None).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
     )

@@ -124,6 +124,24 @@ def test_quality_ratio(spark, docs, texts, sf_dir):
         assert out[i]["kept"] == (not out[i]["base_failed"] and out[i]["llr"] >= quality_rules.THRESHOLD)
 
 
+def test_quality_threshold_on_labels_kept_out(spark):
+    where = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{where}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    out = F.crc32(F.concat(F.lit("out"), F.col("doc_id").cast("string"))) % 2 == 0
+    # every document counts as raw, as in the query
+    ruled = quality_rules.quality_rules(docs, known.where("quality = 1").where(~out), threshold=None).join(known.where(out), "doc_id")
+    shares = {r["quality"]: r for r in ruled.groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("all"), F.avg((~F.col("kept") & ~F.col("base_failed")).cast("int")).alias("ratio")).collect()}
+    assert shares[0]["all"] >= 0.97 and shares[1]["ratio"] <= 0.03, shares
+
+
+def test_quality_threshold_hard_cases(spark):
+    trusted = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    for own in (trusted, trusted.limit(0)):
+        assert quality_rules.quality_rules(hard(spark), own, threshold=None).count() == 10
+        assert quality_rules.quality_rules(empty(spark), own, threshold=None).count() == 0
+
+
 def test_quality_rules_hard_cases(spark):
     trusted = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
     out = rows_of(quality_rules.quality_rules(hard(spark), trusted).select("doc_id", "n_words", "kept", "lang"))
