@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,8 +38,10 @@ IDENTIFIERS = " ".join(
 
 _CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.I | re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-#: Code points after a sensitive word in which a candidate may start, and those of text on either side that prime the compressor.
+#: Code points between a sensitive word, or a secret found so, and a candidate on either side; and those of text that prime the compressor.
 REACH, AROUND = 48, 256
+#: Least bytes of a candidate, and of what base spans leave of one.
+SHORTEST = 16
 #: Least share of a candidate's bytes that the primed compressor still needs.
 NOVELTY = 0.75
 
@@ -51,21 +54,75 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(squeeze.compress(around[-64:] + candidate.encode())) - len(squeeze.compress(around[-64:]))
 
 
+def _uncovered(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the spans `taken`, which are in order, leave of a span."""
+    for x, y in taken[max(0, bisect_right(taken, (a, a)) - 1) :]:
+        if x >= b:
+            break
+        if y <= a:
+            continue
+        if x > a:
+            yield a, x
+        a = max(a, y)
+    if a < b:
+        yield a, b
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def _novel(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
-    found: set[tuple[int, int]] = set()
-    for context in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, context.end()):
-            if m.start() > context.end() + REACH:
-                break
-            a, b = m.span()
-            if (a, b) in found or any(a < y and x < b for x, y in taken):
-                continue
-            value = m[0]
-            if not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
-                continue
-            if marginal_bytes(value, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY * len(value):
-                found.add((a, b))
-                yield "novel", a, b
+    """Candidates within REACH of a sensitive word, before or after it, or of a secret reached so, that are novel.
+
+    What base spans leave of a candidate is measured if it is SHORTEST or more. A secret reaches on:
+    so do base spans that lie in reach.
+    """
+    taken = _union(taken)
+    pieces = [(a, b, False) for m in _CANDIDATE.finditer(text) for a, b in _uncovered(*m.span(), taken) if b - a >= SHORTEST]
+    if not pieces:
+        return
+    pieces = sorted(pieces + [(a, b, True) for a, b in taken])
+    known: dict[int, bool] = {}
+    words = [m.span() for m in _CONTEXT.finditer(text)]
+
+    def secret(k: int) -> bool:
+        if k not in known:
+            a, b, base = pieces[k]
+            known[k] = base or marginal_bytes(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY * (b - a)
+        return known[k]
+
+    def sweep(order: range, near) -> set[int]:
+        """Secrets in reach, going one way: near(k, reach) tells whether piece k is reached from a word, or from the end `reach` of the last secret."""
+        found, reach = set(), None
+        for k in order:
+            if near(k, reach) and secret(k):
+                found.add(k)
+                reach = pieces[k][1] if order.step > 0 else pieces[k][0]
+        return found
+
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+
+    def after(k: int, reach: int | None) -> bool:
+        a = pieces[k][0]
+        w = bisect_right(ends, a) - 1
+        return w >= 0 and a - ends[w] <= REACH or reach is not None and a - reach <= REACH
+
+    def ahead(k: int, reach: int | None) -> bool:
+        b = pieces[k][1]
+        w = bisect_left(starts, b)
+        return w < len(starts) and starts[w] - b <= REACH or reach is not None and reach - b <= REACH
+
+    for k in sorted(sweep(range(len(pieces)), after) | sweep(range(len(pieces) - 1, -1, -1), ahead)):
+        a, b, base = pieces[k]
+        if not base:
+            yield "novel", a, b
 
 
 def spans_of(text: str | None) -> str:
