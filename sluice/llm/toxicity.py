@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.shared import documents, labels, lowered, prefix_hash, small_batches, span_hash, utf8, word_spans
+from sluice.llm.shared import documents, labels, lowered, materialize, mix, prefix_hash, small_batches, span_hash, utf8, word_spans
 
 #: Hash buckets of words, the most labelled rows that the models are fitted on, and folds.
 BUCKETS, MAX_TRAIN, FOLDS, RIDGE = 1 << 18, 10_000, 4, 0.02
@@ -26,12 +25,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 CHUNK = 1 << 19
 
-#: Seed words of the categories that come before the overall one. A labelled toxic
-#: document is in a category if it has one of its words.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum", "fool", "jerk"),
-    "contempt": ("stupid", "pathetic", "worthless", "disgusting", "trash", "garbage", "useless"),
-}
+#: Categories that are derived where no label columns are given: the two sides of the toxic texts' main direction.
+DERIVED = ("kind_1", "kind_2")
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -62,15 +57,27 @@ def slices(texts: pa.Array, most: int = CHUNK):
         start = stop
 
 
-@F.arrow_udf(T.BinaryType())
+_SEEN = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("fold", T.IntegerType())])
+
+
+@F.arrow_udf(_SEEN)
 def _presence(texts: pa.Array) -> pa.Array:
-    out = []
+    """The distinct buckets of a text, and its fold: by the least of their hashes, so near copies are in one fold."""
+    sizes, buckets, folds = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for part in slices(texts):
         doc, ids, n = word_buckets(part)
         pairs = np.unique(doc * BUCKETS + ids)
-        at, ids = np.searchsorted(pairs, np.arange(n + 1) * BUCKETS), (pairs % BUCKETS).astype(np.uint32)
-        out += [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    return pa.array(out, pa.binary())
+        doc, ids = pairs // BUCKETS, pairs % BUCKETS
+        own = np.bincount(doc, minlength=n)
+        fold = np.zeros(n, np.int32)
+        if len(ids):
+            some = own > 0
+            fold[some] = np.minimum.reduceat(mix(ids.astype(np.uint64) + np.uint64(1)), (np.cumsum(own) - own)[some]) % np.uint64(FOLDS)
+        sizes.append(own)
+        buckets.append(ids.astype(np.int32))
+        folds.append(fold)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(buckets)))
+    return pa.StructArray.from_arrays([lists, pa.array(np.concatenate(folds))], ["ids", "fold"])
 
 
 class Rows:
@@ -90,6 +97,11 @@ class Rows:
         keep = chosen[self.row]
         return Rows(self.columns[keep], np.concatenate(([0], np.cumsum(np.diff(self.at)[chosen]))), self.width, self.dense[chosen])
 
+    def only(self, wanted: np.ndarray, dense: np.ndarray) -> Rows:
+        """The wanted columns' entries, with other dense columns."""
+        keep = wanted[self.columns]
+        return Rows(self.columns[keep], np.concatenate(([0], np.cumsum(np.bincount(self.row[keep], minlength=len(self.at) - 1)))), self.width, dense)
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -132,15 +144,55 @@ def fit_logistic(x: Rows, y: np.ndarray, ridge: float = RIDGE, rounds: int = 200
     return w
 
 
-def telling(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Of each bucket, whether its presence tells the label; see STANDARD_ERRORS."""
-    count = lambda want: np.bincount(np.concatenate([np.zeros(0, np.int64), *(i for i, v in zip(ids, y, strict=True) if v == want)]), minlength=BUCKETS)
-    one, zero, n1, n0 = count(1), count(0), (y == 1).sum(), (y == 0).sum()
+def _tells(out: int, totals: dict[int, tuple[int, int]]) -> Column:
+    """Whether a bucket's presence tells the label, by the rows of all folds but `out` (-1: of all); see STANDARD_ERRORS.
+
+    totals: (rows, rows with the label) of each fold; a row of the table has n_F and one_F of a bucket.
+    """
+    folds = [f for f in totals if f != out]
+    n1 = sum(totals[f][1] for f in folds)
+    n0 = sum(totals[f][0] for f in folds) - n1
     if not n1 or not n0:
-        return np.zeros(BUCKETS, bool)
-    p = (one + zero) / (n1 + n0)
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return (one + zero >= MIN_DOCS) & (one >= zero) & (one / n1 - zero / n0 >= STANDARD_ERRORS * error)
+        return F.lit(False)
+    n, one = (sum((F.col(f"{c}_{f}") for f in folds), F.lit(0)) for c in ("n", "one"))
+    p = n / (n1 + n0)
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    return (n >= MIN_DOCS) & (2 * one >= n) & (one / n1 - (n - one) / n0 >= STANDARD_ERRORS * error)
+
+
+def telling(seen: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that tell the label by all rows or by all but one fold, which of these): bit 0 for all, bit F + 1 without fold F.
+
+    Counted on the executors; the driver gets two numbers a fold, and the buckets that pass.
+    """
+    totals = {r["fold"]: (r["n"], r["one"]) for r in seen.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("one")).collect()}
+    here = lambda f: F.col("fold") == f
+    counts = [c for f in totals for c in (F.count_if(here(f)).alias(f"n_{f}"), F.count_if(here(f) & (F.col(label) == 1)).alias(f"one_{f}"))]
+    if not counts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    per = seen.select("fold", label, F.explode("ids").alias("bucket")).groupBy("bucket").agg(*counts)
+    bits = sum((F.when(_tells(f, totals), 1 << (f + 1)).otherwise(0) for f in (-1, *totals)), F.lit(0))
+    found = per.select("bucket", bits.alias("bits")).where("bits > 0").orderBy("bucket").toArrow()
+    return found.column("bucket").to_numpy().astype(np.int64), found.column("bits").to_numpy().astype(np.int64)
+
+
+def main_sides(x: Rows, chosen: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Of each row, whether it lies on the upper side of the main direction of the chosen rows, their words centred.
+
+    The direction is found by power iteration; its largest entry is positive, so the sides don't
+    depend on the order of the rows.
+    """
+    own = x.take(chosen)
+    w = 1 + np.cos(np.arange(x.width + x.dense.shape[1]))
+    for _ in range(rounds):
+        z = own.dot(w)
+        w = own.back(z - z.mean() if len(z) else z)
+        w[x.width :] = 0
+        w /= max(np.linalg.norm(w), 1e-12)
+    if len(w) and w[np.argmax(np.abs(w))] < 0:
+        w = -w
+    z = x.dot(w)
+    return z > (z[chosen].mean() if chosen.any() else 0)
 
 
 @dataclass
@@ -170,60 +222,75 @@ class Chain:
         return np.concatenate(out) if out else np.zeros((0, len(self.names)))
 
 
-def fit_chain(texts: DataFrame, marked: DataFrame, names: list[str], derive: Callable | None = None, key: str = "doc_id", text: str = "text", most: int = MAX_TRAIN, folds: int = FOLDS) -> Chain:
-    """A chain over the label columns `names` (0/1, in order) of marked.
+def _columns(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """ids as places among the chosen buckets, the others left out."""
+    for batch in batches:
+        lists = batch.column(0)
+        sizes, ids = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(buckets, ids), max(0, len(buckets) - 1))
+        known = buckets[at] == ids if len(buckets) else np.zeros(len(ids), bool)
+        row = np.repeat(np.arange(len(sizes)), sizes)[known]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(sizes)))))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[known].astype(np.int32))), *batch.columns[1:]], batch.schema.names)
+
+
+def fit_chain(texts: DataFrame, marked: DataFrame, categories: list[str] | None, overall: str = "toxic", key: str = "doc_id", text: str = "text", most: int = MAX_TRAIN) -> Chain:
+    """A chain over label columns (0/1) of marked: the categories in order, then the overall one.
 
     At most `most` labelled rows are fitted on, those least in a hash of their key, so the sample
-    and all that comes to the driver has a bound. Each model sees the words and the probabilities
-    of the categories before it; in fitting, these are out-of-fold predictions. derive(presence,
-    labels): may add or replace labels, from the sets of word buckets. Rows with a null key or
-    a null in all labels are left out; a key marked twice has the larger labels.
+    has a bound; of these the driver gets the chosen words' columns only. Each model sees the words
+    and the probabilities of the categories before it; in fitting, these are out-of-fold predictions,
+    whose words are chosen without the fold as well. Without categories two are derived from the
+    data: the overall label's rows on either side of their main direction. Rows with a null key or
+    null labels are left out; a key marked twice has the larger labels; a text that is copied is
+    one observation, labelled as its least key is.
     """
-    given = [n for n in names if n in marked.columns]
+    given = [*(categories or ()), overall]
     chosen = (
         marked.where(F.col(key).isNotNull() & F.coalesce(*given).isNotNull())
-        .groupBy(key).agg(*(F.coalesce(F.max(n), F.lit(0)).alias(n) for n in given))
+        .groupBy(key).agg(*(F.coalesce(F.max(n), F.lit(0)).cast("int").alias(n) for n in given))
         .orderBy(F.xxhash64(F.lit(4), key), key).limit(most)
     )
     # at most `most` keys: bounded, so it can be broadcast
-    read = texts.select(key, text).join(F.broadcast(chosen), key).select(key, *given, _presence(F.col(text)).alias("ids")).dropDuplicates([key]).orderBy(key).toArrow()
-    ids = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in read.column("ids")]
-    y = {n: read.column(n).to_numpy().astype(float) for n in given}
-    if derive:
-        y = derive(ids, y)
-    distinct = {i.tobytes(): k for k, i in reversed(list(enumerate(ids)))}  # a text that is copied is one observation
-    first = np.array(sorted(distinct.values()), int)
-    ids, y, keys = [ids[k] for k in first], {n: v[first] for n, v in y.items()}, [read.column(key)[int(k)].as_py() for k in first]
-    fitted = np.zeros(BUCKETS, bool)
-    for name in names:
-        fitted |= telling(ids, y[name])
+    read = texts.select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("key"), *given, _presence(F.col(text)).alias("p")).select("key", *given, "p.*")
+    one = read.groupBy(F.xxhash64("ids").alias("h"), F.size("ids").alias("size")).agg(F.min_by(F.struct("ids", "fold", *given, "key"), "key").alias("r"))
+    seen = materialize(one.select("r.*"), "presence")
+    buckets, bits = telling(seen, overall)
+    kept = seen.select("ids", "fold", *given, "key").mapInArrow(lambda it: _columns(it, buckets), "ids array<int>, fold int, " + "".join(f"`{n}` int, " for n in given) + f"key {seen.schema['key'].dataType.simpleString()}")
+    table = kept.orderBy("key", F.xxhash64("ids")).toArrow().combine_chunks()
+    n, width = table.num_rows, len(buckets)
+    lists = table.column("ids").combine_chunks()
+    at, columns = (lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64)) if n else (np.zeros(1, np.int64), np.zeros(0, np.int64))
+    fold, y = table.column("fold").to_numpy(), {c: table.column(c).to_numpy().astype(float) for c in given}
     column = np.full(BUCKETS, -1, np.int64)
-    column[fitted] = np.arange(fitted.sum())
-    width, n = int((column >= 0).sum()), len(ids)
+    column[buckets] = np.arange(width)
+
+    every = Rows(columns, at, width, np.ones((n, 1)))
+    names = [*(categories or DERIVED), overall]
+    if categories is None:
+        upper = main_sides(every, y[overall] == 1)
+        y |= {name: y[overall] * (upper == side) for name, side in zip(DERIVED, (True, False), strict=True)}
     earlier, constant, words = np.zeros((len(names), len(names))), np.zeros(len(names)), np.zeros((len(names), width))
     if not n:
         return Chain(names, column, words, earlier, constant - 40)
-    mapped = [c[c >= 0] for c in (column[i] for i in ids)]
-    at, columns = np.concatenate(([0], np.cumsum([len(c) for c in mapped]))), np.concatenate(mapped)
-    fold = np.array([hash_fold(k, folds) for k in keys])
     before = np.zeros((n, 0))
+
+    def rows(bit: int) -> Rows:
+        return every.only((bits >> bit) & 1 == 1, np.hstack((before, np.ones((n, 1)))))
+
     for k, name in enumerate(names):
-        x = Rows(columns, at, width, np.hstack((before, np.ones((n, 1)))))
-        w = fit_logistic(x, y[name])
+        w = fit_logistic(rows(0), y[name])
         words[k], earlier[k, :k], constant[k] = w[:width], w[width:-1], w[-1]
         if k < len(names) - 1:
             out = np.zeros(n)
-            for f in range(folds):
-                if (fold == f).any():
+            for f in np.unique(fold):
+                x = rows(int(f) + 1)
+                if (fold != f).any():
                     out[fold == f] = sigmoid(x.take(fold == f).dot(fit_logistic(x.take(fold != f), y[name][fold != f])))
             before = np.hstack((before, out[:, None]))
     return Chain(names, column, words, earlier, constant)
 
 
-def hash_fold(key, folds: int) -> int:
-    return zlib.crc32(str(key).encode()) // 7 % folds
-
-
 def chain_scores(spark: SparkSession, chain: Chain, text: Column | str = "text") -> Column:
     """struct<p_NAME double, ...> of a text column; null and empty texts get what the constants give."""
     sent = spark.sparkContext.broadcast(chain)
@@ -237,27 +304,16 @@ def chain_scores(spark: SparkSession, chain: Chain, text: Column | str = "text")
     return scored(F.col(text) if isinstance(text, str) else text)
 
 
-def _seeded(ids: list[np.ndarray], y: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Labels of the categories before `toxic`: a toxic document with one of the category's words."""
-    out = {}
-    for name, seeds in CATEGORIES.items():
-        words = pa.array(seeds)
-        _, buckets, _ = word_buckets(words)
-        own = set(buckets[: len(seeds)].tolist())  # the words come before their prefixes
-        out[name] = y["toxic"] * np.array([bool(own.intersection(i.tolist())) for i in ids], float)
-    return out | y
-
-
-def score_toxicity(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with p_insult, p_contempt, p_toxic (double) and toxic (p_toxic >= threshold).
+def score_toxicity(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, categories: list[str] | None = None) -> DataFrame:
+    """docs with p_NAME (double) of each category, p_toxic and toxic (p_toxic >= threshold).
 
-    The chain is fitted on docs' rows that marked (key, toxic 0/1) has. Null and empty texts have
-    no words and get the base rates; whole texts are read; repeated rows get equal values; an
-    empty table stays empty. Columns with these names are replaced, others pass through. With no
-    labelled rows all probabilities are 0.
+    The chain is fitted on docs' rows that marked (key, toxic 0/1, and a 0/1 column a category) has;
+    see fit_chain. Null and empty texts have no words and get the base rates; whole texts are read;
+    repeated rows get equal values; an empty table stays empty. Columns with these names are
+    replaced, others pass through. With no labelled rows all probabilities are 0.
     """
     small_batches(docs.sparkSession)
-    chain = fit_chain(docs, marked, [*CATEGORIES, "toxic"], _seeded, key, text)
+    chain = fit_chain(docs, marked, categories, "toxic", key, text)
     names = [f"p_{n}" for n in chain.names]
     out = docs.drop(*names, "toxic", "__p").withColumn("__p", chain_scores(docs.sparkSession, chain, text))
     return out.withColumns({n: F.col(f"__p.{n}") for n in names}).withColumn("toxic", F.col("p_toxic") >= threshold).drop("__p")
