@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import chunks, documents, materialize, small_batches
+from sluice.llm.shared import SEPARATORS, chunks, documents, materialize, small_batches
 
 #: Tokens of a sequence, the id that ends a document, dimensions of the curve and bits of each.
 LENGTH, END, DIMENSIONS, BITS = 1024, 0, 3, 12
@@ -29,28 +29,52 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@functools.lru_cache(2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+#: Bytes of a run without white space, or without printable ASCII, from which on a text goes to tokenizers:
+#: tiktoken's splitter and merges aren't made for pieces without end.
+LONG_RUN = 1 << 13
+_SPACE, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[*SEPARATORS]] = _PLAIN[33:127] = True
+
+
+def has_long_run(text: str) -> bool:
+    """Whether the text has LONG_RUN bytes or more in a row without white space, or without printable ASCII.
+
+    Any piece that the splitter makes of so many bytes is one of these: letters, digits and signs have
+    no white space, and white space of any kind has no printable ASCII.
+    """
+    if len(text) < LONG_RUN // 4:
+        return False
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return any(np.diff(np.flatnonzero(kind[raw]), prepend=-1, append=len(raw)).max() > LONG_RUN for kind in (_SPACE, _PLAIN))
+
+
 @functools.lru_cache(2)
 def encoder(path: str):
-    """A function from texts to lists of ids, as the tokenizer file at path gives them without special tokens.
+    """A function from texts to lists of ids, as tokenizers gives them for the file at path with add_special_tokens=False.
 
     For a byte-level BPE file the ids are made by tiktoken from the file's vocabulary, whose ids are
-    merge ranks: the same ids several times faster (a test compares them). Other files go to tokenizers.
+    merge ranks: the same ids several times faster (a test compares them). Texts that name an added
+    token, those with a very long run (has_long_run), and other files go to tokenizers itself.
     """
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    added = [t["content"] for t in spec.get("added_tokens", ())]
+    whole = lambda texts: [x.ids for x in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
     if spec["model"]["type"] == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer"):
         import tiktoken
 
-        table = _byte_of()
+        table, special = _byte_of(), set(added)
         ranks = {bytes(table[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [bpe.encode_ordinary(t) for t in texts]
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [whole([t])[0] if any(a in t for a in added) or has_long_run(t) else bpe.encode_ordinary(t) for t in texts]
+    return whole
 
 
 def hilbert_key(x: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -315,6 +316,25 @@ def test_packing_ids_and_cover(spark, docs, texts):
     assert sorted(at) == list(range(len(at))) and all(n == 1024 for s, n in at.items() if s != len(at) - 1)
 
 
+def test_encoder_gives_the_library_s_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    own = Tokenizer.from_file(path)
+    rng = random.Random(11)
+    texts = ["", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>", " " * 200_000 + "a", "a" * 100_000, "\n" * 100_000, "\u3000" * 50_000 + "x", "\u3000 " * 50_000, "漢字" * 20_000, "7" * 50_000, "-=" * 50_000, "x " * 50_000]
+    texts += [" " * n + "a" * n for n in (packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1)]
+    texts += ["".join(rng.choice("ab'sZ9 \n\t\u00e9\u3000漢-<|>\U0001f600") for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    assert packing.encoder(path)(texts) == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_takes_megabytes_of_one_kind():
+    path = packing.tokenizer_path()
+    for text in (" " * 2_000_000 + "a", "a" * 2_000_000, "\n" * 2_000_000):
+        (ids,) = packing.encoder(path)([text])
+        assert packing._tokenizer(path).decode(ids, skip_special_tokens=False) == text
+
+
 def test_packing_hard_cases(spark):
     out = packing.pack(hard(spark), packing.tokenizer_path()).collect()
     assert sum(r["length"] for r in out if r["doc_id"] in (3, 4)) == 2 and {r["doc_id"] for r in out} == {1, 2, 3, 4, 5, 6, 8, 9, None}
