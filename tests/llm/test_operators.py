@@ -454,13 +454,14 @@ def test_mixing_hard_cases(spark):
 # ---- language model
 
 
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def test_language_model_base_and_rare_words(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(language_model, "FREQUENT", 50)
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    monkeypatch.setattr(language_model.fit, "__defaults__", (50, 20, 6))
-    out = language_model.score_documents(docs, docs.where(~held)).collect()
-    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = {i: [*words((t or "").translate(fold)), None] for i, t in texts.items()}
+    out = language_model.score_documents(docs, ~held, seeds=20, classes=6).collect()
+    tokens = {i: [*words((t or "").translate(FOLD)), None] for i, t in texts.items()}
     count = Counter(w for i in tokens if zlib.crc32(str(i).encode()) % 10 for w in tokens[i])
     n, v = sum(count.values()), len(count)
     for r in out:
@@ -469,13 +470,56 @@ def test_language_model_base_and_rare_words(spark, docs, texts, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel=1e-9)
 
 
+def test_class_scores_match_a_plain_version(spark, docs, texts, monkeypatch):
+    """Given each token's class: one class a word, and transitions and emissions counted in plain loops."""
+    monkeypatch.setattr(language_model, "_HELD", 500)
+    learn = F.col("doc_id") % 5 != 0
+    how = {"frequent": 300, "seeds": 60, "classes": 8}
+    _, table = language_model.fit(docs, learn, **how)
+    scores = {r["doc_id"]: r["score"] for r in language_model.score_documents(docs, learn, **how).collect()}
+    groups = {r["key"]: list(r["groups"]) for r in table.collect()}
+    tokens = {i: words((t or "").translate(FOLD)) for i, t in texts.items()}
+    end, learnt = 8 + language_model.SHAPES, [i for i in tokens if i % 5]
+    count, pairs, kinds, into = Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for i in learnt:
+        assert len(groups[i]) == len(tokens[i])
+        row = [end, *groups[i], end]
+        count.update(tokens[i])
+        pairs.update(zip(row[:-1], row[1:], strict=True))
+        for w, g in zip(tokens[i], groups[i], strict=True):
+            kinds[w].add(g)
+            into[g].add(w)
+    into[end], count[None] = {None}, len(learnt)
+    frequent = {w for w, _ in count.most_common(250)}
+    for w, found in kinds.items():
+        assert len(found) == 1
+        if count[w] > 1 or w in frequent:
+            assert min(found) < 8
+    before, after = Counter(), Counter()
+    for (g, h), n in pairs.items():
+        before[g] += n
+        after[h] += n
+    for i, own in tokens.items():
+        row, plain = [end, *groups[i], end], 0.0
+        for g, h, w in zip(row[:-1], row[1:], [*own, None], strict=True):
+            plain += math.log10((pairs[g, h] + 0.1) / (before[g] + 0.1 * (end + 1)))
+            plain += math.log10((count[w] + 0.1) / (after[h] + 0.1 * (len(into[h]) + 1)))
+        assert scores[i] == pytest.approx(plain, rel=1e-9)
+
+
+def test_class_model_helps_on_held_out_texts(spark, docs):
+    held = F.col("doc_id") % 4 == 0
+    out = language_model.score_documents(docs, ~held).where(held).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert out["s"] > 0.97 * out["b"] > out["b"]
+
+
 def test_class_model_is_a_distribution_and_helps(spark):
     rng = np.random.RandomState(5)
     texts = [" ".join(w for _ in range(20) for w in (rng.choice(["red", "blue", "green"]), rng.choice(["cat", "dog", "bird"]))) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = language_model.score_documents(df, df.where("doc_id < 150")).where("doc_id >= 150").collect()
+    out = language_model.score_documents(df, F.col("doc_id") < 150).where("doc_id >= 150").collect()
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
-    model = language_model.fit(df.select("text"), language_model.word_counts(df.select("text")))
+    model, _ = language_model.fit(df, F.lit(True))
     assert np.allclose((10**model.transition).sum(1), 1)
 
 
@@ -499,10 +543,10 @@ def test_exchange_finds_classes():
 
 
 def test_language_model_hard_cases(spark):
-    out = language_model.score_documents(hard(spark), hard(spark)).collect()
+    out = language_model.score_documents(hard(spark), F.lit(True)).collect()
     assert len(out) == 10 and {r["n_tokens"] for r in out if r["doc_id"] in (3, 4, 5)} == {1}
-    assert language_model.score_documents(empty(spark), empty(spark)).count() == 0
-    assert language_model.score_documents(hard(spark), empty(spark)).where("n_known > 0").count() == 0
+    assert language_model.score_documents(empty(spark), F.lit(True)).count() == 0
+    assert language_model.score_documents(hard(spark), F.lit(None).cast("boolean")).where("n_known > 0").count() == 0
 
 
 # ---- secrets
