@@ -170,7 +170,8 @@ def fit_quality(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: s
         return pa.array([row.tobytes() for row in pool(texts, sent.value)], pa.binary())
 
     chosen = marked.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__y")).orderBy(F.xxhash64(F.lit(6), key), key).limit(most)
-    read = docs.select(key, text).join(F.broadcast(chosen), key).select(key, "__y", pooled(F.col(text)).alias("x")).dropDuplicates([key]).orderBy(key).toArrow()
+    # at most `most` keys: bounded, so it can be broadcast; a key's rows with different texts are observations each
+    read = docs.select(key, text).join(F.broadcast(chosen), key).select(key, "__y", pooled(F.col(text)).alias("x")).distinct().orderBy(key, "x").toArrow()
     x = np.array([np.frombuffer(v.as_buffer()) for v in read.column("x")]).reshape(-1, 2 * DIMENSIONS + 2)
     return fit_network(x, read.column("__y").to_numpy().astype(float), vectors)
 
@@ -200,7 +201,7 @@ def classify_quality(docs: DataFrame, marked: DataFrame, key: str = "doc_id", te
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    part = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0))  # a null key is in no label
     docs = documents(spark, sf_dir).select("doc_id", "text")
     marked = labels(spark, sf_dir).where(part != 1)
     return classify_quality(docs, marked).select("doc_id", (part == 1).alias("held_out"), "score", "predicted")
