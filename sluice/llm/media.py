@@ -2,7 +2,8 @@
 
 A payload is stored losslessly as an 8-bit greyscale PNG of 576 samples a row. Each task writes one
 tar shard, with a member for each distinct payload named by the digest of what is stored. Rows carry
-shard, offset and length; a reader gets the image's metadata from the first bytes of a member alone.
+the digest; each digest has one address (shard, offset, length), whichever tasks stored it, and a
+reader gets the image's metadata from the first bytes of a member alone.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from sluice.llm.shared import chunks, documents, materialize, new_path, small_ba
 
 #: Samples of a row, the value that fills the last one, and the bytes of a PNG that its metadata are in.
 WIDTH, FILL, HEADER = 576, 255, 33
+#: A digest that one in HOT rows have isn't joined by a merge; at most HOT digests are so frequent.
+HOT = 256
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _TAR = 512
 
@@ -87,7 +90,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     """
     files, root = _open(folder)
     shard = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.tar"
-    known: dict[bytes, tuple[str, int, int]] = {}
+    known: dict[bytes, tuple[bytes, int, int]] = {}
     out = None
     at = 0
     for whole in batches:
@@ -101,8 +104,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                         files.create_dir(root, recursive=True)
                         out = files.open_output_stream(f"{root}/{shard}")
                     image = encode(payload_of(raw))
-                    name = hashlib.sha256(image).hexdigest()
-                    entry = tarfile.TarInfo(f"{name}.png")
+                    name = hashlib.sha256(image).digest()
+                    entry = tarfile.TarInfo(f"{name.hex()}.png")
                     entry.size = len(image)
                     head = entry.tobuf(tarfile.USTAR_FORMAT)
                     fill = -len(image) % _TAR
@@ -112,45 +115,58 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                 rows.append((len(raw), *known[own]))
             n_bytes, names, offsets, lengths = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array([shard] * len(rows)), pa.array(names), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
-                ["key", "n_bytes", "shard", "digest", "offset", "length"],
+                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(names, pa.binary()), pa.array([shard] * len(rows)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
+                ["key", "n_bytes", "digest", "shard", "offset", "length"],
             )
     if out is not None:
         out.write(bytes(2 * _TAR))
         out.close()
 
 
-def store(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[DataFrame, str]:
-    """(a table of addresses: key, n_bytes, shard, digest, offset, length; the folder of its shards).
+def store(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """(rows: key, n_bytes, digest; payloads: digest, shard, offset, length; the folder of the shards).
 
-    A payload is stored once a shard. Null texts are empty ones, whose payload is one row of FILL;
-    any key, null or repeated, has a row for each row of docs; no rows, no shard.
+    A payload has one row and one address: if several tasks stored it, the first of theirs by shard.
+    Null texts are empty ones, whose payload is one row of FILL; any key, null or repeated, has a row
+    for each row of docs; no rows, no shard.
     """
     small_batches(docs.sparkSession)
     folder = folder or new_path(docs.sparkSession, "media")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        lambda it: _write(it, folder), f"key {kind}, n_bytes long, shard string, digest string, offset long, length long"
+        lambda it: _write(it, folder), f"key {kind}, n_bytes long, digest binary, shard string, offset long, length long"
     )
-    return materialize(rows, "addresses"), folder
+    rows = materialize(rows, "addresses")
+    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a")).select("digest", "a.*")
+    return rows.select("key", "n_bytes", "digest"), first, folder
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch], folder: str, work) -> Iterator[pa.RecordBatch]:
-    """work(file, offset, length, n_bytes) of each row, once for rows that follow each other with one address."""
+def attach(rows: DataFrame, payloads: DataFrame) -> DataFrame:
+    """rows with the other columns of payloads, by digest.
+
+    A digest that one in HOT rows or more have is joined by a broadcast, of HOT rows at most;
+    the others are joined by a merge, so no digest's rows are one task.
+    """
+    total = rows.count()
+    hot = [bytes(r["digest"]) for r in rows.groupBy("digest").count().where(F.col("count") * HOT >= max(total, HOT * 2)).select("digest").collect()]
+    is_hot = F.coalesce(F.col("digest").isin(hot), F.lit(False)) if hot else F.lit(False)
+    rest = rows.where(~is_hot).join(payloads.where(~is_hot).hint("merge"), "digest")
+    return rest.unionByName(rows.where(is_hot).join(F.broadcast(payloads.where(is_hot)), "digest")) if hot else rest
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], folder: str, work) -> Iterator[tuple[list[str], pa.RecordBatch, list]]:
+    """Each batch with the columns of work(file, offset, length, digest) of its rows."""
     files, root = _open(folder)
-    name, source, last, found = None, None, None, None
+    name, source = None, None
     for batch in batches:
         values = []
-        for shard, offset, length, n_bytes in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length", "n_bytes")), strict=True):
+        for shard, offset, length, digest in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length", "digest")), strict=True):
             if shard != name:
                 if source is not None:
                     source.close()
                 name, source = shard, files.open_input_file(f"{root}/{shard}")
-            if (shard, offset) != last:
-                last, found = (shard, offset), work(source, offset, length, n_bytes)
-            values.append(found)
-        columns = list(zip(*values, strict=True)) if values else []
-        yield batch.schema.names, batch, columns
+            values.append(work(source, offset, length, digest))
+        yield batch.schema.names, batch, list(zip(*values, strict=True)) if values else []
     if source is not None:
         source.close()
 
@@ -160,42 +176,45 @@ def _read(source, offset: int, length: int) -> bytes:
     return source.read(length)
 
 
-def with_metadata(addresses: DataFrame, folder: str) -> DataFrame:
-    """addresses with width, height and bits (int), from reads of the first HEADER bytes of each member alone."""
+def with_metadata(payloads: DataFrame, folder: str) -> DataFrame:
+    """payloads with width, height and bits (int), from reads of the first HEADER bytes of each member alone."""
 
     def run(batches):
-        for names, batch, columns in _by_shard(batches, folder, lambda source, offset, length, n: header_of(_read(source, offset, HEADER))):
+        for names, batch, columns in _by_shard(batches, folder, lambda source, offset, length, digest: header_of(_read(source, offset, HEADER))):
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int32()) for c in columns)] if columns else [*batch.columns, *[pa.array([], pa.int32())] * 3], [*names, "width", "height", "bits"])
 
-    kept = addresses.drop("width", "height", "bits")
+    kept = payloads.drop("width", "height", "bits")
     return _near(kept).mapInArrow(run, _ddl(kept) + ", width int, height int, bits int")
 
 
-def _full(source, offset: int, length: int, n_bytes: int) -> tuple:
+def _full(source, offset: int, length: int, digest: bytes) -> tuple:
     image = _read(source, offset, length)
+    own = hashlib.sha256(image).digest()
+    if own != digest:
+        raise ValueError(f"what is stored at {offset} isn't what was written")
     payload = decode(image)
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), length, hashlib.sha256(image).hexdigest(), features_of(payload)
+    return len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), length, own, features_of(payload)
 
 
-_FULL = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
-_ARROW = {"long": pa.int64(), "string": pa.string()}
+_FULL = {"payload_bytes": "long", "payload_sha256": "binary", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "binary", "feature": "string"}
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
-def with_features(addresses: DataFrame, folder: str) -> DataFrame:
-    """addresses with the columns of _FULL, of what is read back from the shards."""
+def with_features(payloads: DataFrame, folder: str) -> DataFrame:
+    """payloads with the columns of _FULL, of what is read back from the shards; an error if its digest isn't the row's."""
 
     def run(batches):
         for names, batch, columns in _by_shard(batches, folder, _full):
             made = columns or [[]] * len(_FULL)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, _ARROW[k]) for c, k in zip(made, _FULL.values(), strict=True))], [*names, *_FULL])
 
-    kept = addresses.drop(*_FULL)
+    kept = payloads.drop(*_FULL)
     return _near(kept).mapInArrow(run, _ddl(kept) + "".join(f", {k} {v}" for k, v in _FULL.items()))
 
 
-def _near(addresses: DataFrame) -> DataFrame:
+def _near(payloads: DataFrame) -> DataFrame:
     """Rows of a stretch of a shard together and in its order; a stretch is 64 MB, so no shard is one task."""
-    return addresses.repartition("shard", F.shiftright("offset", 26)).sortWithinPartitions("shard", "offset")
+    return payloads.repartition("shard", F.shiftright("offset", 26)).sortWithinPartitions("shard", "offset")
 
 
 def _ddl(df: DataFrame) -> str:
@@ -203,7 +222,11 @@ def _ddl(df: DataFrame) -> str:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    addresses, folder = store(documents(spark, sf_dir))
-    return with_features(with_metadata(addresses, folder), folder).select(
-        F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "bits"
-    )
+    rows, payloads, folder = store(documents(spark, sf_dir))
+    # the digest is that of the stored form, as read back: with_features makes sure
+    known = materialize(with_features(with_metadata(payloads, folder), folder).drop("media_sha256"), "payloads")
+    hexed = lambda c: F.lower(F.hex(c))
+    return attach(rows, known).select(
+        F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes",
+        hexed("digest").alias("media_sha256"), "feature", "shard", "offset", "length", "width", "height", "bits",
+    )

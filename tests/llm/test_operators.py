@@ -246,28 +246,49 @@ def test_logistic_matches_its_optimum():
 
 
 def test_media_round_trip(spark, docs, texts):
-    addresses, folder = media.store(docs)
-    out = media.with_features(media.with_metadata(addresses, folder), folder).collect()
+    rows, payloads, folder = media.store(docs)
+    out = media.attach(rows, media.with_features(media.with_metadata(payloads, folder), folder)).collect()
     assert len(out) == len(texts)
     for r in out:
         payload = media.payload_of((texts[r["key"]] or "").encode())
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((texts[r["key"]] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-576:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len((texts[r["key"]] or "").encode()), len(payload), zlib.crc32(payload[-576:]))
+        assert bytes(r["payload_sha256"]) == hashlib.sha256(payload).digest()
         assert (r["width"], r["height"], r["bits"]) == (576, len(payload) // 576, 8) and r["digest"] == r["media_sha256"] and r["length"] == r["media_bytes"]
 
 
+def test_media_of_equal_texts_is_equal(spark, monkeypatch):
+    """One address a payload, whichever tasks hold its copies, also where one in HOT rows have it."""
+    rows = spark.range(600, numPartitions=7).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("text "), (F.col("id") % 200).cast("string"))).alias("text"))
+    for hot in (2, 4, 256):
+        monkeypatch.setattr(media, "HOT", hot)
+        stored, payloads, folder = media.store(rows)
+        out = media.attach(stored, media.with_features(payloads, folder))
+        values = out.select("key", *(c for c in out.columns if c not in ("key",))).join(rows.withColumnRenamed("doc_id", "key"), "key")
+        assert values.count() == 600 and values.drop("key").distinct().count() == rows.select("text").distinct().count()
+
+
+def test_media_query_has_equal_values_for_equal_texts(spark, sf_dir, docs):
+    out = media.op5_media(spark, sf_dir).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").drop("doc_id")
+    assert out.distinct().count() == out.select("text").distinct().count()
+    first = out.first()
+    assert first["payload_sha256"] == hashlib.sha256(media.payload_of(first["text"].encode())).hexdigest() and len(first["media_sha256"]) == 64
+
+
 def test_media_shards_are_tar_files(spark):
     import tarfile
 
-    addresses, folder = media.store(hard(spark))
-    rows = addresses.collect()
-    assert len(rows) == 10 and len({(r["shard"], r["offset"]) for r in rows if r["key"] == 2}) <= 2
-    for shard in {r["shard"] for r in rows}:
+    rows, payloads, folder = media.store(hard(spark))
+    assert rows.count() == 10
+    found = payloads.collect()
+    assert len(found) == len({r["digest"] for r in rows.collect()}) == len({(r["shard"], r["offset"]) for r in found})
+    for shard in {r["shard"] for r in found}:
         with tarfile.open(f"{folder.removeprefix('file://')}/{shard}") as tar:
             members = {m.offset_data: (m.name, m.size) for m in tar}
-        for r in rows:
+        for r in found:
             if r["shard"] == shard:
-                assert members[r["offset"]] == (f"{r['digest']}.png", r["length"])
-    assert media.with_features(*media.store(empty(spark))).count() == 0
+                assert members[r["offset"]] == (f"{r['digest'].hex()}.png", r["length"])
+    _, payloads, folder = media.store(empty(spark))
+    assert media.with_features(payloads, folder).count() == 0
 
 
 def test_image_round_trip():
