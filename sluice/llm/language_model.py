@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.graph import by_group
 from sluice.llm.shared import chunks, documents, lowered, materialize, prefix_hash, small_batches, span_hash, utf8, word_spans
 
 #: Words that every task holds (numbers of 16 bits, with the shapes' and the end's); of these, the words that
@@ -28,8 +28,9 @@ FREQUENT, SEEDS, CLASSES, SWEEPS, ROUNDS = (1 << 16) - 64, 1024, 64, 4, 2
 SHAPES = 32
 #: Added to a word's count, and to a class transition's.
 ADDED, ADDED_TRANSITION = 0.1, 0.1
-#: Ranges of frequent words that a round's counts are dealt over, and numbers that a task gathers before it merges them.
-PARTS, _HELD = 32, 1 << 21
+#: Tokens for which a round's counts are dealt over one part more, the least number of parts, and numbers
+#: that a task gathers before it merges them.
+PART_TOKENS, PARTS, _HELD = 1 << 23, 32, 1 << 21
 
 _KIND = np.full(256, 3, np.int64)
 _KIND[[*range(65, 91), *range(97, 123)]] = 0
@@ -231,8 +232,8 @@ def _fitting(table: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, n
     return np.log(table[:, :classes]), np.log(table[:classes]).T, np.log(table.sum(1)[:classes]) + np.log(table.sum(0)[:classes])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], known: int, group: np.ndarray, per: int) -> Iterator[pa.RecordBatch]:
-    """A task's counts of the groups before and after each frequent word, by ranges of words."""
+def _contexts(batches: Iterator[pa.RecordBatch], known: int, group: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """A task's counts of the groups before and after each frequent word; word w is dealt to part w modulo `parts`."""
     k = int(group.max()) + 1
     held: list[np.ndarray] = []
     weights: list[np.ndarray] = []
@@ -241,11 +242,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], known: int, group: np.ndarray,
         values, n, _ = _merged(held, weights)
         held[:], weights[:] = [values], [n]
 
+    per = -(-known // parts)
     for batch in batches:
         symbols, counts = _flat(batch.column(0), "<u2")
         before, after = _neighbours(group[symbols], counts, k - 1)
         own = symbols < known
-        at = symbols[own] * (2 * k)
+        at = (symbols[own] % parts * per + symbols[own] // parts) * (2 * k)
         held += [at + before[own], at + k + after[own]]
         weights += [np.ones(own.sum(), np.int64)] * 2
         if sum(map(len, held)) > 2 * _HELD:
@@ -253,29 +255,40 @@ def _contexts(batches: Iterator[pa.RecordBatch], known: int, group: np.ndarray,
     if not held:
         return
     merge()
-    part = held[0] // (2 * k * per)
-    bounds = np.searchsorted(part, np.arange(PARTS + 1))
-    for p in range(PARTS):
-        a, b = bounds[p], bounds[p + 1]
-        if b > a:
-            cells = (held[0][a:b] - p * per * 2 * k).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([cells.tobytes()], pa.binary()), pa.array([weights[0][a:b].astype("<i8").tobytes()], pa.binary())], ["part", "cells", "n"])
+    values, n = held[0], weights[0]
+    if not len(values):
+        return
+    at = np.flatnonzero(np.concatenate(([True], np.diff(values // (2 * k * per)) > 0)))
+    for a, z in zip(at, np.append(at[1:], len(values)), strict=True):
+        part = int(values[a] // (2 * k * per))
+        cells = np.diff(values[a:z] - part * per * 2 * k, prepend=0).astype("<u4")
+        data = zstandard.compress(cells.tobytes() + n[a:z].astype("<u4").tobytes(), 1)  # a task's counts are below 2**32
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
 
 
-def _move(batches: Iterator[pa.RecordBatch], table: np.ndarray, classes: int, per: int) -> Iterator[pa.RecordBatch]:
-    """The class of each frequent word that its neighbours fit best; ties go to the lower class."""
-    k = len(table)
+def _move(batches: Iterator[pa.RecordBatch], table: np.ndarray, classes: int, known: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The class of each frequent word that its neighbours fit best, ties to the lower class; from rows sorted by part, of which sums are held."""
+    k, per = len(table), -(-known // parts)
     left, right, own = _fitting(table, classes)
-    for rows in by_group(batches, ["part"]):
-        total = np.zeros(per * 2 * k)
-        for cells, n in zip(rows.column("cells"), rows.column("n"), strict=True):
-            total[np.frombuffer(cells.as_buffer(), "<i4")] += np.frombuffer(n.as_buffer(), "<i8")
-        total = total.reshape(per, 2, k)
-        n = total[:, 0].sum(1)
-        fit = total[:, 0] @ left + total[:, 1] @ right - n[:, None] * own
+    part, total = None, np.zeros(0)
+
+    def out() -> pa.RecordBatch:
+        counts = total.reshape(per, 2, k)
+        n = counts[:, 0].sum(1)
+        fit = counts[:, 0] @ left + counts[:, 1] @ right - n[:, None] * own
         some = np.flatnonzero(n)
-        first = rows.column("part")[0].as_py() * per
-        yield pa.RecordBatch.from_arrays([pa.array(first + some), pa.array(np.argmax(fit[some], axis=1).astype(np.int32))], ["symbol", "class"])
+        return pa.RecordBatch.from_arrays([pa.array(part + some * parts), pa.array(np.argmax(fit[some], axis=1).astype(np.int32))], ["symbol", "class"])
+
+    for batch in batches:
+        for p, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if p != part:
+                if part is not None:
+                    yield out()
+                part, total = p, np.zeros(per * 2 * k)
+            cells, n = np.frombuffer(zstandard.decompress(data.as_buffer()), "<u4").reshape(2, -1)
+            total[np.cumsum(cells, dtype=np.int64)] += n
+    if part is not None:
+        yield out()
 
 
 def cluster(learnt: DataFrame, known: Vocabulary, seeds: int, classes: int, rounds: int) -> tuple[np.ndarray, int]:
@@ -292,12 +305,12 @@ def cluster(learnt: DataFrame, known: Vocabulary, seeds: int, classes: int, roun
     first[-1] = seeds + SHAPES
     group = exchange(pair_table(learnt, "symbols", "<u2", first), seeds, classes)[first]
     classes = int(group[-1]) - SHAPES
-    per = max(1, -(-f // PARTS))
+    parts = min(max(PARTS, known.total // PART_TOKENS), max(f, 1))
     for _ in range(rounds if f > 1 else 0):
         table, now = pair_table(learnt, "symbols", "<u2", group), group
-        counted = learnt.select("symbols").mapInArrow(lambda it, now=now: _contexts(it, f, now, per), "part int, cells binary, n binary")
-        dealt = counted.repartition(PARTS, "part").sortWithinPartitions("part")
-        moved = dealt.mapInArrow(lambda it, table=table: _move(it, table, classes, per), "symbol long, class int").toArrow()  # a row a frequent word
+        counted = learnt.select("symbols").mapInArrow(lambda it, now=now: _contexts(it, f, now, parts), "part int, data binary")
+        dealt = counted.repartition(parts, "part").sortWithinPartitions("part")
+        moved = dealt.mapInArrow(lambda it, table=table: _move(it, table, classes, f, parts), "symbol long, class int").toArrow()  # a row a frequent word
         group = now.copy()
         group[moved.column("symbol").to_numpy()] = moved.column("class").to_numpy()
     return group, classes
