@@ -64,6 +64,7 @@ def test_jaccard_large_group_in_blocks(spark, monkeypatch):
     base = [f"w{k}" for k in range(60)]
     texts = {k: " ".join(base[:k] + [f"new{k}"] + base[k + 1 :]) for k in range(25)}
     texts[25] = " ".join(base)
+    monkeypatch.setattr(jaccard, "_ROWS_AT_ONCE", 16)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(df).collect()} == brute_links(texts)
 
@@ -77,6 +78,30 @@ def test_jaccard_hard_cases(spark):
     assert sorted(kept, key=str) == [1, 3, 4, 5, 6, 8, 9, None]
 
 
+def test_jaccard_proposes_little_more_than_it_links(spark):
+    """Texts that share a third of their shingles meet in buckets, but not in one component."""
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(45)]
+    texts = {k: " ".join(common + [f"own{k}x{rng.randrange(10**6)}" for _ in range(55)]) for k in range(300)}
+    texts |= {1000 + k: texts[k] + " more" for k in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(df).collect()} == brute_links(texts)
+    sketch = pa.Table.from_batches(jaccard._sketch(iter([pa.RecordBatch.from_pydict({"key": list(texts), "text": list(texts.values())})]), 5, jaccard.bands_for(), jaccard.ROWS))
+    signatures = np.stack([np.frombuffer(x, np.uint8) for x in sketch.column("signature").to_pylist()])
+    same = np.zeros(len(texts), np.int64)
+    a, b = jaccard._alike(same, same, same > 0, signatures, jaccard.least_equal(jaccard.SIMILARITY, signatures.shape[1]))
+    ids = np.array(list(texts))
+    assert {(ids[x], ids[y]) for x, y in zip(a, b, strict=True)} == {(k, 1000 + k) for k in range(40)}
+
+
+def test_signature_threshold():
+    n = 114
+    need = jaccard.least_equal(0.8, n)
+    tail = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(need))
+    assert tail <= jaccard.MISS_SIGNATURE < tail + math.comb(n, need) * 0.8**need * 0.2 ** (n - need)
+    assert jaccard.least_equal(1.0, n) == n
+
+
 def test_bands_reach_the_target():
     assert (1 - jaccard.SIMILARITY**jaccard.ROWS) ** jaccard.bands_for() <= jaccard.MISS
 
