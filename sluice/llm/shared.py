@@ -28,9 +28,11 @@ _powers: list[np.ndarray] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Set here only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own; others must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -51,12 +53,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    instead: a table of materialize's that only df was made from; it is deleted once df is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop(id(instead), (None, path + "-none"))[1])
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = out, path
+    while len(_tables) > 64:
+        del _tables[next(iter(_tables))]
+    return out
+
+
+#: The latest tables of materialize and their paths, by which they are deleted.
+_tables: dict[int, tuple[DataFrame, str]] = {}
 
 
 def written_order(df: DataFrame, label: str, column: str) -> DataFrame:
