@@ -42,8 +42,18 @@ def parse_claims(claims_json: Column) -> Column:
     return F.coalesce(F.from_json(claims_json, CLAIMS), F.from_json(F.lit("[]"), CLAIMS))
 
 
+def claims_parse(claims_json: Column) -> Column:
+    """Whether a text is JSON; null for none."""
+    return F.when(claims_json.isNotNull(), F.try_parse_json(claims_json).isNotNull())
+
+
+def missing_files(files: Column) -> Column:
+    """Files of a complete scope that aren't there, in order."""
+    return F.array_sort(F.array_except(F.array(*map(F.lit, TRIAD)), F.coalesce(files, F.array().cast("array<string>"))))
+
+
 def triad(files: Column) -> Column:
-    return F.size(F.array_except(F.array(*map(F.lit, TRIAD)), F.coalesce(files, F.array().cast("array<string>")))) == 0
+    return F.size(missing_files(files)) == 0
 
 
 def inheritance(canon: Column) -> Column:

@@ -9,6 +9,8 @@ from sluice.operators.validator import ABLATIONS, accept, validate
 from sluice.sources import table
 
 LEDGER_ROWS, FAKE_SHA = 200, "0" * 40
+#: Fixed value: the definition of a term that has none of its own.
+DEFINED = "defined locally"
 #: Proxies of the two model arms, set once on sf0.001: shares of symbols and of distinct tokens.
 SYMBOL_SHARE, DISTINCT_SHARE = 0.06, 0.35
 CORE = ("C1", "C2", "C3", "C4")
@@ -41,9 +43,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """items with the ledger row that each cites, item k citing row k modulo the ledger's rows."""
+    """items with the ledger row that each cites, item k citing row k modulo the ledger's rows; nulls where the ledger is empty."""
     led = ledger(spark, sf_dir).select(F.col("pos").alias("l_pos"), "sha", "committed_date")
-    return items(spark, sf_dir).join(led, F.col("pos") % LEDGER_ROWS == F.col("l_pos")).drop("l_pos")
+    rows = items(spark, sf_dir).join(F.broadcast(led.agg(F.count("*").alias("l_rows"))))  # one row
+    return rows.join(led, F.expr("pmod(pos, nullif(l_rows, 0))") == F.col("l_pos"), "left").drop("l_pos", "l_rows")
 
 
 def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,7 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = F.array_join(F.transform("used", lambda t: F.concat(F.lit("[["), t, F.lit("]]"))), " ")
     mentions = F.concat(mentions, F.when(klass == "Gintro", " [[Unresolved]]").otherwise(""))
     canon = F.concat(F.lit("inherits: /\nwindow_start: "), "start", F.lit("\nwindow_end: "), "end", F.lit("\n\nGoverns "), mentions, F.lit(".\n"))
-    vocab = F.concat(F.lit("# VOCAB\n"), F.array_join(F.transform("used", lambda t: F.concat(F.lit("- [["), t, F.lit("]]: meaning given here\n"))), ""))
+    vocab = F.concat(F.lit("# VOCAB\n"), F.array_join(F.transform("used", lambda t: F.concat(F.lit("- [["), t, F.lit(f"]]: {DEFINED}\n"))), ""))
     claim = F.struct(F.col("prose").alias("text"), F.col("used").alias("terms"), F.col("cites").alias("evidence_commit"), date.alias("evidence_date"))
     return base.select(
         "pos", "klass", "topic", "lang", "gt_slop", "labelled", "quality", "toxic", "prose",

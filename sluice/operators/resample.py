@@ -6,14 +6,18 @@ per block, never per item and iteration.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.functions import metrics as M
 
 #: The generator's multiplier, increment, modulus and seed.
 A, C, MODULUS, SEED = 1103515245, 12345, 1 << 31, 12345
 _STEP, _BITS = 1024, 36
+#: The permutation tests' iterations and seed.
+PERMUTATIONS, PERMUTATION_SEED = 20_000, 20260605
 
 
 def jumps(n: int) -> list[tuple[int, int]]:
@@ -64,8 +68,11 @@ def bootstrap(spark: SparkSession, blocks: DataFrame, statistic, iters: int = 20
 
     blocks: arm, block and the block's tp, fp, fn, tn.
     """
-    drawn = draws(spark, blocks, iters, seed).join(blocks, "block")
-    sums = drawn.groupBy("arm", "iter").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")))
+    # blocks with the same cells in all arms are of one kind: draws are added up by kind before arms come in
+    vectors = blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("arm", "tp", "fp", "fn", "tn"))).alias("v")).withColumn("kind", F.sha2(F.to_json("v"), 256))
+    kinds = vectors.groupBy("kind").agg(F.any_value("v").alias("v")).select("kind", F.explode("v").alias("v")).select("kind", "v.*")
+    drawn = draws(spark, blocks, iters, seed).join(vectors.select("block", "kind"), "block").groupBy("kind", "iter").agg(F.sum("times").alias("times"))
+    sums = drawn.join(kinds, "kind").groupBy("arm", "iter").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")))
     value = F.round(statistic(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))), 3)
     values = sums.groupBy("arm").agg(F.array_sort(F.collect_list(value)).alias("v"))  # iters numbers an arm
     return values.select("arm", F.get("v", F.lit(int(0.025 * iters))).alias("lo"), F.get("v", F.lit(int(0.975 * iters))).alias("hi"))
@@ -92,6 +99,69 @@ def permute_arms(pairs: DataFrame, iters: int, seed: int) -> DataFrame:
     return diffs.where("iter > 0").join(F.broadcast(observed)).groupBy("stat").agg(F.count("*").alias("iters"), F.round((F.count_if(F.abs("d") >= F.abs("stat")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 
+def published_swaps(gt: np.ndarray, a: np.ndarray, b: np.ndarray, topic: np.ndarray, iters: int = PERMUTATIONS, seed: int = PERMUTATION_SEED) -> tuple[float, float, float]:
+    """(phi of b less phi of a, p under swapped items, p under swapped topics), on one Mersenne stream: items first.
+
+    gt: slop; a, b: two arms' decisions; topic: numbers from 0 in the order of their first item.
+    A swap moves the difference of the arms' cells, so an iteration is a product of its coins and
+    these, PIECE coins at a time.
+    """
+
+    def cells(d: np.ndarray) -> np.ndarray:
+        return np.stack([d & gt, d & ~gt, ~d & gt, ~d & ~gt], 1).astype(float)
+
+    def phi(v: np.ndarray) -> np.ndarray:
+        tp, fp, fn, tn = v.T
+        m = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+        return np.round(np.where(m == 0, 0.0, (tp * tn - fp * fn) / np.sqrt(np.where(m == 0, 1, m))), 3)
+
+    va, vb = cells(a), cells(b)
+    stat = float(phi(vb.sum(0)[None])[0] - phi(va.sum(0)[None])[0])
+    rng, out = np.random.RandomState([seed]), []
+    for codes in (np.arange(len(gt)), topic):
+        m = int(codes.max(initial=-1)) + 1
+        diff = np.zeros((m, 4))
+        np.add.at(diff, codes, vb - va)
+        hits, step = 0, max(1, PIECE // max(m, 1))
+        for first in range(0, iters, step):
+            moved = (rng.random_sample((min(step, iters - first), m)) < 0.5) @ diff
+            d = phi(vb.sum(0) - moved) - phi(va.sum(0) + moved)
+            hits += int((np.abs(d) >= abs(stat) - 1e-12).sum())
+        out.append((hits + 1) / (iters + 1))
+    return round(stat, 3), out[0], out[1]
+
+
+#: Coins that published_swaps holds at once.
+PIECE = 1 << 20
+
+
+def sampled_f1_tail(cells: DataFrame, iters: int = PERMUTATIONS, seed: int = PERMUTATION_SEED) -> DataFrame:
+    """arm, f1, p, null_max: F1 under `iters` permutations of the labels, for cells (arm, tp, fp, fn, tn, n).
+
+    With decisions and label totals fixed, the true positives of a permutation are hypergeometric:
+    each is drawn by the inverse of that distribution at a hashed number of 48 bits. Only its part
+    within 12 deviations of its mean is listed; what is beyond is far below 2**-48.
+    """
+    p, r, n = F.col("p").cast("double"), F.col("r").cast("double"), F.col("n").cast("double")
+    base = cells.select("arm", "n", "tp", (F.col("tp") + F.col("fn")).alias("p"), (F.col("tp") + F.col("fp")).alias("r"))
+    mean, deviation = p * r / n, F.sqrt(p * r * (n - p) * (n - r) / (n * n * F.greatest(n - 1, F.lit(1.0))))
+    low = F.greatest(F.lit(0), F.col("p") + F.col("r") - F.col("n"), F.floor(mean - 12 * deviation))
+    high = F.least("p", "r", F.ceil(mean + 12 * deviation))
+    listed = base.withColumn("x", F.explode(F.sequence(low, high)))
+    mass = F.exp(M.ln_choose(F.col("p"), F.col("x")) + M.ln_choose(F.col("n") - F.col("p"), F.col("r") - F.col("x")) - M.ln_choose(F.col("n"), F.col("r")))
+    upto = F.sum("mass").over(Window.partitionBy("arm").orderBy("x"))  # some root of n rows an arm
+    steps = listed.withColumn("mass", mass).withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("mass"))
+    last = F.row_number().over(Window.partitionBy("arm").orderBy(F.desc("x"))) == 1
+    steps = steps.withColumn("upto", F.when(last, F.lit(2.0)).otherwise(F.col("upto"))).select("arm", "x", "start", "upto")
+    v = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "arm", F.col("iter").cast("string")), 256), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    drawn = base.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iters)))).withColumn("v", v)
+    f1 = lambda x: F.round(F.coalesce(2.0 * x / F.nullif((F.col("p") + F.col("r")).cast("double"), F.lit(0.0)), F.lit(0.0)), 3)
+    steps = steps.withColumnRenamed("arm", "s_arm")
+    met = drawn.join(steps, (F.col("arm") == F.col("s_arm")) & (F.col("start") <= F.col("v")) & (F.col("v") < F.col("upto")))
+    out = met.select("arm", f1(F.col("tp")).alias("f1"), f1(F.col("x")).alias("f"))
+    return out.groupBy("arm", "f1").agg(F.round((F.count_if(F.col("f") >= F.col("f1")) + 1) / (F.count("*") + 1), 6).alias("p"), F.max("f").alias("null_max"))
+
+
 def exact_f1_tail(cells: DataFrame) -> DataFrame:
     """cells (arm, tp, fp, fn, tn, n) with p: the chance of so high an F1 under permuted labels.
 

@@ -2,36 +2,78 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Dot product of normalised vectors, in doubles, to 6 places."""
-    return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), 6)
+#: Queries and passages of a block; a task holds one block of each.
+QUERY_BLOCK, PASSAGE_BLOCK = 4096, 16384
+_FOUND = "q long, pos long, sim double"
 
 
-def similarities(queries: DataFrame, corpus: DataFrame, leave_out: bool = False) -> DataFrame:
-    """(q, pos, sim) of every query with every passage; leave_out: not with passages of its own source.
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-    queries: q, vector, q_source; corpus: pos, vector, source. A stated query set against all rows.
+
+def _codes(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal numbers for equal values of two columns; nulls are equal to each other."""
+    both = pa.chunked_array([*a.chunks, *b.chunks]).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+    return both[: len(a)], both[len(a) :]
+
+
+def _best(queries: pa.Table, passages: pa.Table, k: int, leave_out: bool) -> pa.Table:
+    """The k most similar passages of one block of each query of another: dot products to 6 places, ties by pos."""
+    order = np.argsort(passages.column("pos").to_numpy(), kind="stable")
+    passages = passages.take(pa.array(order))
+    q, pos = queries.column("q").to_numpy(), passages.column("pos").to_numpy()
+    theirs, ours = _codes(queries.column("q_source"), passages.column("source")) if leave_out else (q, pos)
+    v, w = _vectors(queries.column("vector")), _vectors(passages.column("vector"))
+    rows, places, sims = [], [], []
+    for a in range(0, len(q), 256):
+        sim = np.round(v[a : a + 256] @ w.T, 6)
+        sim[theirs[a : a + 256, None] == ours[None, :]] = -np.inf
+        if k < sim.shape[1]:  # all that reach the k-th best, so ties are settled by pos
+            floor = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+        else:
+            floor = np.full((len(sim), 1), -np.inf)
+        r, c = np.nonzero((sim >= floor) & np.isfinite(sim))
+        best = np.lexsort((c, -sim[r, c], r))
+        r, c = r[best], c[best]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        rows.append(q[a : a + 256][r[keep]])
+        places.append(pos[c[keep]])
+        sims.append(sim[r[keep], c[keep]])
+    return pa.table({"q": np.concatenate(rows), "pos": np.concatenate(places), "sim": np.concatenate(sims)})
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, leave_out: bool = False) -> DataFrame:
+    """(q, pos, sim, rank): the k passages most similar to each query by dot product, to 6 places; ties by pos.
+
+    queries: q, vector, q_source; corpus: pos, vector, source. A query's own row (pos = q) isn't a
+    passage; with leave_out, none of its source is. A stated query set against all rows: both sides
+    are dealt into blocks by hash, each pair of blocks is one matrix product in one task, and only a
+    block's k best go on. Rows without a vector are left out.
     """
-    pairs = corpus.withColumnRenamed("vector", "__v").crossJoin(queries)
-    if leave_out:
-        pairs = pairs.where(~F.col("source").eqNullSafe(F.col("q_source")))
-    return pairs.select("q", "pos", cosine(F.col("vector"), F.col("__v")).alias("sim"))
+    queries, corpus = queries.where("vector is not null"), corpus.where("vector is not null")
+    q_blocks, p_blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (corpus, PASSAGE_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("q", "vector", "q_source", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int").alias("qb"), every(p_blocks).alias("pb"))
+    held = corpus.select("pos", "vector", "source", F.pmod(F.xxhash64("pos"), F.lit(p_blocks)).cast("int").alias("pb"), every(q_blocks).alias("qb"))
+    found = asked.groupBy("qb", "pb").cogroup(held.groupBy("qb", "pb")).applyInArrow(lambda a, b: _best(a, b, k, leave_out) if a.num_rows and b.num_rows else _NONE, _FOUND)
+    w = Window.partitionBy("q").orderBy(F.desc("sim"), "pos")  # k rows a block of passages
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def top_k(sims: DataFrame, k: int) -> DataFrame:
-    """The k most similar passages of each query with their rank; ties by pos."""
-    w = Window.partitionBy("q").orderBy(F.desc("sim"), "pos")
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+_NONE = pa.table({"q": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
 
 
-def grounding(sims: DataFrame) -> DataFrame:
-    """q, max, mean_top5: the sum of the five best over 5, whatever their number."""
-    return top_k(sims, 5).groupBy("q").agg(F.round(F.max("sim"), 4).alias("max"), F.round(F.sum("sim") / 5, 4).alias("mean_top5"))
+def grounding(best: DataFrame) -> DataFrame:
+    """q, max, mean_top5 of the five best: their sum over 5, whatever their number."""
+    return best.where("rank <= 5").groupBy("q").agg(F.round(F.max("sim"), 4).alias("max"), F.round(F.sum("sim") / 5, 4).alias("mean_top5"))
 
 
 def context(top: DataFrame, excerpts: DataFrame, length: int) -> DataFrame:
@@ -45,3 +87,28 @@ def coverage(claim: Column, context: Column) -> Column:
     """Share of a claim's distinct tokens that its context has too; 0 for no tokens."""
     of = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), 0))
     return F.transform(F.array(F.struct(of(claim).alias("a"), of(context).alias("b"))), lambda s: F.when(F.size(s["a"]) == 0, 0.0).otherwise(F.size(F.array_intersect(s["a"], s["b"])).cast("double") / F.size(s["a"])))[0]
+
+
+#: Words of a passage that documents are looked up by.
+GRAM = 4
+_WORDS = r"array_remove(split(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), '')"
+
+
+def contained(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """(item, key) of the passages (item, text) that stand in documents, character by character.
+
+    A passage's second to fifth words stand whole in a text that has it, so texts and passages meet
+    on the hash of these four, and what meets is compared. Passages of fewer than six words are
+    compared with all texts. Null texts have no passages, and an empty passage stands in every text.
+    """
+    listed = passages.select(item, F.col(text).alias("passage"), F.expr(_WORDS.format(text)).alias("w")).where("passage is not null")
+    four = "xxhash64({})".format(", ".join(f"get(w, {{}} + {k})" for k in range(GRAM)))
+    long = listed.where(F.size("w") >= GRAM + 2).select(item, "passage", F.expr(four.replace("{}", "1")).alias("h"))
+    grams = docs.select(key, F.expr(_WORDS.format(text)).alias("w")).where(F.size("w") >= GRAM)
+    grams = grams.select(key, F.explode(F.array_distinct(F.expr(f"transform(sequence(0, size(w) - {GRAM}), i -> {four.replace('{}', 'i')})"))).alias("h"))
+    met = grams.join(long, "h").select(key, item).distinct()
+    texts = docs.select(key, F.col(text).alias("__text"))
+    far = met.join(texts, key).join(passages.select(item, F.col(text).alias("passage")), item).where(F.contains("__text", "passage")).select(item, key)
+    short = listed.where(F.size("w") < GRAM + 2).select(item, "passage")
+    near = texts.join(short, F.contains("__text", "passage")).select(item, key)
+    return far.unionByName(near).distinct()

@@ -8,27 +8,41 @@ from pyspark.sql.window import Window
 
 from sluice.functions import metrics as M
 
-RANGES = 1024
+#: Ranges of about equally many values that running totals are dealt over.
+RANGES = 256
+
+
+def in_ranges(df: DataFrame, column: str, name: str = "__r") -> DataFrame:
+    """df with the range of each row's value: RANGES ranges with about equally many of df's rows, between approximate quantiles."""
+    cuts = df.agg(F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("__cuts"))  # one row
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(column)))
+    return df.join(F.broadcast(cuts)).withColumn(name, below).drop("__cuts")
 
 
 def running_totals(df: DataFrame, score: str, sums: dict[str, Column]) -> DataFrame:
     """A row per distinct score with sums and first (least pos), and with totals up to and with it as cum_NAME.
 
-    Scores are dealt over RANGES equal ranges between the least and the greatest, so a window
-    never holds all of them; the ranges' own totals are a table of RANGES rows.
+    Distinct scores are dealt over ranges between their quantiles, so a window holds a like share of
+    them whatever their distribution; the ranges' own totals are a table of RANGES rows.
     """
-    per = df.groupBy(score).agg(*(c.alias(n) for n, c in sums.items()), F.min("pos").alias("first"))
-    ends = per.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    per = per.join(F.broadcast(ends)).withColumn("__r", F.coalesce(F.least(F.floor((F.col(score) - F.col("__lo")) / width * RANGES), F.lit(RANGES - 1)), F.lit(0)))  # one row
+    per = in_ranges(df.groupBy(score).agg(*(c.alias(n) for n, c in sums.items()), F.min("pos").alias("first")), score)
     totals = per.groupBy("__r").agg(*(F.sum(n).alias(f"__{n}") for n in sums))
     before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("__r", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
     own = Window.partitionBy("__r").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    out = per.join(totals, "__r")
+    out = per.join(F.broadcast(totals), "__r")  # RANGES rows
     return out.select(score, "first", *sums, *((F.col(f"__{n}") + F.sum(n).over(own)).alias(f"cum_{n}") for n in sums))
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with its rows numbered from 0 in order, by counts of ranges and a window in each."""
+    ranged = in_ranges(df, order)
+    before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("__r").agg(F.count("*").alias("__c")).select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c"))
+    at = F.col("__c") + F.row_number().over(Window.partitionBy("__r").orderBy(order)) - 1
+    return ranged.join(F.broadcast(counts), "__r").withColumn(name, at).drop("__r", "__c")  # RANGES rows
+
+
 def best_threshold(df: DataFrame, score: str = "score", gt: str = "gt_slop") -> DataFrame:
     """One row: threshold, f1, tp, fp, fn, tn. Rejects score <= threshold; the greatest F1, rounded to 3 places, wins, ties to the first in pos.
 

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from sluice.functions import gates as G
 from sluice.operators import corpus as C
-from sluice.operators.validator import ABLATIONS, FLAGS, accept
+from sluice.operators.validator import ABLATIONS, FLAGS, NAMED_TERMS, REASONS, accept
 from sluice.plans import oracle as O
 from sluice.sources import table
 
@@ -49,11 +49,11 @@ def ledger_window(spark, sf):
     return C.ledger(spark, sf).agg(F.min("committed_date").alias("window_start"), F.max("committed_date").alias("window_end"), F.count("*").alias("n"))
 
 
-@query(O.sql(O.ITEMS, O.LEDGER, select="SELECT i.pos, l.pos AS ledger_pos, l.sha, l.committed_date FROM items i JOIN ledger l ON i.pos % 200 = l.pos"))
+@query(O.sql(O.ITEMS, O.LEDGER, select="SELECT i.pos, l.pos AS ledger_pos, l.sha, l.committed_date FROM items i JOIN ledger l ON i.pos % (SELECT count(*) FROM ledger) = l.pos"))
 def evidence_anchor(spark, sf):
     """Item k cites the ledger's row k modulo its length."""
-    led = C.ledger(spark, sf).withColumnRenamed("pos", "ledger_pos")
-    return C.items(spark, sf).select("pos").join(led, F.pmod("pos", F.lit(C.LEDGER_ROWS)) == F.col("ledger_pos")).select("pos", "ledger_pos", "sha", "committed_date")
+    led = C.ledger(spark, sf).select(F.col("pos").alias("ledger_pos"), "sha")
+    return C.anchored(spark, sf).select("pos", "sha", "committed_date").join(led, "sha").select("pos", "ledger_pos", "sha", "committed_date")
 
 
 @query(O.sql(*FLAGGED, select="SELECT pos, klass, canon, vocab, sha256(prose) AS prose_sha FROM flags"))
@@ -138,9 +138,15 @@ def ablation_long(spark, sf):
     return C.verdicts(spark, sf).select("pos", "klass", arms.alias("a")).select("pos", "klass", "a.*")
 
 
-@query(O.sql(*FLAGGED, select="""SELECT pos, concat_ws('; ', CASE WHEN NOT triad_ok THEN 'files missing' END, CASE WHEN NOT inheritance_ok THEN 'no inheritance from the root' END,
-  CASE WHEN NOT introspection_ok THEN 'undefined terms: ' || array_to_string(list_slice(list_sort(list_distinct(list_filter(list_concat(canon_terms, vocab_terms), lambda t: NOT list_contains(defs, t)))), 1, 5), ', ') END,
-  CASE WHEN NOT gate_vocab_ok THEN 'a term has no definition' END, CASE WHEN NOT gate_evidence_ok THEN 'evidence is not in the ledger' END, CASE WHEN NOT gate_scope_ok THEN 'evidence is dated outside the window' END) AS reasons FROM flags"""))
+_LISTED = lambda names: f"'[' || array_to_string(list_transform({names}, lambda x: chr(39) || x || chr(39)), ', ') || ']'"
+_MISSING = {
+    "triad_ok": "CASE WHEN files_missing THEN ['CANON.md', 'README.md', 'VOCAB.md'] END",
+    "introspection_ok": f"list_slice(list_sort(list_distinct(list_filter(list_concat(canon_terms, vocab_terms), lambda t: NOT list_contains(defs, t)))), 1, {NAMED_TERMS})",
+}
+_SAID = ", ".join(f"CASE WHEN NOT {flag} THEN '{text}'" + (" || " + _LISTED(_MISSING[flag]) if flag in _MISSING else "") + " END" for flag, text in REASONS.items() if flag != "claims_ok")
+
+
+@query(O.sql(*FLAGGED, select=f"SELECT pos, concat_ws('; ', {_SAID}) AS reasons FROM (SELECT *, NOT triad_ok AS files_missing FROM flags)"))
 def verdict_reasons(spark, sf):
     return C.verdicts(spark, sf).select("pos", F.array_join("reasons", "; ").alias("reasons"))
 
@@ -192,8 +198,10 @@ def json_repair(spark, sf):
 SELECT node, max(depth)::BIGINT AS depth, NOT bool_or(looped) AS reaches_root FROM walk GROUP BY node""")
 def inheritance_recursive(spark, sf):
     """Parent chains walked to the root, loops found (an extension): each scope's parent is half its number, and every fiftieth names itself."""
-    table(spark, sf, "documents").select("doc_id").createOrReplaceTempView("__scopes")
-    return spark.sql("""WITH RECURSIVE walk(node, here, depth, looped) MAX RECURSION LEVEL 200 AS (
-      SELECT doc_id, doc_id, 0L, FALSE FROM __scopes
+    return spark.sql(
+        """WITH RECURSIVE walk(node, here, depth, looped) MAX RECURSION LEVEL 200 AS (
+      SELECT doc_id, doc_id, 0L, FALSE FROM {scopes}
       UNION ALL SELECT node, CASE WHEN here % 50 = 49 THEN here ELSE here DIV 2 END, depth + 1, here % 50 = 49 FROM walk WHERE here <> 0 AND NOT looped)
-    SELECT node, max(depth) AS depth, NOT bool_or(looped) AS reaches_root FROM walk GROUP BY node""")
+    SELECT node, max(depth) AS depth, NOT bool_or(looped) AS reaches_root FROM walk GROUP BY node""",
+        scopes=table(spark, sf, "documents").select("doc_id"),
+    )

@@ -50,11 +50,11 @@ anchored AS (
     CASE klass WHEN 'C1' THEN least(w0, committed_date) WHEN 'Gscope' THEN '1990-01-01' ELSE committed_date END AS w_start,
     CASE klass WHEN 'C1' THEN greatest(w1, committed_date) WHEN 'Gscope' THEN '1990-12-31' ELSE committed_date END AS w_end,
     CASE klass WHEN 'Gevid' THEN repeat('0', 40) ELSE sha END AS cites
-  FROM items i JOIN ledger l ON i.pos % 200 = l.pos CROSS JOIN lens),
+  FROM items i JOIN ledger l ON i.pos % (SELECT count(*) FROM ledger) = l.pos CROSS JOIN lens),
 scopes AS (
   SELECT *, CASE WHEN NOT bare THEN 'inherits: /' || chr(10) || 'window_start: ' || w_start || chr(10) || 'window_end: ' || w_end || chr(10) || chr(10) || 'Governs '
       || array_to_string(list_transform(used, lambda t: '[[' || t || ']]'), ' ') || CASE klass WHEN 'Gintro' THEN ' [[Unresolved]]' ELSE '' END || '.' || chr(10) END AS canon,
-    CASE WHEN NOT bare THEN '# VOCAB' || chr(10) || array_to_string(list_transform(used, lambda t: '- [[' || t || ']]: meaning given here' || chr(10)), '') END AS vocab
+    CASE WHEN NOT bare THEN '# VOCAB' || chr(10) || array_to_string(list_transform(used, lambda t: '- [[' || t || ']]: defined locally' || chr(10)), '') END AS vocab
   FROM anchored),
 parsed AS (
   SELECT *, list_distinct(list_transform(regexp_extract_all(coalesce(canon, ''), '\[\[([^\]]+)\]\]', 1), lambda t: trim(t))) AS canon_terms,

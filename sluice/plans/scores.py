@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.functions import metrics as M
+from sluice.operators import cache as K
 from sluice.operators import corpus as C
 from sluice.operators import resample as R
 from sluice.operators import retrieval as V
 from sluice.operators import thresholds as TH
 from sluice.plans import oracle as O
-from sluice.sources import table
+from sluice.sources import shared_dir, table
 from sluice.streaming.monitor import reject_rates
 
 QUERIES: dict = {}
@@ -21,6 +23,10 @@ ORACLES: dict[str, str] = {}
 BASE = (O.ITEMS, O.PROXIES, O.DECISIONS)
 
 
+#: Words whose counts are broadcast in scoring.
+FREQUENT = 4096
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -44,7 +50,12 @@ def perplexity(spark, sf):
     tokens = items.select("pos", F.posexplode(C.tokens()).alias("i", "t"))
     freq = tokens.groupBy("t").agg(F.count("*").alias("c"))
     total = freq.agg(F.sum("c").cast("double").alias("s"))
-    scored = tokens.where("i > 0").groupBy("pos", "t").agg(F.count("*").alias("k")).join(freq, "t").join(F.broadcast(total))  # one row
+    own = tokens.where("i > 0").groupBy("pos", "t").agg(F.count("*").alias("k"))
+    # a frequent word is in most documents: those come by a broadcast of FREQUENT rows, only the others by a shuffle on the word
+    top = freq.orderBy(F.desc("c"), "t").limit(FREQUENT)
+    looked = own.join(F.broadcast(top), "t", "left")
+    rest = looked.where("c is null").drop("c").join(freq, "t")
+    scored = looked.where("c is not null").unionByName(rest).join(F.broadcast(total))  # one row
     ppl = scored.groupBy("pos").agg(F.round(F.exp(F.least(F.sum(-F.log(F.col("c") / F.col("s")) * F.col("k")) / F.sum("k"), F.lit(20.0))), 4).alias("score"))
     return items.select("pos", "gt_slop", "labelled").join(ppl, "pos", "left")
 
@@ -87,38 +98,37 @@ def roc_auc(spark, sf):
 
 SIMS = """
 vec AS (SELECT vec_id AS pos, label AS source, embedding::DOUBLE[] AS vector FROM embeddings),
-sims AS (SELECT a.pos AS q, b.pos, a.source AS qs, b.source AS ps, round(list_inner_product(a.vector, b.vector), 6) AS sim FROM vec a JOIN vec b ON a.pos % 5 = 0 AND b.pos % 5 <> 0),
+sims AS (SELECT a.pos AS q, b.pos, a.source AS qs, b.source AS ps, round(list_inner_product(a.vector, b.vector), 6) AS sim FROM vec a JOIN vec b ON a.pos % 20 = 0 AND b.pos <> a.pos),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, pos) AS rank FROM sims),
 grounding AS (SELECT q, round(max(sim), 4) AS max, round(sum(sim) / 5, 4) AS mean_top5 FROM ranked WHERE rank <= 5 GROUP BY q)"""
 
 
-def _sims(spark, sf, leave_out=False):
-    """Every fifth vector asks; the others are the corpus; a vector's label is its source."""
+def _top(spark, sf, k, leave_out=False):
+    """Vectors whose number is divisible by 20 ask all others; a vector's label is its source."""
     vec = table(spark, sf, "embeddings")
-    asked = vec.where("vec_id % 5 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"), F.col("label").alias("q_source"))
-    corpus = vec.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), F.col("label").alias("source"))
-    return V.similarities(asked, corpus, leave_out)
+    asked = vec.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"), F.col("label").alias("q_source"))
+    return V.top_k(asked, vec.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), F.col("label").alias("source")), k, leave_out)
 
 
 @query(O.sql(SIMS, select="SELECT q, max, mean_top5 FROM grounding"))
 def grounding_score(spark, sf):
-    return V.grounding(_sims(spark, sf))
+    return V.grounding(_top(spark, sf, 5))
 
 
-@query(O.sql(SIMS, select="SELECT source AS label, count(*) AS n, round(avg(max), 4) AS mean_max FROM grounding JOIN vec ON q = pos GROUP BY source"))
+@query(O.sql(SIMS, select="SELECT source AS label, count(*) AS n, round(avg(max), 6) AS mean_max FROM grounding JOIN vec ON q = pos GROUP BY source"))
 def similarity_by_class(spark, sf):
-    return V.grounding(_sims(spark, sf)).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("q"), "label"), "q").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("max"), 4).alias("mean_max"))
+    return V.grounding(_top(spark, sf, 5)).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("q"), "label"), "q").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("max"), 6).alias("mean_max"))
 
 
 @query(O.sql(SIMS, select="SELECT q, pos, sim, rank FROM ranked WHERE rank <= 3"))
 def retrieve_topk(spark, sf):
-    return V.top_k(_sims(spark, sf), 3)
+    return _top(spark, sf, 3)
 
 
 @query(O.sql(SIMS, "loo AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, pos) AS r FROM sims WHERE qs <> ps)", select="SELECT q, pos, sim, r AS rank FROM loo WHERE r <= 4"))
 def retrieve_topk_loo(spark, sf):
     """Top 4 without the query's own source."""
-    return V.top_k(_sims(spark, sf, leave_out=True), 4)
+    return _top(spark, sf, 4, leave_out=True)
 
 
 CONTEXT = """ctx AS (SELECT q, string_agg('[' || rank || '] ' || coalesce(substr(d.text, 1, {n}), ''), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ranked r LEFT JOIN documents d ON r.pos = d.doc_id WHERE rank <= 3 GROUP BY q)"""
@@ -126,7 +136,7 @@ CONTEXT = """ctx AS (SELECT q, string_agg('[' || rank || '] ' || coalesce(substr
 
 def _context(spark, sf, length):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text")
-    return V.context(V.top_k(_sims(spark, sf), 3), docs, length)
+    return V.context(_top(spark, sf, 3), docs, length)
 
 
 @query(O.sql(SIMS, CONTEXT.format(n=600), select="SELECT q, length(context) AS chars, sha256(context) AS context_sha FROM ctx"))
@@ -149,7 +159,7 @@ def _b3_sql(score: str) -> str:
 
 
 def _b3(spark, sf, sign):
-    scored = C.items(spark, sf).where("labelled").select("pos", "gt_slop").join(V.grounding(_sims(spark, sf)).select(F.col("q").alias("pos"), (sign * F.col("max")).alias("score")), "pos")
+    scored = C.items(spark, sf).where("labelled").select("pos", "gt_slop").join(V.grounding(_top(spark, sf, 5)).select(F.col("q").alias("pos"), (sign * F.col("max")).alias("score")), "pos")
     cells = TH.apply_threshold(scored, TH.best_threshold(scored)).agg(*M.confusion())
     return cells.select("tp", "fp", "fn", "tn", "n", F.round(M.phi(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))), 3).alias("phi"))
 
@@ -166,10 +176,10 @@ def b3_arm_ascoded(spark, sf):
     return _b3(spark, sf, F.lit(-1.0))
 
 
-@query(O.sql(O.ITEMS, SIMS, select="SELECT i.klass, count(*) AS n, count(max) AS grounded, round(avg(max), 4) AS mean_max FROM items i LEFT JOIN grounding ON pos = q GROUP BY klass"))
+@query(O.sql(O.ITEMS, SIMS, select="SELECT i.klass, count(*) AS n, count(max) AS grounded, round(avg(max), 6) AS mean_max FROM items i LEFT JOIN grounding ON pos = q GROUP BY klass"))
 def join_grounding_left(spark, sf):
-    g = V.grounding(_sims(spark, sf)).select(F.col("q").alias("pos"), "max")
-    return C.items(spark, sf).join(g, "pos", "left").groupBy("klass").agg(F.count("*").alias("n"), F.count("max").alias("grounded"), F.round(F.avg("max"), 4).alias("mean_max"))
+    g = V.grounding(_top(spark, sf, 5)).select(F.col("q").alias("pos"), "max")
+    return C.items(spark, sf).join(g, "pos", "left").groupBy("klass").agg(F.count("*").alias("n"), F.count("max").alias("grounded"), F.round(F.avg("max"), 6).alias("mean_max"))
 
 
 @query("""WITH j AS (SELECT conv_id, substr(string_agg(text, ' ' ORDER BY turn), 1, 2400) AS t FROM conversations GROUP BY conv_id) SELECT conv_id, length(t) AS chars, sha256(t) AS text_sha FROM j""")
@@ -216,24 +226,23 @@ def embedding_cache_lookup(spark, sf):
 @query("SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def leakage_check(spark, sf):
     """Benchmark passages that stand in documents: a stated set of passages against all texts."""
-    return table(spark, sf, "documents").join(table(spark, sf, "benchmark").withColumnRenamed("text", "passage"), F.contains("text", "passage")).select("item_id", "doc_id")
-
-
-_CACHED = "pos % 3 <> 0"
+    return V.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("item_id", "doc_id")
 
 
 @query(O.sql(O.ITEMS, O.PROXIES, "cache AS (SELECT pos, CASE WHEN pos % 7 = 0 THEN 'old' ELSE 'panel=a|judge=b' END AS sig, b2 AS v FROM proxies WHERE pos % 3 <> 0)", """hit AS (SELECT p.pos, p.b2, c.pos IS NOT NULL AS cached FROM proxies p LEFT JOIN cache c ON p.pos = c.pos AND c.sig = 'panel=a|judge=b')""",
   select="SELECT cached, count(*) AS n, count(*) FILTER (b2) AS rejected FROM hit GROUP BY cached"))
 def cache_incremental(spark, sf):
-    """Resume from a cache keyed by item and model signature: hits are kept and only misses are scored."""
-    parts = {"panel": "a", "judge": "b"}
-    sig = "|".join(f"{k}={v}" for k, v in parts.items())
-    items = C.items(spark, sf).select("pos", "prose")
-    cache = items.where(_CACHED).select("pos", F.when(F.col("pos") % 7 == 0, "old").otherwise(sig).alias("sig"), C.quality_proxy().alias("reject"))
-    valid = cache.where(F.col("sig") == sig).select("pos", "reject")
-    misses = items.join(valid, "pos", "left_anti").select("pos", C.quality_proxy().alias("reject"))
-    both = valid.withColumn("cached", F.lit(True)).unionByName(misses.withColumn("cached", F.lit(False)))
-    return both.groupBy("cached").agg(F.count("*").alias("n"), F.count_if("reject").alias("rejected"))
+    """Resume from a cache keyed by item and model signature: hits are read, and only misses are scored and kept.
+
+    Two earlier runs fill the cache: one under an older signature, one under this one.
+    """
+    sig, old = K.signature({"panel": "a", "judge": "b"}), K.signature({"panel": "a", "judge": "older"})
+    items, path = C.items(spark, sf).select("pos", "prose"), f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    score = lambda rows: rows.select("pos", C.quality_proxy().alias("value"))
+    for part, by in ((F.col("pos") % 7 == 0, old), (F.col("pos") % 7 != 0, sig)):
+        K.resume(items.where((F.col("pos") % 3 != 0) & part), path, by, score, "boolean")
+    both = K.resume(items, path, sig, score, "boolean")
+    return both.groupBy("cached").agg(F.count("*").alias("n"), F.count_if("value").alias("rejected"))
 
 
 @query(f"""WITH RECURSIVE l(g, state) AS (SELECT 1, ({R.A}::BIGINT * {R.SEED} + {R.C}) % {R.MODULUS} UNION ALL SELECT g + 1, ({R.A}::BIGINT * state + {R.C}) % {R.MODULUS} FROM l WHERE g < 5000) SELECT g::BIGINT AS g, state, state % 360 AS draw FROM l""")
@@ -242,8 +251,7 @@ def lcg_stream(spark, sf):
     return R.lcg_states(spark, 5000).withColumn("draw", F.col("state") % 360)
 
 
-ARMS = ("B1b", "B2", "T")
-_PICK = "arm IN ('B1b', 'B2', 'T')"
+ARMS = C.ARMS
 BLOCKS = """
 firsts AS (SELECT topic, min(pos) AS f FROM items WHERE labelled GROUP BY topic), numbered AS (SELECT topic, row_number() OVER (ORDER BY f) - 1 AS block FROM firsts)"""
 
@@ -264,22 +272,13 @@ SELECT arm, v[51] AS lo, v[1951] AS hi FROM v"""
 
 
 ITEM_BLOCKS = f"""rows_ AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS block FROM items WHERE labelled),
-blocks AS (SELECT arm, block, (reject AND gt_slop)::INT AS tp, (reject AND NOT gt_slop)::INT AS fp, (NOT reject AND gt_slop)::INT AS fn, (NOT reject AND NOT gt_slop)::INT AS tn FROM decisions JOIN rows_ USING (pos) WHERE {_PICK})"""
+blocks AS (SELECT arm, block, (reject AND gt_slop)::INT AS tp, (reject AND NOT gt_slop)::INT AS fp, (NOT reject AND gt_slop)::INT AS fn, (NOT reject AND NOT gt_slop)::INT AS tn FROM decisions JOIN rows_ USING (pos))"""
 TOPIC_BLOCKS = BLOCKS.lstrip() + f""",
-blocks AS (SELECT arm, block, {O.CELLS} FROM decisions JOIN numbered USING (topic) WHERE labelled AND {_PICK} GROUP BY arm, block)"""
-
-
-def _number(df, order: str, name: str):
-    """df with rows numbered from 0 in order, by counts of ranges and a window in each."""
-    ends = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    ranged = df.join(F.broadcast(ends)).withColumn("__r", F.floor((F.col(order) - F.col("__lo")) * 256 / (F.col("__hi") - F.col("__lo") + 1)))
-    counts = ranged.groupBy("__r").agg(F.count("*").alias("__c"))
-    counts = counts.select("__r", F.coalesce(F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__c"))
-    return ranged.join(counts, "__r").withColumn(name, F.col("__c") + F.row_number().over(Window.partitionBy("__r").orderBy(order)) - 1).drop("__r", "__c", "__lo", "__hi")
+blocks AS (SELECT arm, block, {O.CELLS} FROM decisions JOIN numbered USING (topic) WHERE labelled GROUP BY arm, block)"""
 
 
 def _item_blocks(spark, sf):
-    numbered = _number(C.items(spark, sf).where("labelled").select("pos"), "pos", "block")
+    numbered = TH.numbered(C.items(spark, sf).where("labelled").select("pos"), "pos", "block")
     picked = C.decisions(spark, sf, core=True).where(F.col("arm").isin(*ARMS)).join(numbered, "pos")
     return picked.groupBy("arm", "block").agg(*M.confusion())
 
@@ -288,7 +287,7 @@ def _topic_blocks(spark, sf, arms=ARMS):
     """Topics are numbered in the order of their first item."""
     core = C.decisions(spark, sf, core=True).where(F.col("arm").isin(*arms))
     firsts = C.items(spark, sf).where("labelled").groupBy("topic").agg(F.min("pos").alias("first"))
-    numbered = _number(firsts, "first", "block").select("topic", "block")
+    numbered = TH.numbered(firsts, "first", "block").select("topic", "block")
     return core.join(numbered, "topic").groupBy("arm", "block").agg(*M.confusion())
 
 
@@ -323,46 +322,25 @@ def _phi_of(x: str) -> str:
 
 @query("WITH " + ",".join((O.ITEMS, O.PROXIES, O.DECISIONS, TOPIC_BLOCKS)) + f""",
 pairs AS (SELECT block, {', '.join(f"sum({c}) FILTER (arm = '{arm}') AS {x}_{c}" for x, arm in (('a', 'T'), ('b', 'B2')) for c in ('tp', 'fp', 'fn', 'tn'))} FROM blocks GROUP BY block),
-sp AS (SELECT p.*, i.range AS iter, i.range > 0 AND substr(sha256('20260605:' || i.range || ':' || block), 1, 1) < '8' AS swap FROM pairs p CROSS JOIN range(2001) i),
+sp AS (SELECT p.*, i.range AS iter, i.range > 0 AND substr(sha256('{R.PERMUTATION_SEED}:' || i.range || ':' || block), 1, 1) < '8' AS swap FROM pairs p CROSS JOIN range({R.PERMUTATIONS + 1}) i),
 su AS (SELECT iter, {_SIDE('a', 'b')}, {_SIDE('b', 'a')} FROM sp GROUP BY iter),
 df AS (SELECT iter, round(round({_phi_of('b')}, 3) - round({_phi_of('a')}, 3), 3) AS d FROM su),
 ob AS (SELECT d AS stat FROM df WHERE iter = 0)
 SELECT stat, count(*) AS iters, round((count(*) FILTER (abs(d) >= abs(stat)) + 1)::DOUBLE / (count(*) + 1), 6) AS p FROM df CROSS JOIN ob WHERE iter > 0 GROUP BY stat""")
 def phi_diff_perm_hash(spark, sf):
     """T and B2 swapped in whole topics by hashed coins: parallel, and not the published stream."""
-    return R.permute_arms(_pairs(_topic_blocks(spark, sf, ("T", "B2"))), 2000, 20260605)
+    return R.permute_arms(_pairs(_topic_blocks(spark, sf, ("T", "B2"))), R.PERMUTATIONS, R.PERMUTATION_SEED)
 
 
 @query()
 def phi_diff_perm_mt(spark, sf):
     """The same with the published Mersenne stream: item swaps first, then topics on the same stream, which only one task can draw."""
     wide = C.wide_decisions(spark, sf).where("labelled").select("pos", "topic", "gt_slop", F.col("T").alias("a"), F.col("B2").alias("b"))
-    iters = 500
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        g, a, b = (pdf[c].to_numpy(bool) for c in ("gt_slop", "a", "b"))
-        cells = lambda d: np.stack([d & g, d & ~g, ~d & g, ~d & ~g], 1).astype(float)
-        va, vb = cells(a), cells(b)
-
-        def phi(v):
-            tp, fp, fn, tn = v.T
-            m = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
-            return np.round(np.where(m == 0, 0.0, (tp * tn - fp * fn) / np.sqrt(np.where(m == 0, 1, m))), 3)
-
-        stat = float(phi(vb.sum(0)[None])[0] - phi(va.sum(0)[None])[0])
-        rng, out = np.random.RandomState([20260605]), []
-        for codes in (np.arange(len(g)), pd.factorize(pdf["topic"])[0]):
-            m = int(codes.max()) + 1
-            diff = np.zeros((m, 4))
-            np.add.at(diff, codes, vb - va)
-            hits = 0
-            for first in range(0, iters, 100):
-                moved = (rng.random_sample((min(100, iters - first), m)) < 0.5) @ diff
-                d = phi(vb.sum(0) - moved) - phi(va.sum(0) + moved)
-                hits += int((np.abs(d) >= abs(stat) - 1e-12).sum())
-            out.append((hits + 1) / (iters + 1))
-        return pd.DataFrame({"stat": [round(stat, 3)], "iters": [iters], "p_item": [out[0]], "p_cluster": [out[1]]})
+        stat, p_item, p_cluster = R.published_swaps(*(pdf[c].to_numpy(bool) for c in ("gt_slop", "a", "b")), pd.factorize(pdf["topic"])[0])
+        return pd.DataFrame({"stat": [stat], "iters": [R.PERMUTATIONS], "p_item": [p_item], "p_cluster": [p_cluster]})
 
     return wide.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "stat double, iters long, p_item double, p_cluster double")
 
@@ -373,22 +351,20 @@ def f1_perm_exact(spark, sf):
     return R.exact_f1_tail(C.decisions(spark, sf, core=True).groupBy("arm").agg(*M.confusion()))
 
 
-@query()
+_F1_OF = lambda x: f"round(coalesce(2.0 * {x} / nullif(p + r, 0), 0), 3)"
+
+
+@query(O.sql(*BASE, f"c AS (SELECT arm, {O.CELLS} FROM decisions WHERE labelled GROUP BY arm)",
+  "x AS (SELECT arm, n, tp, tp + fn AS p, tp + fp AS r, unnest(range(greatest(0, tp + fn + tp + fp - n), least(tp + fn, tp + fp) + 1)) AS x FROM c)",
+  "m AS (SELECT *, exp(lgamma(p + 1) - lgamma(x + 1) - lgamma(p - x + 1) + lgamma(n - p + 1) - lgamma(r - x + 1) - lgamma(n - p - r + x + 1) - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1)) AS mass FROM x)",
+  "u AS (SELECT *, sum(mass) OVER (PARTITION BY arm ORDER BY x) AS upto FROM m)",
+  f"d AS (SELECT arm, i.range AS iter, ('0x' || substr(sha256('{R.PERMUTATION_SEED}:' || arm || ':' || i.range), 1, 12))::BIGINT / 281474976710656.0 AS v FROM c CROSS JOIN range(1, {R.PERMUTATIONS + 1}) i)",
+  "t AS (SELECT d.arm, d.iter, coalesce(min(u.x), max(a.top)) AS x FROM d LEFT JOIN u ON d.arm = u.arm AND u.upto > d.v JOIN (SELECT arm, max(x) AS top FROM x GROUP BY arm) a ON a.arm = d.arm GROUP BY ALL)",
+  f"s AS (SELECT t.arm, {_F1_OF('c.tp')} AS f1, {_F1_OF('t.x')} AS f FROM t JOIN (SELECT arm, tp, tp + fn AS p, tp + fp AS r FROM c) c ON t.arm = c.arm)",
+  select="SELECT arm, f1, round((count(*) FILTER (f >= f1) + 1)::DOUBLE / (count(*) + 1), 6) AS p, max(f) AS null_max FROM s GROUP BY arm, f1"))
 def f1_perm_mc(spark, sf):
-    """F1 under labels permuted by a hashed order, 100 times: the sampled form of f1_perm_exact."""
-    core = C.decisions(spark, sf, core=True).where(F.col("arm").isin(*ARMS))
-    iters = 100
-    labels_ = C.items(spark, sf).where("labelled").select("pos", "gt_slop")
-    key = F.xxhash64(F.lit(20260605), "iter", "pos")
-    spread = labels_.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iters))))
-    # the p items with the least keys of an iteration are its slop; a sort per iteration, never of all
-    order = spread.withColumn("r", F.row_number().over(Window.partitionBy("iter").orderBy(key, "pos"))).join(F.broadcast(labels_.agg(F.count_if("gt_slop").alias("p"))))
-    shuffled = order.select("iter", "pos", (F.col("r") <= F.col("p")).alias("y"))
-    cells = core.select("arm", "pos", "reject").join(shuffled, "pos").groupBy("arm", "iter").agg(*M.confusion("reject", "y"))
-    f1 = F.round(M.f1(F.col("tp"), F.col("fp"), F.col("fn")), 3)
-    seen = core.groupBy("arm").agg(*M.confusion()).select("arm", f1.alias("f1"))
-    out = cells.select("arm", f1.alias("x")).join(F.broadcast(seen), "arm")  # a row an arm
-    return out.groupBy("arm", "f1").agg(F.round((F.count_if(F.col("x") >= F.col("f1")) + 1) / (F.count("*") + 1), 6).alias("p"), F.max("x").alias("null_max"))
+    """The sampled form of f1_perm_exact for all arms: with decisions and label totals fixed, permuted labels draw the true positives from a hypergeometric."""
+    return R.sampled_f1_tail(C.decisions(spark, sf, core=True).groupBy("arm").agg(*M.confusion()))
 
 
 @query("""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS rejected, round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*), 3) AS reject_rate FROM events GROUP BY 1""")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import gates as G
-from sluice.operators.validator import ABLATIONS, accept, validate
+from sluice import sources
+from sluice.operators.validator import ABLATIONS, accept, validate, validate_directories
 
 CANON = "inherits: /\nwindow_start: 2024-01-01\nwindow_end: 2024-01-31\n\nAbout [[A]].\n"
 VOCAB = "- [[A]]: meaning\n"
@@ -56,3 +57,24 @@ def test_definitions(spark, vocab, names):
 def test_front_matter(spark):
     df = spark.createDataFrame([("inherits:\nwindow_start: 2026",), (None,)], "c string")
     assert [r[0] for r in df.select(G.front_matter(F.col("c"), "inherits")).collect()] == ["window_start: 2026", None]
+
+
+def test_directories_to_verdicts(spark, tmp_path):
+    def scope(name, **files):
+        (tmp_path / name).mkdir()
+        for file, text in files.items():
+            (tmp_path / name / file.replace("_", ".")).write_text(text)
+
+    scope("good", CANON_md=CANON, VOCAB_md=VOCAB, README_md="r", claims_json=json.dumps([claim()]))
+    scope("bare", content_md="text")
+    scope("broken", CANON_md=CANON + "[[Z]] [[Y]]", VOCAB_md=VOCAB, README_md="r", claims_json="not json")
+    scope("far", CANON_md=CANON, VOCAB_md=VOCAB, README_md="r", claims_json=json.dumps([claim(evidence_commit="none", evidence_date="2030-01-01", terms=["Q"])]))
+    (tmp_path / "log").write_text("s1 2024-01-15\n")
+    out = validate_directories(sources.scope_directories(spark, f"{tmp_path}/*/*"), sources.commit_log(spark, str(tmp_path / "log"))).collect()
+    found = {r["scope"].rsplit("/", 1)[1]: (r["accept"], r["reasons"]) for r in out}
+    assert found == {
+        "good": (True, []),
+        "bare": (False, ["triad missing: ['CANON.md', 'README.md', 'VOCAB.md']", "inheritance: no parent declared or chain does not reach root"]),
+        "broken": (False, ["introspection: undefined terms ['Y', 'Z']", "claims.json unparseable"]),
+        "far": (False, ["gate1 vocab: claim uses undefined term", "gate2 evidence: claim cites commit absent from ledger", "gate3 scope: claim evidence outside declared window"]),
+    }
