@@ -101,8 +101,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     prefix = prefix_hash(raw)
     at = np.arange(n - gram + 1)
     hashes = span_hash(prefix, at, at + gram)
-    bits = max(1, n.bit_length())
-    least = (hashes >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)  # ties go to the leftmost
+    # the hash's upper half, the same for equal windows in whatever chunk, then the place (below 2**32): ties go to the leftmost
+    least = (hashes >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
     done = 1
     while done * 2 <= width:
         least = np.minimum(least[:-done], least[done:])
@@ -112,7 +112,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     starts = np.arange(len(least))
     doc = np.searchsorted(offsets, starts, "right") - 1
     inside = starts + length <= offsets[doc + 1]
-    starts, doc, anchor = starts[inside], doc[inside], (least[inside] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    starts, doc, anchor = starts[inside], doc[inside], (least[inside] & np.uint64((1 << 32) - 1)).astype(np.int64)
     if not len(starts):
         return none, none, none, none, np.zeros(0, np.uint64)
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
@@ -163,12 +163,9 @@ def _deal(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
         part = (hashes >> np.uint64(40)).astype(np.int64) % ranges
         ends = np.cumsum(lengths)
         order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(ranges + 1))
+        some, first = np.unique(part[order], return_index=True)  # only ranges that have anchors here
         numbers, data = [], []
-        for r in range(ranges):
-            own = order[bounds[r] : bounds[r + 1]]
-            if not len(own):
-                continue
+        for r, own in zip(some.tolist(), np.split(order, first[1:]), strict=True):
             n = lengths[own]
             flat = bodies[np.repeat(ends[own] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             numbers.append(r)
@@ -242,6 +239,25 @@ def _least_ids(group: np.ndarray, ids: np.ndarray, bodies: list[np.ndarray], win
     return out
 
 
+def _exact(raw: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for equal spans of raw only: the hashes, or places of distinct bytes if a hash stands for two."""
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    a, b = order[same], order[same + 1]
+    n = offsets[a + 1] - offsets[a]
+    differ = bool((n != offsets[b + 1] - offsets[b]).any())
+    for k in range(0, 0 if differ else len(a), 1 << 14):  # neighbours in the order of their hashes, byte by byte
+        x, y, m = a[k : k + (1 << 14)], b[k : k + (1 << 14)], n[k : k + (1 << 14)]
+        inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        if (raw[np.repeat(offsets[x], m) + inside] != raw[np.repeat(offsets[y], m) + inside]).any():
+            differ = True
+            break
+    if not differ:
+        return hashes
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(raw[x:y].tobytes(), len(known)) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
+
+
 def _repeats(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Runs of window starts that a document with a lesser id has too."""
     for packed in by_group(batches, ["range"]):
@@ -261,6 +277,7 @@ def _repeats(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Reco
             prefix = prefix_hash(raw[offsets[a] : offsets[own.stop]])
             bodies[own] = span_hash(prefix, begin, end)
             hashes[own] = span_hash(prefix, begin + places[own], begin + places[own] + GRAM)
+        bodies = _exact(raw, offsets, bodies)
         order = np.lexsort((ids, bodies, hashes))
         h, i, body = hashes[order], ids[order], bodies[order]
         new_anchor = np.concatenate(([True], h[1:] != h[:-1]))

@@ -220,6 +220,23 @@ def test_suffix_dedup_hard_cases(spark):
     assert suffix_dedup.remove_repeats(hard(spark)).count() == 10 and suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_equal_windows_have_equal_anchors_in_chunks_of_any_size():
+    rng = np.random.RandomState(8)
+    own = rng.randint(97, 99, 400).astype(np.uint8)  # few letters: many equal grams
+    small = suffix_dedup.anchors(own, np.array([0, len(own)]))
+    before = rng.randint(97, 123, 300_000).astype(np.uint8)
+    large = suffix_dedup.anchors(np.concatenate((before, own)), np.array([0, len(before), len(before) + len(own)]))
+    mine = large[0] == 1
+    for x, y in zip(small[1:4], large[1:4], strict=True):
+        assert (x == y[mine] - len(before)).all()
+
+
+def test_bodies_of_one_hash_are_told_apart():
+    raw, offsets = np.frombuffer(b"abcabdabcabd", np.uint8), np.array([0, 3, 6, 9, 12])
+    assert suffix_dedup._exact(raw, offsets, np.zeros(4, np.uint64)).tolist() == [0, 1, 0, 1]
+    assert suffix_dedup._exact(raw, offsets, np.array([5, 7, 5, 7], np.uint64)).tolist() == [5, 7, 5, 7]
+
+
 def test_suffix_ranks():
     rng = np.random.RandomState(2)
     for n in (1, 2, 3, 4, 50, 400):
