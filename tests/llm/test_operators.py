@@ -266,6 +266,33 @@ def test_toxicity_chain(spark, docs, sf_dir):
     assert again.count() == docs.count()
 
 
+def test_toxicity_on_labels_kept_out(spark):
+    sf = "/root/testdata/sf0.1"
+    marked = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").join(marked.select("doc_id"), "doc_id", "left_semi")
+    out = toxicity.score_toxicity(rows, marked.where("doc_id % 4 <> 1")).withColumnRenamed("toxic", "said").join(marked.where("doc_id % 4 = 1"), "doc_id")
+    n = {(r["toxic"], r["said"]): r["count"] for r in out.groupBy("toxic", "said").count().collect()}
+    assert n[1, True] >= 0.85 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.02 * n[0, False]
+
+
+def test_chain_scores_match_a_plain_version():
+    rng = np.random.RandomState(1)
+    column = np.full(toxicity.BUCKETS, -1, np.int64)
+    texts = pa.array(["idiot moron plain", None, "", "plain words idiotic IDIOT", "zz"])
+    _, buckets, _ = toxicity.word_buckets(texts)
+    known = np.unique(buckets)[::2]
+    column[known] = np.arange(len(known))
+    chain = toxicity.Chain(["a", "b", "c"], column, rng.randn(3, len(known)), np.tril(rng.randn(3, 3), -1), rng.randn(3))
+    got = chain.score(texts)
+    for row, text in zip(got, texts, strict=True):
+        _, own, _ = toxicity.word_buckets(pa.array([text], pa.string()))
+        places, before = {column[b] for b in own.tolist() if column[b] >= 0}, []
+        for k in range(3):
+            z = chain.constant[k] + sum(chain.words[k][p] for p in places) + sum(chain.earlier[k][j] * p for j, p in enumerate(before))
+            before.append(1 / (1 + math.exp(-z)))
+        assert row == pytest.approx(before)
+
+
 def test_toxicity_hard_cases(spark):
     marked = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (9, None)], "doc_id long, toxic int")
     out = toxicity.score_toxicity(hard(spark), marked)
@@ -351,6 +378,23 @@ def test_quality_classifier_learns(spark):
     assert np.mean([r["predicted"] == (r["doc_id"] < 300) for r in out if r["doc_id"] % 2]) > 0.97
 
 
+def test_quality_classifier_on_labels_kept_out(spark):
+    sf = "/root/testdata/sf0.01"
+    marked = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    out = quality_model.op6_quality(spark, sf).where("held_out").join(marked, "doc_id").collect()
+    own = {x: sorted(r["score"] for r in out if r["quality"] == x) for x in (0, 1)}
+    auc = sum(np.searchsorted(own[0], x) for x in own[1]) / (len(own[0]) * len(own[1]))
+    accuracy = sum(r["predicted"] == r["quality"] for r in out) / len(out)
+    assert auc > 0.95 and accuracy > len(own[1]) / len(out)
+
+
+def test_quality_query_null_key(spark, tmp_path):
+    hard(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = quality_model.op6_quality(spark, str(tmp_path)).collect()
+    assert len(out) == 10 and [r["held_out"] for r in out if r["doc_id"] is None] == [False]
+
+
 def test_quality_classifier_hard_cases(spark):
     marked = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (9, None)], "doc_id long, quality int")
     out = quality_model.classify_quality(hard(spark), marked)
@@ -662,6 +706,48 @@ def test_novel_spans_reach_on_both_sides_and_past_base_spans():
     assert secrets.spans_of(far) == ""
 
 
+def plain_novel(text):
+    """Novel spans in plain loops over all candidates, words and secrets."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute_secrets(text).split(",") if x]
+    covered = {k for a, b in base for k in range(a, b)}
+    pieces = []
+    for m in secrets._CANDIDATE.finditer(text):
+        run = []
+        for k in [*range(*m.span()), None]:
+            if k is not None and k not in covered:
+                run.append(k)
+            else:
+                if len(run) >= secrets.SHORTEST:
+                    pieces.append((run[0], run[-1] + 1))
+                run = []
+    if not pieces:
+        return set()
+    spans = sorted({(a, b): (a, b) in secrets._union(base) for a, b in [*pieces, *secrets._union(base)]}.items())
+    words_at = [m.span() for m in secrets._CONTEXT.finditer(text)]
+    is_secret = {p: base or secrets.marginal_bytes(text[p[0] : p[1]], text[max(0, p[0] - secrets.AROUND) : p[0]], text[p[1] : p[1] + secrets.AROUND]) >= secrets.NOVELTY * (p[1] - p[0]) for p, base in spans}
+    found, last = set(), None
+    for p, _ in spans:
+        if is_secret[p] and (any(0 <= p[0] - z <= secrets.REACH for _, z in words_at) or last is not None and p[0] - last <= secrets.REACH):
+            found.add(p)
+            last = p[1]
+    last = None
+    for p, _ in reversed(spans):
+        if is_secret[p] and (any(0 <= a - p[1] <= secrets.REACH for a, _ in words_at) or last is not None and last - p[1] <= secrets.REACH):
+            found.add(p)
+            last = p[0]
+    return found - set(secrets._union(base))
+
+
+def test_novel_spans_match_a_plain_version():
+    rng = random.Random(9)
+    pool = ["token", "the password", "bearer", "some words here", "a value of", "=", ":", "x" * 20, "getElementByIdentifier", "AKIA" + "Q7" * 9, "deadbeef" * 4, "api_key = ", "a longer stretch of plain words that carries nothing at all"]
+    letters = "ABCDEFGHabcdefghijkmnpqrstuvwxyz23456789+/_"
+    for _ in range(300):
+        text = " ".join(rng.choice(pool) if rng.random() < 0.7 else "".join(rng.choice(letters) for _ in range(rng.randrange(10, 50))) for _ in range(rng.randrange(1, 14)))
+        got = {tuple(map(int, x.split(":")[1:])) for x in secrets.spans_of(text).split(",") if x.startswith("novel")}
+        assert got == plain_novel(text), text
+
+
 def test_secret_query(spark, sf_dir, texts):
     for r in queries.QUERIES["op10_secrets"](spark, sf_dir).collect():
         base = ",".join(x for x in brute_secrets(texts[r["doc_id"]] or "").split(",") if x)
