@@ -25,29 +25,44 @@ SMOOTHING = 1.0
 _SEP = r"[\\x20\\x09-\\x0D]+"
 _WORDS = f"array_remove(split(coalesce({{text}}, ''), '{_SEP}'), '')"
 
-#: {{h}}: hashes of the words. Word counts covered by 5-word windows that are found twice or more: 0 unless some are.
-_REPEATS = """element_at(transform(array({h}), h -> element_at(transform(array(
-    if(size(h) < 5, cast(array() as array<bigint>),
-       transform(sequence(0, size(h) - 5), i -> xxhash64(get(h, i), get(h, i + 1), get(h, i + 2), get(h, i + 3), get(h, i + 4))))),
+#: {{h}}: name of the hashes of the words. Word counts covered by 5-word windows that are found twice or more: 0 unless some are.
+_REPEATS = """element_at(transform(array(
+    if(size({h}) < 5, cast(array() as array<bigint>),
+       transform(sequence(0, size({h}) - 5), i -> xxhash64(get({h}, i), get({h}, i + 1), get({h}, i + 2), get({h}, i + 3), get({h}, i + 4))))),
     w -> if(size(array_distinct(w)) = size(w), 0L,
         element_at(transform(array(array_sort(transform(w, (x, i) -> struct(x as k, i as i)))),
             s -> element_at(transform(array(array_sort(filter(
                 transform(s, (x, j) -> if(x.k <=> get(s, j - 1).k or x.k <=> get(s, j + 1).k, x.i, cast(null as int))), x -> x is not null))),
-                p -> aggregate(transform(p, (x, j) -> least(5, coalesce(get(p, j + 1) - x, 5))), 0L, (a, x) -> a + x)), 1)), 1))), 1)), 1)"""
+                p -> aggregate(transform(p, (x, j) -> least(5, coalesce(get(p, j + 1) - x, 5))), 0L, (a, x) -> a + x)), 1)), 1))), 1)"""
 
-_GRAMS = """element_at(transform(array({h}), h -> concat(
-    transform(h, x -> cast(pmod(x, {buckets}) as int)),
-    if(size(h) < 2, cast(array() as array<int>),
-       transform(sequence(0, size(h) - 2), i -> cast(pmod(xxhash64(get(h, i), get(h, i + 1)), {buckets}) as int))))), 1)"""
+_GRAMS = """concat(
+    transform({h}, x -> cast(pmod(x, {buckets}) as int)),
+    if(size({h}) < 2, cast(array() as array<int>),
+       transform(sequence(0, size({h}) - 2), i -> cast(pmod(xxhash64(get({h}, i), get({h}, i + 1)), {buckets}) as int))))"""
 
+#: {{g}}: name of the buckets of a text, {{table}}: a bucket's ratio.
+_MEAN = "if(size({g}) = 0, 0D, aggregate({g}, 0D, (a, b) -> a + get({table}, b)) / size({g}))"
 
-def _hashes(text: str) -> str:
-    return f"transform({_WORDS.format(text=text)}, x -> xxhash64(x))"
+
+def _bind(value: str, name: str, body: str) -> str:
+    """SQL of body, in which name is value, computed once a row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _with_hashes(text: str, body: str) -> str:
+    """SQL of body, in which `words` are the words of a text column and `hashes` their hashes."""
+    return _bind(_WORDS.format(text=text), "words", _bind("transform(words, x -> xxhash64(x))", "hashes", body))
 
 
 def grams(text: str, buckets: int = BUCKETS) -> str:
     """SQL of the bucket of every word and word pair of a text column, in order."""
-    return _GRAMS.format(h=_hashes(text), buckets=buckets)
+    return _with_hashes(text, _GRAMS.format(h="hashes", buckets=buckets))
+
+
+def _mean_ratio(table: list[float], buckets: int) -> str:
+    """SQL of the mean ratio of `hashes`."""
+    constant = f"from_json('{json.dumps([round(x, 9) for x in table])}', 'array<double>')"
+    return _bind(_GRAMS.format(h="hashes", buckets=buckets), "g", _MEAN.format(g="g", table=constant))
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,18 +71,28 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     Words are [^\\x20\\x09-\\x0D]+ of the whole text; null has none, so null and empty texts
     fail with n_words 0. Repeated windows are found by 64-bit hashes of their words.
     """
+    return _measured(docs, text, {})
+
+
+def _measured(docs: DataFrame, text: str, more: dict[str, str]) -> DataFrame:
+    """docs with base_counts' columns and more: SQL over `hashes` by name. A text is split and hashed once."""
     t = f"coalesce({text}, '')"
-    return docs.withColumns(
+    of_words = {
+        "n_words": "cast(size(words) as bigint)",
+        "word_chars": "cast(length(array_join(words, '')) as bigint)",
+        "n_repeat_words": _REPEATS.format(h="hashes"),
+        **more,
+    }
+    out = docs.withColumns(
         {
-            "n_words": F.expr(f"cast(size({_WORDS.format(text=text)}) as bigint)"),
-            "word_chars": F.length(F.translate(F.expr(t), " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": F.expr(f"cast(length({t}) - length(translate({t}, '#*$%&|<>', '')) as bigint)"),
+            "__measures": F.expr(_with_hashes(text, "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in of_words.items()) + ")")),
+            "n_symbols": F.expr(f"cast(length({t}) - length(regexp_replace({t}, '[#*$%&|<>]', '')) as bigint)"),
             "n_dup_lines": F.expr(
                 rf"element_at(transform(array(filter(split({t}, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')), x -> cast(size(x) - size(array_distinct(x)) as bigint)), 1)"
             ),
-            "n_repeat_words": F.expr(_REPEATS.format(h=_hashes(text))),
         }
-    ).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    ).withColumns({k: F.col(f"__measures.{k}") for k in of_words})
+    return out.drop("__measures").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
 def _held(key: str) -> Column:
@@ -108,17 +133,6 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "
     return _log_ratios(raw, target)
 
 
-def _llr(table: list[float], text: str, buckets: int) -> Column:
-    constant = F.from_json(F.lit(json.dumps([round(x, 9) for x in table])), "array<double>")
-    return F.element_at(
-        F.transform(
-            F.array(F.expr(grams(text, buckets))),
-            lambda g: F.when(F.size(g) == 0, 0.0).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(constant, b)) / F.size(g)),
-        ),
-        1,
-    )
-
-
 def derived_threshold(docs: DataFrame, trusted: DataFrame, table: list[float] | None, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> float:
     """The threshold that all but FALSE_REJECTS of the trusted documents that table wasn't learnt from reach.
 
@@ -128,7 +142,7 @@ def derived_threshold(docs: DataFrame, trusted: DataFrame, table: list[float] |
         return THRESHOLD
     out = trusted.select(F.col(key).alias("__t")).where("__t is not null").where(_held("__t")).distinct()
     own = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(out.hint("merge"), F.col("__k") == F.col("__t"), "left_semi")
-    found = own.select(F.floor(_llr(table, "__text", buckets) * STEPS).alias("step")).groupBy("step").count().collect()
+    found = own.select(F.floor(F.expr(_with_hashes("__text", _mean_ratio(table, buckets))) * STEPS).alias("step")).groupBy("step").count().collect()
     total, below = sum(r["count"] for r in found), 0
     for r in sorted(found, key=lambda r: r["step"]):
         below += r["count"]
@@ -153,7 +167,7 @@ def quality_rules(
     table = _log_ratios(raw, target)
     if threshold is None:
         threshold = derived_threshold(docs, trusted, _log_ratios(raw, fit), text, key, buckets)
-    out = base_counts(docs, text).withColumn("llr", F.lit(0.0) if table is None else _llr(table, text, buckets))
+    out = _measured(docs, text, {"llr": "0D" if table is None else _mean_ratio(table, buckets)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
