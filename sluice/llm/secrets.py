@@ -56,7 +56,8 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
 
 def _uncovered(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """What the spans `taken`, which are in order, leave of a span."""
-    for x, y in taken[max(0, bisect_right(taken, (a, a)) - 1) :]:
+    for k in range(max(0, bisect_right(taken, (a, a)) - 1), len(taken)):
+        x, y = taken[k]
         if x >= b:
             break
         if y <= a:
