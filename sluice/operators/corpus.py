@@ -100,9 +100,9 @@ def detector_proxy(prose: str = "prose") -> Column:
 
 
 def wide_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per item with a reject column for each arm; the validator's flags are made once and the ablations derived."""
+    """A row per item with its prose's length and a reject column for each arm; the validator's flags are made once and the ablations derived."""
     arms = {"B0": F.lit(False), "B1b": detector_proxy(), "B2": quality_proxy()} | {arm: ~accept(without) for arm, without in ABLATIONS.items()}
-    return verdicts(spark, sf_dir).select("pos", "klass", "topic", "lang", "gt_slop", "labelled", "quality", "toxic", *(c.alias(a) for a, c in arms.items()))
+    return verdicts(spark, sf_dir).select("pos", "klass", "topic", "lang", "gt_slop", "labelled", "quality", "toxic", F.length("prose").cast("long").alias("chars"), *(c.alias(a) for a, c in arms.items()))
 
 
 def decisions(spark: SparkSession, sf_dir: str, core: bool = False) -> DataFrame:

@@ -144,8 +144,11 @@ def retrieval_context(spark, sf):
     return _context(spark, sf, 600).select("q", F.length("context").cast("long").alias("chars"), F.sha2("context", 256).alias("context_sha"))
 
 
-@query(O.sql(SIMS, CONTEXT.format(n=700), r"""c AS (SELECT q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(context), '[a-z0-9]+')) AS b FROM ctx JOIN documents ON q = doc_id),
-s AS (SELECT q, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS cover FROM c)""", select="SELECT q, round(cover, 6) AS coverage, cover >= 0.5 AS supported FROM s"))
+ENTAILED = (SIMS, CONTEXT.format(n=700), r"""c AS (SELECT q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(context), '[a-z0-9]+')) AS b FROM ctx JOIN documents ON q = doc_id),
+s AS (SELECT q, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS cover FROM c)""")
+
+
+@query(O.sql(*ENTAILED, select="SELECT q, round(cover, 6) AS coverage, cover >= 0.5 AS supported FROM s"))
 def entail_proxy(spark, sf):
     """Retrieve, then ask whether the context covers half of the claim's tokens: a stand-in for an entailment judge."""
     claims = table(spark, sf, "documents").select(F.col("doc_id").alias("q"), "text")
@@ -153,6 +156,43 @@ def entail_proxy(spark, sf):
     return out.select("q", F.round("c", 6).alias("coverage"), (F.col("c") >= 0.5).alias("supported"))
 
 
+#: Fixed value: a legit passage of more characters takes part in the tournament.
+PASSAGE = 240
+TOURNAMENT = (O.ITEMS, O.PROXIES, *ENTAILED, f"""
+tour AS (SELECT i.pos, i.gt_slop, i.klass NOT IN ('C1', 'C3') AS t, p.b2, coalesce(s.cover < 0.5, FALSE) AS b3e
+  FROM items i JOIN proxies p USING (pos) LEFT JOIN s ON s.q = i.pos WHERE i.labelled AND (i.gt_slop OR length(i.prose) > {PASSAGE}))""")
+
+
+def _tournament(spark, sf):
+    """Core slop, and legit passages that are long enough, with T, B2 and B3e; an item without an entailment result is admitted."""
+    core = C.wide_decisions(spark, sf).where(F.col("labelled") & (F.col("gt_slop") | (F.col("chars") > PASSAGE)))
+    judged = entail_proxy(spark, sf).select(F.col("q").alias("pos"), (~F.col("supported")).alias("b3e"))
+    return core.join(judged, "pos", "left").select("pos", "gt_slop", F.col("T").alias("t"), F.col("B2").alias("b2"), F.coalesce("b3e", F.lit(False)).alias("b3e"))
+
+
+_tlo, _thi = O.wilson("k", "n")
+
+
+@query(O.sql(*TOURNAMENT, "m AS (SELECT count(*) FILTER (gt_slop AND NOT t AND NOT b3e AND NOT b2) AS k, count(*) FILTER (gt_slop) AS n FROM tour)",
+             select=f"SELECT k, n, round(k::DOUBLE / greatest(1, n), 3) AS leak_rate, {_tlo} AS lo, {_thi} AS hi FROM m"))
+def tournament_leak(spark, sf):
+    """Slop that the validator, the entailment judge and the quality judge all admit."""
+    out = _tournament(spark, sf).agg(F.count_if(F.expr("gt_slop AND NOT t AND NOT b3e AND NOT b2")).alias("k"), F.count_if("gt_slop").alias("n"))
+    lo, hi = M.wilson(F.col("k"), F.col("n"))
+    return out.select("k", "n", F.round(F.col("k") / F.greatest(F.lit(1), "n"), 3).alias("leak_rate"), lo.alias("lo"), hi.alias("hi"))
+
+
+@query(O.sql(*TOURNAMENT, f"""r AS (SELECT 'T-structure' AS arm, gt_slop, t AS reject FROM tour UNION ALL SELECT 'B3e-entailment', gt_slop, b3e FROM tour UNION ALL SELECT 'B2-semantic', gt_slop, b2 FROM tour),
+cells AS (SELECT arm, {O.CELLS} FROM r GROUP BY arm)""",
+             select=f"SELECT arm, tp, fp, fn, tn, n, round({O.PHI}, 3) AS phi, round(tp::DOUBLE / greatest(1, tp + fn), 3) AS slop_catch_rate, round(fp::DOUBLE / greatest(1, fp + tn), 3) AS legit_false_reject FROM cells"))
+def tournament_association(spark, sf):
+    """How each arm's verdicts go with the ground truth in the tournament; all arms in one pass."""
+    arms = F.array(*(F.struct(F.lit(name).alias("arm"), F.col(c).alias("reject")) for name, c in (("T-structure", "t"), ("B3e-entailment", "b3e"), ("B2-semantic", "b2"))))
+    cells = _tournament(spark, sf).select("gt_slop", F.inline(arms)).groupBy("arm").agg(*M.confusion())
+    share = lambda k, other: F.round(F.col(k) / F.greatest(F.lit(1), F.col(k) + F.col(other)), 3)
+    return cells.select("arm", "tp", "fp", "fn", "tn", "n", F.round(M.phi(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))), 3).alias("phi"), share("tp", "fn").alias("slop_catch_rate"), share("fp", "tn").alias("legit_false_reject"))
+
+
 def _b3_sql(score: str) -> str:
     return O.sql(O.ITEMS, SIMS, f"g AS (SELECT i.pos, i.gt_slop, {score} AS score FROM items i JOIN grounding ON i.pos = q WHERE i.labelled)", _threshold_sql("g"),
                  f"d AS (SELECT gt_slop, score <= threshold AS reject FROM g CROSS JOIN best), c AS (SELECT {O.CELLS} FROM d)", select=f"SELECT tp, fp, fn, tn, n, round({O.PHI}, 3) AS phi FROM c")
