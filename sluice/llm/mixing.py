@@ -22,8 +22,9 @@ from sluice.llm.shared import documents, materialize, new_path
 
 #: Rows of a block.
 BLOCK_ROWS = 16
-#: Hash ranges of a source: row numbers are dealt inside one range, so that no source is one task.
-RANGES = 1024
+#: Row numbers are dealt inside hash ranges, so that no source is one task: 1024 ranges of a source, or
+#: twice as many, again and again, until the largest source has at most RANGE_ROWS rows a range.
+RANGES, RANGE_ROWS = 1024, 1 << 16
 #: Sources of a run at most, and runs that the driver holds at once.
 PIECE, HELD = 1024, 1 << 16
 
@@ -110,8 +111,13 @@ def _plan_table(spark: SparkSession, groups: list[tuple[int, int, int]], block_r
     return spark.read.schema(T.StructType([T.StructField(c, T.LongType()) for c in _PLAN])).parquet(path)
 
 
-def _range(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - (RANGES.bit_length() - 1))
+def range_bits(largest: int) -> int:
+    """Leading bits of a hash that name its range, where the largest group has so many rows."""
+    return max(RANGES.bit_length() - 1, (-(-largest // RANGE_ROWS) - 1).bit_length())
+
+
+def _range(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits)
 
 
 def _before(rows: DataFrame, group: str) -> DataFrame:
@@ -162,14 +168,16 @@ def mix_sources(
     plan = _plan_table(spark, [(w, r["__n"], r["count"]) for w, r in zip(whole, kinds, strict=True)], block_rows)
 
     listed = pa.table({"__g": pa.array(range(len(kinds)), pa.int64()), "__n": pa.array([r["__n"] for r in kinds], pa.int64()), "__w": pa.array([r["__w"] for r in kinds], pa.float64())})
-    sized = sizes.join(spark.createDataFrame(listed), ["__n", "__w"]).select("__s", "__g", F.xxhash64(F.lit(seed), "__s").alias("__h")).withColumn("__r", _range(F.col("__h")))
+    sized = sizes.join(spark.createDataFrame(listed), ["__n", "__w"]).select("__s", "__g", F.xxhash64(F.lit(seed), "__s").alias("__h"))
+    sized = sized.withColumn("__r", _range(F.col("__h"), range_bits(max((r["count"] for r in kinds), default=0))))
     member = F.col("__before") + F.row_number().over(Window.partitionBy("__g", "__r").orderBy("__h", "__s")) - 1
     sized = sized.join(_before(sized, "__g"), ["__g", "__r"]).select(F.col("__s").alias("__name"), "__g", member.alias("__m"))
 
     hashed = F.xxhash64(F.lit(seed), F.col(key))
-    before = _before(docs.select(F.col(source).alias("__s"), _range(hashed).alias("__r")), "__s")
+    bits = range_bits(max((r["__n"] for r in kinds), default=0))
+    before = _before(docs.select(F.col(source).alias("__s"), _range(hashed, bits).alias("__r")), "__s")
     before = before.join(sized, F.col("__s").eqNullSafe(F.col("__name"))).select("__s", F.col("__r").alias("__range"), "__before", "__g", "__m")
-    docs = docs.withColumn("__h", hashed).withColumn("__r", _range(F.col("__h")))
+    docs = docs.withColumn("__h", hashed).withColumn("__r", _range(F.col("__h"), bits))
     ranked = docs.join(before, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__r") == F.col("__range"))).withColumn(
         "__n", F.col("__before") + F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__h", key)) - 1
     )

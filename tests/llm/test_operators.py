@@ -529,6 +529,16 @@ def test_mixing_takes_any_number_of_sources(spark):
     assert all(r["mix_release"] <= r["mix_block_position"] < r["mix_deadline"] for r in out)
 
 
+def test_mixing_ranges_grow_with_the_largest_source(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "hot").otherwise("cold").alias("source"))
+    want = sorted(map(tuple, mixing.mix_sources(rows).collect()))
+    for ranges, per in ((2, 1 << 16), (4, 100), (4, 1)):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        monkeypatch.setattr(mixing, "RANGE_ROWS", per)
+        assert (1 << mixing.range_bits(2000)) * per >= 2000
+        assert sorted(map(tuple, mixing.mix_sources(rows).collect())) == want
+
+
 def test_mixing_groups_equal_sources():
     """Members of a group are planned like sources of their own, and each slot is filled once."""
     groups = [(3, 40, 5), (7, 11, 3), (1, 1, 2000)]
