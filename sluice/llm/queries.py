@@ -5,9 +5,10 @@ from __future__ import annotations
 from sluice.llm.hard_negatives import op11_hard_negatives
 from sluice.llm.jaccard import op1_jaccard_join
 from sluice.llm.language_model import op9_lm_scoring
+from sluice.llm.lexical_search import op12_lexical_search
 from sluice.llm.media import op5_media
 from sluice.llm.mixing import op8_mixing
-from sluice.llm.oracles import OP1, OP3, OP11
+from sluice.llm.oracles import OP1, OP3, OP11, OP12
 from sluice.llm.packing import op7_packing
 from sluice.llm.quality_model import op6_quality
 from sluice.llm.quality_rules import op2_quality_rules
@@ -27,10 +28,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op10_secrets": op10_secrets,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": OP1,
     "op3_suffix_dedup": OP3,
     "op11_hard_negatives": OP11,
+    "op12_lexical_search": OP12,
 }
