@@ -51,3 +51,12 @@ q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
 s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (t) JOIN p USING (t) JOIN m USING (doc_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+OP13 = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: {'i': i, 's': md5(array_to_string(w[i:i + 49], ' '))})) AS e FROM d WHERE len(w) >= 50),
+f AS (SELECT e.s AS s, min(doc_id) AS m FROM s GROUP BY e.s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, s.e.i AS i FROM s JOIN f ON s.e.s = f.s WHERE doc_id > m),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM r),
+x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM d),
+y AS (SELECT x.doc_id, count(c.k) AS n_removed, coalesce(string_agg(t, ' ' ORDER BY x.k) FILTER (c.k IS NULL), '') AS kept FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.k = c.k GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)"""

@@ -8,11 +8,12 @@ from sluice.llm.language_model import op9_lm_scoring
 from sluice.llm.lexical_search import op12_lexical_search
 from sluice.llm.media import op5_media
 from sluice.llm.mixing import op8_mixing
-from sluice.llm.oracles import OP1, OP3, OP11, OP12
+from sluice.llm.oracles import OP1, OP3, OP11, OP12, OP13
 from sluice.llm.packing import op7_packing
 from sluice.llm.quality_model import op6_quality
 from sluice.llm.quality_rules import op2_quality_rules
 from sluice.llm.secrets import op10_secrets
+from sluice.llm.substring_dedup import op13_substring_dedup
 from sluice.llm.suffix_dedup import op3_suffix_dedup
 from sluice.llm.toxicity import op4_toxicity
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_lexical_search": op12_lexical_search,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op3_suffix_dedup": OP3,
     "op11_hard_negatives": OP11,
     "op12_lexical_search": OP12,
+    "op13_substring_dedup": OP13,
 }
