@@ -26,8 +26,8 @@ from sluice.llm.shared import chunks, documents, materialize, mix, powers, prefi
 
 #: Words of a window, and of a suffix's first prefix.
 WINDOW, PREFIX = 50, 16
-#: Suffixes of a group that one task takes; words whose trees are built at once.
-GROUP, TREE_WORDS = 4096, 1 << 18
+#: Suffixes of a group that one task takes (about 100 MB of it); words whose trees are built at once, if groups allow.
+GROUP, TREE_WORDS = 1 << 14, 1 << 18
 #: Bits of the map that tells most documents without a repeat; a fixed size.
 BITMAP = 1 << 23
 _LAST = (1 << 63) - 1
