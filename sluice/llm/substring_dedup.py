@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,27 +144,36 @@ def window_names(words: np.ndarray, starts: np.ndarray, length: int = WINDOW) ->
     return np.unique(names[starts] * (names.max(initial=0) + 1) + names[starts + length - depth], return_inverse=True)[1]
 
 
-def _tree_repeats(groups: pa.Table) -> pa.RecordBatch:
+def _tree_repeats(groups: pa.Table) -> Iterator[pa.RecordBatch]:
     """(row, a, z): runs of words that a lesser document has too, of whole groups of suffixes."""
-    raw, offsets = utf8(groups.column("body"))
+    bodies = groups.column("body").combine_chunks().dictionary_encode()  # equal ones are one
+    which = bodies.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    raw, offsets = utf8(bodies.dictionary)
     starts, ends, counts = word_spans(raw, offsets)
     upto = np.concatenate(([0], np.cumsum(ends - starts)))
     keep = np.repeat(starts - upto[:-1], ends - starts) + np.arange(upto[-1])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(upto), pa.py_buffer(raw[keep])]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
     windows = counts - WINDOW + 1
-    body = np.repeat(np.arange(len(counts)), windows)
-    inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    names = window_names(words, np.repeat(np.cumsum(counts) - counts, windows) + inside)
-    ids = groups.column("id").to_numpy()[body]
+    begin = np.cumsum(windows) - windows
+    names = window_names(words, np.repeat(np.cumsum(counts) - counts - begin, windows) + np.arange(windows.sum()))
+    ids = groups.column("id").to_numpy()
+    own = np.full(len(windows), _LAST)
+    np.minimum.at(own, which, ids)
     least = np.full(int(names.max(initial=-1)) + 1, _LAST)
-    np.minimum.at(least, names, ids)
-    some = ids > least[names]
-    body, inside = body[some], inside[some]
-    new = np.concatenate(([True], (body[1:] != body[:-1]) | (inside[1:] != inside[:-1] + 1)))[: len(body)]
-    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(body))[: new.sum()] - 1
-    base = groups.column("first").to_numpy()[body[first]]
-    rows = groups.column("row").combine_chunks().take(pa.array(body[first]))
-    return pa.RecordBatch.from_arrays([rows, pa.array(base + inside[first]), pa.array(base + inside[last] + WINDOW)], ["row", "a", "z"])
+    np.minimum.at(least, names, np.repeat(own, windows))
+    firsts, rows = groups.column("first").to_numpy(), groups.column("row").to_numpy()
+    for a in range(0, len(ids), 1 << 12):
+        n = windows[which[a : a + (1 << 12)]]
+        row = a + np.repeat(np.arange(len(n)), n)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        some = ids[row] > least[names[begin[which[row]] + inside]]
+        row, inside = row[some], inside[some]
+        if not len(row):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1))))
+        last = np.append(first[1:], len(row)) - 1
+        base = firsts[row[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[row[first]]), pa.array(base + inside[first]), pa.array(base + inside[last] + WINDOW)], ["row", "a", "z"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +187,10 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = held.column("prefix").to_numpy()
         cut = int(np.searchsorted(prefix, prefix[-1])) if len(prefix) else 0
         if cut:
-            yield _tree_repeats(held.slice(0, cut))
+            yield from _tree_repeats(held.slice(0, cut))
             held = held.slice(cut)
     if held is not None and held.num_rows:
-        yield _tree_repeats(held)
+        yield from _tree_repeats(held)
 
 
 def _prolonged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +236,6 @@ def _cut_all(texts: pa.Array, runs: pa.Array) -> pa.Array:
     return _in_slices(texts, runs)
 
 
-@F.arrow_udf(_RESULT)
-def _cut_none(texts: pa.Array) -> pa.Array:
-    return _in_slices(texts, None)
-
-
 def _in_slices(texts: pa.Array, runs: pa.Array | None) -> pa.Array:
     out, batch = [], pa.RecordBatch.from_arrays([texts] + ([] if runs is None else [runs]), ["text"] + ([] if runs is None else ["runs"]))
     for part in chunks(batch):
@@ -243,20 +248,45 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.unhex(F.md5(whole)).alias("digest"), whole.alias("text"))
 
 
-def _may_be(rows: DataFrame, some: DataFrame, key: str = "id", digest: str = "digest") -> Column:
-    """Whether a row's key and digest may be among those of some; the driver gets a map of BITMAP bits, whatever the input."""
-    bit = lambda *names: F.pmod(F.xxhash64(*names), F.lit(BITMAP))
-    words = some.select(bit("id", "digest").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+def _bit(key: str = "id", digest: str = "digest") -> Column:
+    """A document's place in a map of BITMAP bits."""
+    return F.pmod(F.xxhash64(key, digest), F.lit(BITMAP))
+
+
+def _map_of(some: DataFrame) -> Broadcast:
+    """The map of BITMAP bits of the documents in some (id, digest): of one size, whatever the input."""
+    words = some.select(_bit().alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)
     bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+    return some.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _in_map(bitmap: np.ndarray, bits: pa.Array) -> pa.Array:
+    at = bits.to_numpy(zero_copy_only=False)
+    return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+
+def _may_be(sent: Broadcast, bit: Column) -> Column:
+    """Whether a document may be among those of a map."""
 
     @F.arrow_udf(T.BooleanType())
     def may(b: pa.Array) -> pa.Array:
-        at = b.to_numpy(zero_copy_only=False)
-        return pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return _in_map(sent.value, b)
+
+    return may(bit)
+
+
+def _cut_rest(sent: Broadcast, text: Column, bit: Column) -> Column:
+    """The results of the documents that aren't in a map, null of the others."""
+
+    @F.arrow_udf(_RESULT)
+    def cut(texts: pa.Array, b: pa.Array) -> pa.Array:
+        may = _in_map(sent.value, b)
+        rest = _in_slices(texts.filter(pc.invert(may)), None)
+        place = np.cumsum(~may.to_numpy(zero_copy_only=False)) - 1
+        return rest.take(pa.array(np.maximum(place, 0), mask=may.to_numpy(zero_copy_only=False)))
 
-    return may(bit(key, digest))
+    return cut(text, bit)
 
 
 def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,7 +310,7 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def bodies(kind: str) -> DataFrame:
         asked = wanted.where(F.size(kind) > 0).select("id", "digest", "row", kind)
-        texts = rows.where(_may_be(rows, asked)).join(asked.hint("merge"), ["id", "digest"])
+        texts = rows.where(_may_be(_map_of(asked), _bit())).join(asked.hint("merge"), ["id", "digest"])
         return texts.select("text", "id", "row", kind).mapInArrow(_bodies, "prefix long, id long, row long, first long, body binary")
 
     runs = bodies("small").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_repeats, "row long, a long, z long")
@@ -308,10 +338,10 @@ def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "tex
     runs = repeated_words(docs, key, text)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.drop(*names, "__id", "__digest").withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "__digest": F.unhex(F.md5(whole))})
-    marked = rows.withColumn("__may", _may_be(rows, runs, "__id", "__digest"))
+    sent, bit = _map_of(runs), _bit("__id", "__digest")
     listed = runs.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("runs").alias("__runs"))
-    cut = marked.where("__may").join(listed.hint("merge"), ["__id", "__digest"], "left").withColumn("__cut", _cut_all(F.col(text), F.col("__runs")))
-    rest = marked.where("not __may").withColumn("__cut", _cut_none(F.col(text)))
+    cut = rows.where(_may_be(sent, bit)).join(listed.hint("merge"), ["__id", "__digest"], "left").withColumn("__cut", _cut_all(F.col(text), F.col("__runs")))
+    rest = rows.withColumn("__cut", _cut_rest(sent, F.col(text), bit)).where("__cut is not null")
     return cut.drop("__runs").unionByName(rest).select(*docs.drop(*names).columns, *(F.col(f"__cut.{n}").alias(n) for n in names))
 
 
