@@ -109,8 +109,13 @@ def decisions(spark: SparkSession, sf_dir: str, core: bool = False) -> DataFrame
     """Long form: pos, klass, topic, lang, gt_slop, labelled, arm, reject."""
     wide = wide_decisions(spark, sf_dir)
     wide = wide.where("labelled") if core else wide
-    arms = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"`{a}`").alias("reject")) for a in ARMS)))
-    return wide.select("pos", "klass", "topic", "lang", "gt_slop", "labelled", arms.alias("d")).select("pos", "klass", "topic", "lang", "gt_slop", "labelled", "d.arm", "d.reject")
+    return by_arm(wide.select("pos", "klass", "topic", "lang", "gt_slop", "labelled", *(f"`{a}`" for a in ARMS)))
+
+
+def by_arm(wide: DataFrame, arms: tuple[str, ...] = ARMS) -> DataFrame:
+    """wide with a row per item and arm: arm and reject instead of the arms' columns."""
+    listed = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"`{a}`").alias("reject")) for a in arms)))
+    return wide.select(*(c for c in wide.columns if c not in ARMS), listed.alias("d")).select("*", "d.arm", "d.reject").drop("d")
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,18 @@ per block, never per item and iteration.
 
 from __future__ import annotations
 
+import hashlib
+import statistics
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.functions import metrics as M
+from sluice.operators import mersenne
+from sluice.sources import stored
 
 #: The generator's multiplier, increment, modulus and seed.
 A, C, MODULUS, SEED = 1103515245, 12345, 1 << 31, 12345
@@ -72,7 +78,84 @@ def bootstrap(spark: SparkSession, blocks: DataFrame, statistic, iters: int = 20
     vectors = blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("arm", "tp", "fp", "fn", "tn"))).alias("v")).withColumn("kind", F.sha2(F.to_json("v"), 256))
     kinds = vectors.groupBy("kind").agg(F.any_value("v").alias("v")).select("kind", F.explode("v").alias("v")).select("kind", "v.*")
     drawn = draws(spark, blocks, iters, seed).join(vectors.select("block", "kind"), "block").groupBy("kind", "iter").agg(F.sum("times").alias("times"))
-    sums = drawn.join(kinds, "kind").groupBy("arm", "iter").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")))
+    return intervals(drawn.join(kinds, "kind"), statistic, iters)
+
+
+#: A binomial of at most this variance is inverted exactly; beyond it, by its expansion about the normal, off by one at most.
+EXACT_VARIANCE = 10_000.0
+#: Iterations of a task, and those whose binomials are listed at once.
+ITERATIONS, AT_ONCE = 250, 64
+_quantile = np.vectorize(statistics.NormalDist().inv_cdf, otypes=[float])
+
+
+def binomial_quantile(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    """For each n and u, the least x that a binomial of n and p is at most x with chance u or more."""
+    if p >= 1:
+        return n.copy()
+    variance = n * p * (1 - p)
+    deviation = np.sqrt(variance)
+    z = _quantile(u)
+    with np.errstate(divide="ignore", invalid="ignore"):  # Cornish and Fisher's expansion
+        skew, excess = (1 - 2 * p) / deviation, 1 / variance - 6 / n
+        bent = n * p + deviation * (z + skew * (z**2 - 1) / 6 + excess * (z**3 - 3 * z) / 24 - skew**2 * (2 * z**3 - 5 * z) / 36)
+    out = np.clip(np.ceil(np.nan_to_num(bent) - 0.5), 0, n).astype(np.int64)
+    small = np.flatnonzero(variance <= EXACT_VARIANCE)
+    for a in range(0, len(small), AT_ONCE):
+        own = small[a : a + AT_ONCE]
+        far = DEVIATIONS * deviation[own] + VALUES
+        low = np.maximum(0, np.floor(n[own] * p - far)).astype(np.int64)
+        x = low[:, None] + np.arange(int((2 * far).max()) + 2)
+        inside = x <= n[own, None]
+        ratio = np.where(inside[:, 1:], np.maximum(n[own, None] - x[:, 1:] + 1, 1) / x[:, 1:] * (p / (1 - p)), 1.0)
+        log = np.concatenate((np.zeros((len(own), 1)), np.cumsum(np.log(ratio), axis=1)), axis=1)
+        mass = np.where(inside, np.exp(log - np.where(inside, log, -np.inf).max(axis=1, keepdims=True)), 0.0)
+        upto = np.cumsum(mass, axis=1) / mass.sum(axis=1, keepdims=True)
+        out[own] = np.minimum(x[np.arange(len(own)), (upto < u[own, None]).sum(axis=1).clip(max=x.shape[1] - 1)], n[own])
+    return out
+
+
+def kind_draws(kinds: DataFrame, iters: int, seed: int) -> DataFrame:
+    """(iter, kind, times): in each iteration, how many of as many draws as there are blocks fall on a kind.
+
+    kinds: kind (numbers from 1) and weight, its blocks. The draws of a kind are binomial, given those
+    of the kinds before it: that distribution's inverse at a hashed number of 48 bits. The work is that
+    of iterations times kinds, whatever the number of blocks.
+    """
+    chunks = kinds.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // ITERATIONS))))
+
+    def draw(key: tuple, rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("kind").to_numpy())
+        names, weights = rows.column("kind").to_numpy()[order], rows.column("weight").to_numpy()[order]
+        first = key[0].as_py() * ITERATIONS
+        numbers = np.arange(first, min(first + ITERATIONS, iters))
+        left, rest, out = np.full(len(numbers), weights.sum()), int(weights.sum()), []
+        for name, weight in zip(names.tolist(), weights.tolist(), strict=True):
+            u = np.array([int(hashlib.sha256(f"{seed}:{i}:{name}".encode()).hexdigest()[:12], 16) + 0.5 for i in numbers]) / (1 << 48)
+            times = binomial_quantile(left, weight / rest, u)
+            out.append(times)
+            left, rest = left - times, rest - weight
+        return pa.table({"iter": np.tile(numbers, len(names)), "kind": np.repeat(names, len(numbers)), "times": np.concatenate(out)})
+
+    return chunks.groupBy("chunk").applyInArrow(draw, "iter long, kind long, times long")
+
+
+def bootstrap_kinds(blocks: DataFrame, statistic, iters: int = 2000, seed: int = SEED) -> DataFrame:
+    """(arm, lo, hi) as bootstrap gives, of draws made for kinds of blocks: blocks with the same cells in all arms are one kind.
+
+    Its numbers aren't the published stream's; its cost doesn't grow with the blocks, but with their
+    kinds, of which decisions of so many arms on single items have two to the power of arms + 1 at most.
+    """
+    text = F.array_join(F.array_sort(F.collect_list(F.concat(F.col("arm"), F.lit(":"), F.concat_ws(",", "tp", "fp", "fn", "tn")))), ";")
+    vectors = blocks.groupBy("block").agg(text.alias("v")).groupBy("v").agg(F.count("*").alias("weight"))
+    kinds = stored(vectors.withColumn("kind", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v")).cast("long")), "kinds")  # a row a kind
+    cells = kinds.select("kind", F.explode(F.split("v", ";")).alias("c")).select("kind", F.regexp_extract("c", "^(.*):", 1).alias("arm"), F.split(F.regexp_extract("c", ":([^:]*)$", 1), ",").cast("array<long>").alias("c"))
+    cells = cells.select("kind", "arm", *(F.get("c", F.lit(k)).alias(c) for k, c in enumerate(("tp", "fp", "fn", "tn"))))
+    return intervals(kind_draws(kinds.select("kind", "weight"), iters, seed).join(cells, "kind"), statistic, iters)
+
+
+def intervals(drawn: DataFrame, statistic, iters: int) -> DataFrame:
+    """(arm, lo, hi): 95 % percentile interval, without interpolation, of a statistic over iterations; drawn: arm, iter, times and cells."""
+    sums = drawn.groupBy("arm", "iter").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")))
     value = F.round(statistic(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))), 3)
     values = sums.groupBy("arm").agg(F.array_sort(F.collect_list(value)).alias("v"))  # iters numbers an arm
     return values.select("arm", F.get("v", F.lit(int(0.025 * iters))).alias("lo"), F.get("v", F.lit(int(0.975 * iters))).alias("hi"))
@@ -99,67 +182,77 @@ def permute_arms(pairs: DataFrame, iters: int, seed: int) -> DataFrame:
     return diffs.where("iter > 0").join(F.broadcast(observed)).groupBy("stat").agg(F.count("*").alias("iters"), F.round((F.count_if(F.abs("d") >= F.abs("stat")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 
-def published_swaps(gt: np.ndarray, a: np.ndarray, b: np.ndarray, topic: np.ndarray, iters: int = PERMUTATIONS, seed: int = PERMUTATION_SEED) -> tuple[float, float, float]:
-    """(phi of b less phi of a, p under swapped items, p under swapped topics), on one Mersenne stream: items first.
+def swap_tests(items: DataFrame, iters: int = PERMUTATIONS, seed: int = PERMUTATION_SEED) -> DataFrame:
+    """One row: stat (phi of b less phi of a), iters, p_item and p_cluster under swapped items and topics, on one Mersenne stream: items first.
 
-    gt: slop; a, b: two arms' decisions; topic: numbers from 0 in the order of their first item.
-    A swap moves the difference of the arms' cells, so an iteration is a product of its coins and
-    these, PIECE coins at a time.
+    items: pos, topic, gt_slop, and two arms' decisions a and b. Topics are in the order of their first item.
     """
-
-    def cells(d: np.ndarray) -> np.ndarray:
-        return np.stack([d & gt, d & ~gt, ~d & gt, ~d & ~gt], 1).astype(float)
-
-    def phi(v: np.ndarray) -> np.ndarray:
-        tp, fp, fn, tn = v.T
-        m = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
-        return np.round(np.where(m == 0, 0.0, (tp * tn - fp * fn) / np.sqrt(np.where(m == 0, 1, m))), 3)
-
-    va, vb = cells(a), cells(b)
-    stat = float(phi(vb.sum(0)[None])[0] - phi(va.sum(0)[None])[0])
-    rng, out = np.random.RandomState([seed]), []
-    for codes in (np.arange(len(gt)), topic):
-        m = int(codes.max(initial=-1)) + 1
-        diff = np.zeros((m, 4))
-        np.add.at(diff, codes, vb - va)
-        hits, step = 0, max(1, PIECE // max(m, 1))
-        for first in range(0, iters, step):
-            moved = (rng.random_sample((min(step, iters - first), m)) < 0.5) @ diff
-            d = phi(vb.sum(0) - moved) - phi(va.sum(0) + moved)
-            hits += int((np.abs(d) >= abs(stat) - 1e-12).sum())
-        out.append((hits + 1) / (iters + 1))
-    return round(stat, 3), out[0], out[1]
-
-
-#: Coins that published_swaps holds at once.
-PIECE = 1 << 20
+    names = {"tp": ("gt_slop", True), "fp": ("gt_slop", False), "fn": ("gt_slop", True), "tn": ("gt_slop", False)}
+    cell = lambda arm, c: ((F.col(arm) if c in ("tp", "fp") else ~F.col(arm)) & (F.col("gt_slop") == names[c][1])).cast("long")
+    moves = items.select("pos", "topic", *(cell(arm, c).alias(f"{arm}_{c}") for arm in "ab" for c in names), *((cell("b", c) - cell("a", c)).alias(c) for c in names))
+    moves = stored(moves, "moves")
+    topics = moves.groupBy("topic").agg(F.min("pos").alias("first"), *(F.sum(c).alias(c) for c in names))
+    by_item, coins = mersenne.swaps(moves.select("pos", *names), "pos", iters, seed)
+    by_topic, _ = mersenne.swaps(topics.select("first", *names), "first", iters, seed, skip=coins)
+    phi = lambda arm, sign: F.round(M.phi(*(F.col(f"{arm}_{c}") + sign * F.col(c) for c in names)), 3)
+    whole = moves.agg(*(F.coalesce(F.sum(f"{arm}_{c}"), F.lit(0)).alias(f"{arm}_{c}") for arm in "ab" for c in names))
+    whole = whole.withColumns({c: F.lit(0) for c in names}).withColumn("stat", F.round(phi("b", 0) - phi("a", 0), 3)).drop(*names)
+    drawn = by_item.withColumn("kind", F.lit("item")).unionByName(by_topic.withColumn("kind", F.lit("topic"))).join(F.broadcast(whole))  # one row
+    hit = F.abs(F.round(phi("b", -1) - phi("a", 1), 3)) >= F.abs("stat")
+    p = lambda kind: ((F.count_if(hit & (F.col("kind") == kind)) + 1) / (F.lit(iters) + 1)).alias(f"p_{'item' if kind == 'item' else 'cluster'}")
+    return drawn.groupBy("stat").agg(F.lit(iters).cast("long").alias("iters"), p("item"), p("topic"))
+
+
+#: A hypergeometric is listed so many deviations and this many values to either side of its mean. By Bernstein's
+#: inequality, what is beyond either end is below exp(-46) whatever the mean and the deviation.
+DEVIATIONS, VALUES = 12, 72
+#: Values listed at once.
+_LISTED = 1 << 12
+#: Parts of the unit interval that draws and steps meet in.
+BINS = 1 << 12
+
+
+def hypergeometric(cells: DataFrame) -> DataFrame:
+    """arm, n, tp, p, r, x, mass for cells (arm, tp, fp, fn, tn, n): the chances of x true positives if labels are permuted.
+
+    Decisions and label totals are fixed: r rejected and p slop of n. Masses are summed from ratios of
+    neighbours and scaled to 1 over the values listed, a root of n of them an arm.
+    """
+    p, r, n, x = (F.col(c) for c in ("p", "r", "n", "x"))
+    base = cells.select("arm", "n", "tp", (F.col("tp") + F.col("fn")).alias("p"), (F.col("tp") + F.col("fp")).alias("r"))
+    mean = p.cast("double") * r / n
+    deviation = F.sqrt(mean * ((n - p) / n) * ((n - r) / F.greatest(n - 1, F.lit(1))))
+    far = DEVIATIONS * F.coalesce(deviation, F.lit(0.0)) + VALUES
+    low = F.greatest(F.lit(0), p + r - n, F.floor(mean - far))
+    high = F.least(p, r, F.ceil(mean + far))
+    listed = base.withColumns({"low": low, "high": high}).withColumn("b", F.explode(F.expr(f"sequence(0L, (high - low) div {_LISTED})")))
+    listed = listed.withColumn("x", F.explode(F.expr(f"sequence(low + b * {_LISTED}, least(high, low + b * {_LISTED} + {_LISTED - 1}))")))
+    ratio = ((p - x + 1).cast("double") / x) * ((r - x + 1).cast("double") / (n - p - r + x))
+    order = Window.partitionBy("arm").orderBy("x")
+    logs = listed.withColumn("log", F.sum(F.when(x == F.col("low"), 0.0).otherwise(F.log(ratio))).over(order))
+    arm = Window.partitionBy("arm")
+    weights = logs.withColumn("weight", F.exp(F.col("log") - F.max("log").over(arm)))
+    return weights.select("arm", "n", "tp", "p", "r", "x", (F.col("weight") / F.sum("weight").over(arm)).alias("mass"))
 
 
 def sampled_f1_tail(cells: DataFrame, iters: int = PERMUTATIONS, seed: int = PERMUTATION_SEED) -> DataFrame:
     """arm, f1, p, null_max: F1 under `iters` permutations of the labels, for cells (arm, tp, fp, fn, tn, n).
 
-    With decisions and label totals fixed, the true positives of a permutation are hypergeometric:
-    each is drawn by the inverse of that distribution at a hashed number of 48 bits. Only its part
-    within 12 deviations of its mean is listed; what is beyond is far below 2**-48.
+    True positives are drawn by the inverse of their hypergeometric at a hashed number of 48 bits.
+    Draws and steps of the distribution meet by parts of the unit interval.
     """
-    p, r, n = F.col("p").cast("double"), F.col("r").cast("double"), F.col("n").cast("double")
-    base = cells.select("arm", "n", "tp", (F.col("tp") + F.col("fn")).alias("p"), (F.col("tp") + F.col("fp")).alias("r"))
-    mean, deviation = p * r / n, F.sqrt(p * r * (n - p) * (n - r) / (n * n * F.greatest(n - 1, F.lit(1.0))))
-    low = F.greatest(F.lit(0), F.col("p") + F.col("r") - F.col("n"), F.floor(mean - 12 * deviation))
-    high = F.least("p", "r", F.ceil(mean + 12 * deviation))
-    listed = base.withColumn("x", F.explode(F.sequence(low, high)))
-    mass = F.exp(M.ln_choose(F.col("p"), F.col("x")) + M.ln_choose(F.col("n") - F.col("p"), F.col("r") - F.col("x")) - M.ln_choose(F.col("n"), F.col("r")))
-    upto = F.sum("mass").over(Window.partitionBy("arm").orderBy("x"))  # some root of n rows an arm
-    steps = listed.withColumn("mass", mass).withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("mass"))
-    last = F.row_number().over(Window.partitionBy("arm").orderBy(F.desc("x"))) == 1
-    steps = steps.withColumn("upto", F.when(last, F.lit(2.0)).otherwise(F.col("upto"))).select("arm", "x", "start", "upto")
-    v = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "arm", F.col("iter").cast("string")), 256), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    drawn = base.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iters)))).withColumn("v", v)
     f1 = lambda x: F.round(F.coalesce(2.0 * x / F.nullif((F.col("p") + F.col("r")).cast("double"), F.lit(0.0)), F.lit(0.0)), 3)
-    steps = steps.withColumnRenamed("arm", "s_arm")
-    met = drawn.join(steps, (F.col("arm") == F.col("s_arm")) & (F.col("start") <= F.col("v")) & (F.col("v") < F.col("upto")))
-    out = met.select("arm", f1(F.col("tp")).alias("f1"), f1(F.col("x")).alias("f"))
-    return out.groupBy("arm", "f1").agg(F.round((F.count_if(F.col("f") >= F.col("f1")) + 1) / (F.count("*") + 1), 6).alias("p"), F.max("f").alias("null_max"))
+    order = Window.partitionBy("arm").orderBy("x")
+    steps = hypergeometric(cells).withColumn("upto", F.sum("mass").over(order)).withColumn("start", F.col("upto") - F.col("mass"))
+    last = F.lead("x").over(order).isNull()
+    steps = steps.select("arm", f1(F.col("x")).alias("f"), F.when(F.row_number().over(order) == 1, F.lit(0.0)).otherwise(F.lag("upto").over(order)).alias("start"), F.when(last, F.lit(1.0)).otherwise(F.col("upto")).alias("upto"))
+    part = lambda v: F.least(F.floor(v * BINS), F.lit(BINS - 1)).cast("int")
+    steps = steps.withColumn("bin", F.explode(F.sequence(part(F.col("start")), part(F.col("upto")))))
+    v = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "arm", F.col("iter").cast("string")), 256), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    base = cells.select("arm", "tp", (F.col("tp") + F.col("fn")).alias("p"), (F.col("tp") + F.col("fp")).alias("r"))
+    drawn = base.withColumn("f1", f1(F.col("tp"))).withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iters)))).withColumn("v", v).withColumn("bin", part(F.col("v")))
+    met = drawn.join(steps, ["arm", "bin"]).where("start <= v and v < upto")
+    return met.groupBy("arm", "f1").agg(F.round((F.count_if(F.col("f") >= F.col("f1")) + 1) / (F.count("*") + 1), 6).alias("p"), F.max("f").alias("null_max"))
 
 
 def exact_f1_tail(cells: DataFrame) -> DataFrame:
@@ -167,7 +260,5 @@ def exact_f1_tail(cells: DataFrame) -> DataFrame:
 
     With decisions and label totals fixed, tp is hypergeometric and F1 rises with it.
     """
-    p, r, n = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp"), F.col("n")
-    tails = cells.withColumn("x", F.explode(F.sequence("tp", F.least(p, r))))
-    term = F.when(n - p - r + F.col("x") < 0, 0.0).otherwise(F.exp(M.ln_choose(p, F.col("x")) + M.ln_choose(n - p, r - F.col("x")) - M.ln_choose(n, r)))
-    return tails.groupBy("arm", "n", "tp").agg(F.round(F.least(F.sum(term), F.lit(1.0)), 6).alias("p"))
+    tail = F.sum(F.when(F.col("x") >= F.col("tp"), F.col("mass")).otherwise(0.0))
+    return hypergeometric(cells).groupBy("arm", "n", "tp").agg(F.round(F.least(tail, F.lit(1.0)), 6).alias("p"))

@@ -7,40 +7,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.functions import metrics as M
+from sluice.sources import stored
 
-#: Ranges of about equally many values that running totals are dealt over.
-RANGES = 256
+#: Rows of a range, by which the number of ranges grows with the rows.
+RANGE_ROWS = 1 << 18
 
 
 def in_ranges(df: DataFrame, column: str, name: str = "__r") -> DataFrame:
-    """df with the range of each row's value: RANGES ranges with about equally many of df's rows, between approximate quantiles."""
-    cuts = df.agg(F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("__cuts"))  # one row
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(column)))
-    return df.join(F.broadcast(cuts)).withColumn(name, below).drop("__cuts")
+    """df in the shared folder, sorted into ranges of about RANGE_ROWS rows by a column, with the number of each row's range.
+
+    Ranges come from a sample of the values, and rows of one value are in one range.
+    """
+    rows = stored(df, "rows")
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    if ranges > 1:
+        rows = rows.repartitionByRange(ranges, column)
+    else:
+        rows = rows.coalesce(1)  # RANGE_ROWS rows at most
+    return stored(rows.sortWithinPartitions(column).withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def _before(ranged: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """A row per range (__r) with the totals of all ranges before it, as __NAME: a table of as many rows as there are ranges."""
+    totals = ranged.groupBy("__r").agg(*(c.alias(f"__{n}") for n, c in sums.items()))
+    before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("__r", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
 
 
 def running_totals(df: DataFrame, score: str, sums: dict[str, Column]) -> DataFrame:
     """A row per distinct score with sums and first (least pos), and with totals up to and with it as cum_NAME.
 
-    Distinct scores are dealt over ranges between their quantiles, so a window holds a like share of
-    them whatever their distribution; the ranges' own totals are a table of RANGES rows.
+    Distinct scores are sorted into ranges, so a window holds a like share of them whatever their
+    distribution, and the ranges' own totals are a row a range. df is read once.
     """
     per = in_ranges(df.groupBy(score).agg(*(c.alias(n) for n, c in sums.items()), F.min("pos").alias("first")), score)
-    totals = per.groupBy("__r").agg(*(F.sum(n).alias(f"__{n}") for n in sums))
-    before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__r", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
     own = Window.partitionBy("__r").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    out = per.join(F.broadcast(totals), "__r")  # RANGES rows
+    out = per.join(F.broadcast(_before(per, {n: F.sum(n) for n in sums})), "__r")  # a row a range
     return out.select(score, "first", *sums, *((F.col(f"__{n}") + F.sum(n).over(own)).alias(f"cum_{n}") for n in sums))
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with its rows numbered from 0 in order, by counts of ranges and a window in each."""
     ranged = in_ranges(df, order)
-    before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__r").agg(F.count("*").alias("__c")).select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c"))
     at = F.col("__c") + F.row_number().over(Window.partitionBy("__r").orderBy(order)) - 1
-    return ranged.join(F.broadcast(counts), "__r").withColumn(name, at).drop("__r", "__c")  # RANGES rows
+    return ranged.join(F.broadcast(_before(ranged, {"c": F.count("*")})), "__r").withColumn(name, at).drop("__r", "__c")  # a row a range
 
 
 def best_threshold(df: DataFrame, score: str = "score", gt: str = "gt_slop") -> DataFrame:

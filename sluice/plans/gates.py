@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions import gates as G
+from sluice.operators import chains
 from sluice.operators import corpus as C
 from sluice.operators.validator import ABLATIONS, FLAGS, NAMED_TERMS, REASONS, accept
 from sluice.plans import oracle as O
@@ -197,11 +198,7 @@ def json_repair(spark, sf):
   UNION ALL SELECT node, CASE WHEN here % 50 = 49 THEN here ELSE here // 2 END, depth + 1, here % 50 = 49 FROM walk WHERE here <> 0 AND NOT looped)
 SELECT node, max(depth)::BIGINT AS depth, NOT bool_or(looped) AS reaches_root FROM walk GROUP BY node""")
 def inheritance_recursive(spark, sf):
-    """Parent chains walked to the root, loops found (an extension): each scope's parent is half its number, and every fiftieth names itself."""
-    return spark.sql(
-        """WITH RECURSIVE walk(node, here, depth, looped) MAX RECURSION LEVEL 200 AS (
-      SELECT doc_id, doc_id, 0L, FALSE FROM {scopes}
-      UNION ALL SELECT node, CASE WHEN here % 50 = 49 THEN here ELSE here DIV 2 END, depth + 1, here % 50 = 49 FROM walk WHERE here <> 0 AND NOT looped)
-    SELECT node, max(depth) AS depth, NOT bool_or(looped) AS reaches_root FROM walk GROUP BY node""",
-        scopes=table(spark, sf, "documents").select("doc_id"),
-    )
+    """Parent chains followed to the root, loops found (an extension): each scope's parent is half its number, and every fiftieth names itself."""
+    number = F.col("doc_id")
+    scopes = table(spark, sf, "documents").select(number.alias("node"), F.when(number % 50 == 49, number).otherwise(F.expr("doc_id div 2")).alias("parent"))
+    return chains.follow(scopes, F.lit(0)).select("node", "depth", (F.col("ends") == "root").alias("reaches_root"))

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.functions import metrics as M
 from sluice.operators import cache as K
 from sluice.operators import corpus as C
+from sluice.operators import lm
 from sluice.operators import resample as R
 from sluice.operators import retrieval as V
 from sluice.operators import thresholds as TH
 from sluice.plans import oracle as O
-from sluice.sources import shared_dir, table
+from sluice.sources import shared_dir, stored, table
 from sluice.streaming.monitor import reject_rates
 
 QUERIES: dict = {}
@@ -23,10 +23,6 @@ ORACLES: dict[str, str] = {}
 BASE = (O.ITEMS, O.PROXIES, O.DECISIONS)
 
 
-#: Words whose counts are broadcast in scoring.
-FREQUENT = 4096
-
-
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -45,19 +41,18 @@ scored AS (SELECT i.pos, i.gt_slop, i.labelled, p.score FROM items i LEFT JOIN p
 
 
 def perplexity(spark, sf):
-    """items with score: perplexity under a unigram model of all texts; the first token isn't scored; null for fewer than two."""
+    """items with score: perplexity under a unigram model of all texts; the first token isn't scored; null for fewer than two.
+
+    Scores are made once, into the shared folder, and counted words before them.
+    """
     items = C.items(spark, sf)
-    tokens = items.select("pos", F.posexplode(C.tokens()).alias("i", "t"))
-    freq = tokens.groupBy("t").agg(F.count("*").alias("c"))
+    tokens = stored(items.select("pos", C.tokens().alias("t")), "tokens")
+    freq = stored(tokens.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("c")), "words")
     total = freq.agg(F.sum("c").cast("double").alias("s"))
-    own = tokens.where("i > 0").groupBy("pos", "t").agg(F.count("*").alias("k"))
-    # a frequent word is in most documents: those come by a broadcast of FREQUENT rows, only the others by a shuffle on the word
-    top = freq.orderBy(F.desc("c"), "t").limit(FREQUENT)
-    looked = own.join(F.broadcast(top), "t", "left")
-    rest = looked.where("c is null").drop("c").join(freq, "t")
-    scored = looked.where("c is not null").unionByName(rest).join(F.broadcast(total))  # one row
-    ppl = scored.groupBy("pos").agg(F.round(F.exp(F.least(F.sum(-F.log(F.col("c") / F.col("s")) * F.col("k")) / F.sum("k"), F.lit(20.0))), 4).alias("score"))
-    return items.select("pos", "gt_slop", "labelled").join(ppl, "pos", "left")
+    own = stored(tokens.select("pos", F.explode(F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1)))).alias("t")).groupBy("pos", "t").agg(F.count("*").alias("k")), "counts")
+    scored = lm.look_up(own, freq, ["t"], "c").join(F.broadcast(total))  # one row
+    ppl = scored.groupBy("pos").agg(F.round(F.exp(F.least(F.sum(-F.log(F.col("c") / F.col("s")) * F.col("k")) / F.sum("k"), F.lit(lm.MOST))), 4).alias("score"))
+    return stored(items.select("pos", "gt_slop", "labelled").join(ppl, "pos", "left"), "scores")
 
 
 @query(O.sql(O.ITEMS, PPL, select="SELECT pos, score AS perplexity FROM scored"))
@@ -317,18 +312,21 @@ TOPIC_BLOCKS = BLOCKS.lstrip() + f""",
 blocks AS (SELECT arm, block, {O.CELLS} FROM decisions JOIN numbered USING (topic) WHERE labelled GROUP BY arm, block)"""
 
 
+def _core(spark, sf, arms=ARMS):
+    """The labelled items' decisions, made once."""
+    return stored(C.wide_decisions(spark, sf).where("labelled").select("pos", "topic", "gt_slop", *(f"`{a}`" for a in arms)), "decisions")
+
+
 def _item_blocks(spark, sf):
-    numbered = TH.numbered(C.items(spark, sf).where("labelled").select("pos"), "pos", "block")
-    picked = C.decisions(spark, sf, core=True).where(F.col("arm").isin(*ARMS)).join(numbered, "pos")
-    return picked.groupBy("arm", "block").agg(*M.confusion())
+    numbered = TH.numbered(_core(spark, sf).drop("topic"), "pos", "block")
+    return C.by_arm(numbered).groupBy("arm", "block").agg(*M.confusion())
 
 
 def _topic_blocks(spark, sf, arms=ARMS):
     """Topics are numbered in the order of their first item."""
-    core = C.decisions(spark, sf, core=True).where(F.col("arm").isin(*arms))
-    firsts = C.items(spark, sf).where("labelled").groupBy("topic").agg(F.min("pos").alias("first"))
-    numbered = TH.numbered(firsts, "first", "block").select("topic", "block")
-    return core.join(numbered, "topic").groupBy("arm", "block").agg(*M.confusion())
+    core = _core(spark, sf, arms)
+    numbered = TH.numbered(core.groupBy("topic").agg(F.min("pos").alias("first")), "first", "block").select("topic", "block")
+    return C.by_arm(core, arms).join(numbered, "topic").groupBy("arm", "block").agg(*M.confusion())
 
 
 @query(_lcg_sql(ITEM_BLOCKS, O.F1))
@@ -346,6 +344,39 @@ def cluster_bootstrap_phi_ci(spark, sf):
     return R.bootstrap(spark, _topic_blocks(spark, sf), M.phi)
 
 
+_KINDS_SQL = """
+n AS (SELECT count(DISTINCT block)::BIGINT AS n FROM blocks),
+vec AS (SELECT block, string_agg(arm || ':' || tp || ',' || fp || ',' || fn || ',' || tn, ';' ORDER BY arm) AS v FROM blocks GROUP BY block),
+kinds AS (SELECT v, count(*) AS w, row_number() OVER (ORDER BY v) AS j, any_value(block) AS some FROM vec GROUP BY v),
+share AS (SELECT j, w::DOUBLE / sum(w) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM kinds),
+mass AS (SELECT j, m.range AS m, x.range AS x, exp(lgamma(m.range + 1) - lgamma(x.range + 1) - lgamma(m.range - x.range + 1) + x.range * ln(p) + (m.range - x.range) * ln(1 - p)) AS mass
+  FROM share, range(0, (SELECT n + 1 FROM n)) m, range(0, (SELECT n + 1 FROM n)) x WHERE x.range <= m.range AND p < 1),
+steps AS (SELECT j, m, x, sum(mass) OVER w AS hi, coalesce(lead(x) OVER w, -1) AS more FROM mass WINDOW w AS (PARTITION BY j, m ORDER BY x)),
+dist AS (SELECT j, m, x, CASE WHEN x = 0 THEN -1.0 ELSE lag(hi) OVER (PARTITION BY j, m ORDER BY x) END AS lo, CASE WHEN more < 0 THEN 2.0 ELSE hi END AS hi FROM steps
+  UNION ALL SELECT j, m.range, m.range, -1.0, 2.0 FROM share, range(0, (SELECT n + 1 FROM n)) m WHERE p >= 1),
+u AS (SELECT i.range AS iter, j, (('0x' || substr(sha256('{seed}:' || i.range || ':' || j), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM kinds, range(0, 2000) i),
+s(iter, j, rest, times) AS (SELECT range, 0::BIGINT, n, 0::BIGINT FROM range(0, 2000), n
+  UNION ALL SELECT s.iter, s.j + 1, s.rest - d.x, d.x FROM s JOIN u ON u.iter = s.iter AND u.j = s.j + 1 JOIN dist d ON d.j = s.j + 1 AND d.m = s.rest AND d.lo < u.u AND u.u <= d.hi),
+x AS (SELECT b.arm, s.iter, sum(times * tp)::BIGINT AS tp, sum(times * fp)::BIGINT AS fp, sum(times * fn)::BIGINT AS fn, sum(times * tn)::BIGINT AS tn FROM s JOIN kinds k USING (j) JOIN blocks b ON b.block = k.some GROUP BY ALL),
+v AS (SELECT arm, list_sort(list(round({stat}, 3))) AS v FROM x GROUP BY arm)
+SELECT arm, v[51] AS lo, v[1951] AS hi FROM v"""
+
+
+def _by_kinds(stat: str) -> str:
+    return "WITH RECURSIVE " + ",".join((O.ITEMS, O.PROXIES, O.DECISIONS, ITEM_BLOCKS, _KINDS_SQL.format(stat=stat, seed=R.SEED)))
+
+
+@query(_by_kinds(O.F1))
+def bootstrap_f1_ci_kinds(spark, sf):
+    """bootstrap_f1_ci with draws made for kinds of items instead of items: not the published stream, and as dear for any number of items."""
+    return R.bootstrap_kinds(_item_blocks(spark, sf), R.f1_statistic)
+
+
+@query(_by_kinds(O.PHI))
+def bootstrap_phi_ci_kinds(spark, sf):
+    return R.bootstrap_kinds(_item_blocks(spark, sf), M.phi)
+
+
 def _pairs(blocks):
     cells = ("tp", "fp", "fn", "tn")
     return blocks.groupBy("block").agg(*(F.sum(F.when(F.col("arm") == arm, F.col(c)).otherwise(0)).alias(f"{x}_{c}") for x, arm in (("a", "T"), ("b", "B2")) for c in cells))
@@ -374,15 +405,9 @@ def phi_diff_perm_hash(spark, sf):
 
 @query()
 def phi_diff_perm_mt(spark, sf):
-    """The same with the published Mersenne stream: item swaps first, then topics on the same stream, which only one task can draw."""
-    wide = C.wide_decisions(spark, sf).where("labelled").select("pos", "topic", "gt_slop", F.col("T").alias("a"), F.col("B2").alias("b"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        stat, p_item, p_cluster = R.published_swaps(*(pdf[c].to_numpy(bool) for c in ("gt_slop", "a", "b")), pd.factorize(pdf["topic"])[0])
-        return pd.DataFrame({"stat": [stat], "iters": [R.PERMUTATIONS], "p_item": [p_item], "p_cluster": [p_cluster]})
-
-    return wide.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "stat double, iters long, p_item double, p_cluster double")
+    """The same with the published Mersenne stream: item swaps first, then topics on the same stream, whose parts are drawn in parallel."""
+    core = _core(spark, sf, ("T", "B2"))
+    return R.swap_tests(core.select("pos", "topic", "gt_slop", F.col("T").alias("a"), F.col("B2").alias("b")))
 
 
 @query(O.sql(*BASE, f"c AS (SELECT arm, {O.CELLS} FROM decisions WHERE labelled GROUP BY arm)", "x AS (SELECT arm, n, tp, tp + fn AS p, tp + fp AS r, unnest(range(tp, least(tp + fn, tp + fp) + 1)) AS x FROM c)",

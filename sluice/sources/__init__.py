@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df, written once to the folder that executors share and read from there: lineage ends here, and no reader computes it again."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON file (or files) that is one array of records."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import metrics as M
 from sluice.operators import cache as K
+from sluice.operators import mersenne
 from sluice.operators import resample as R
 from sluice.operators import retrieval as V
 from sluice.operators import thresholds as TH
@@ -107,7 +108,11 @@ def test_retrieval_ties_and_short_corpus(spark):
     assert tuple(V.grounding(V.top_k(queries, corpus, 5)).first())[1:] == (1.0, 0.4)
 
 
-def test_published_swaps_match_a_plain_version():
+@pytest.mark.parametrize(("blocks", "coins"), [(1 << 20, 1 << 25), (1 << 20, 200), (16, 100), (7, 1)])
+def test_published_swaps_match_a_plain_version(spark, monkeypatch, blocks, coins):
+    """In one part, or with blocks and iterations dealt over many."""
+    monkeypatch.setattr(mersenne, "BLOCKS", blocks)
+    monkeypatch.setattr(mersenne, "COINS", coins)
     import random
 
     rng = random.Random(4)
@@ -122,20 +127,79 @@ def test_published_swaps_match_a_plain_version():
         return round((tp * tn - fp * fn) / m**0.5, 3) if m else 0.0
 
     stream, want, iters = random.Random(20260605), [], 150
-    for blocks in ([[k] for k in range(n)], [[k for k in range(n) if topics[k] == t] for t in order]):
+    for groups in ([[k] for k in range(n)], [[k for k in range(n) if topics[k] == t] for t in order]):
         hits = 0
         for _ in range(iters):
             x, y = list(b), list(a)
-            for block in blocks:
+            for block in groups:
                 if stream.random() < 0.5:
                     for k in block:
                         x[k], y[k] = y[k], x[k]
             hits += abs(phi(x) - phi(y)) >= abs(phi(b) - phi(a)) - 1e-12
         want.append((hits + 1) / (iters + 1))
-    for piece in (16, 1 << 20):
-        R.PIECE = piece
-        got = R.published_swaps(*(np.array(v) for v in (gt, a, b)), np.array([order[t] for t in topics]), iters)
-        assert got == (round(phi(b) - phi(a), 3), *want)
+    items = spark.createDataFrame([(3 * k, str(topics[k]), gt[k], a[k], b[k]) for k in range(n)], "pos long, topic string, gt_slop boolean, a boolean, b boolean")
+    row = R.swap_tests(items.repartition(3), iters).first()
+    assert (row["stat"], row["p_item"], row["p_cluster"], row["iters"]) == (round(phi(b) - phi(a), 3), *want, iters)
+
+
+def test_swaps_of_nothing(spark):
+    items = spark.createDataFrame([], "pos long, topic string, gt_slop boolean, a boolean, b boolean")
+    assert tuple(R.swap_tests(items, 5).first()) == (0.0, 5, 1.0, 1.0)
+
+
+def test_jumps_follow_the_stream():
+    for outputs in (0, 2, 622, 624, 626, 50_000, 2_000_002):
+        plain = np.random.RandomState([7])
+        plain.random_sample(outputs // 2)
+        state = mersenne.jumped(mersenne.seeded(7), mersenne.power(outputs))
+        assert (mersenne._generator(state).random_sample(700) == plain.random_sample(700)).all()
+
+
+def test_binomial_quantiles():
+    rng = np.random.RandomState(1)
+    for n, p in ((0, 0.3), (1, 0.5), (7, 0.9), (400, 0.003), (400, 0.4), (3000, 0.999)):
+        u = np.concatenate((rng.random_sample(40), [1e-9, 1 - 1e-9]))
+        upto = np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)] if n < 1000 else [math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(n + 1)])
+        want = [min(int((upto < x).sum()), n) for x in u]
+        assert R.binomial_quantile(np.full(len(u), n), p, u).tolist() == want
+    n, p, u = 10**6, 0.3, rng.random_sample(200)  # beyond EXACT_VARIANCE: at most one off
+    x = np.arange(280_000, 320_001)
+    log = np.array([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in x]) + x * math.log(p) + (n - x) * math.log(1 - p)
+    exact = x[np.searchsorted(np.cumsum(np.exp(log)), u)]
+    assert np.abs(R.binomial_quantile(np.full(200, n), p, u) - exact).max() <= 1
+    assert R.binomial_quantile(np.array([5, 0]), 1.0, np.array([0.5, 0.5])).tolist() == [5, 0]
+
+
+def test_draws_of_kinds_add_up_and_near_their_shares(spark):
+    kinds = spark.createDataFrame([(1, 5), (2, 70), (3, 25)], "kind long, weight long")
+    got = R.kind_draws(kinds, 600, 3).collect()
+    by = {k: [r["times"] for r in got if r["kind"] == k] for k in (1, 2, 3)}
+    assert [sum(x) for x in zip(*by.values(), strict=True)] == [100] * 600
+    for k, w in ((1, 5), (2, 70), (3, 25)):
+        assert abs(np.mean(by[k]) - w) < 4 * (w * (100 - w) / 100 / 600) ** 0.5 and abs(np.var(by[k]) / (w * (100 - w) / 100) - 1) < 0.3
+
+
+def test_kinds_near_the_published_stream(spark):
+    rng = random.Random(8)
+    rows = [(arm, k, *(int(rng.random() < 0.5) for _ in range(1)), 0, 0, 0) for k in range(300) for arm in "xy"]
+    rows = [(arm, k, tp, 1 - tp, int(k % 3 == 0), int(k % 3 != 0)) for arm, k, tp, *_ in rows]
+    blocks = spark.createDataFrame(rows, "arm string, block long, tp long, fp long, fn long, tn long")
+    one, other = ({r["arm"]: (r["lo"], r["hi"]) for r in f(blocks) } for f in (lambda b: R.bootstrap(spark, b, R.f1_statistic).collect(), lambda b: R.bootstrap_kinds(b, R.f1_statistic).collect()))
+    assert all(abs(one[a][k] - other[a][k]) <= 0.01 for a in "xy" for k in (0, 1))
+
+
+def test_tails_of_large_and_of_rare_counts(spark):
+    """A thousand million items, and means far below one, where deviations say little."""
+    rows = [("large", 100_010_000, 899_990_000 - 600_000_000 + 0, 199_990_000, 10, 0), ("rare", 2, 998, 8, 98_992, 0), ("none", 0, 5, 5, 90, 0)]
+    cells = spark.createDataFrame([(a, tp, fp, fn, tn, tp + fp + fn + tn) for a, tp, fp, fn, tn, _ in rows], "arm string, tp long, fp long, fn long, tn long, n long")
+    got = {r["arm"]: r["p"] for r in R.exact_f1_tail(cells).collect()}
+    p, r, n = 10, 1000, 100_000
+    want = sum(math.comb(p, x) * math.comb(n - p, r - x) for x in range(2, 11)) / math.comb(n, r)
+    assert got["rare"] == round(want, 6) and got["none"] == 1.0 and 0 <= got["large"] <= 1
+    half = spark.createDataFrame([("half", 250_000_000, 250_000_000, 250_000_000, 250_000_000, 10**9)], cells.schema)
+    assert abs(R.exact_f1_tail(half).first()["p"] - 0.5) < 1e-4
+    sampled = {r["arm"]: r["p"] for r in R.sampled_f1_tail(cells.unionByName(half), 2000).collect()}
+    assert all(abs(sampled[a] - got[a]) < 0.05 for a in ("rare", "none")) and sampled["half"] == 1.0  # all F1 are 0.5 to three places
 
 
 def test_sampled_f1_tail_nears_the_exact_one(spark):
@@ -174,10 +238,11 @@ def test_contained_matches_a_plain_version(spark):
     assert got == {(i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t}
 
 
-def test_ranges_hold_like_shares(spark):
+def test_ranges_hold_like_shares(spark, monkeypatch):
     df = spark.range(20_000).select(F.when(F.col("id") == 0, 1e20).otherwise(F.exp(F.col("id") / 2500)).alias("score"))
+    monkeypatch.setattr(TH, "RANGE_ROWS", 1000)
     sizes = [r["count"] for r in TH.in_ranges(df, "score").groupBy("__r").count().collect()]
-    assert max(sizes) <= 2 * 20_000 / TH.RANGES
+    assert len(sizes) == 20 and max(sizes) <= 2 * 1000
     got = [r["n"] for r in TH.numbered(df, "score", "n").orderBy("score").collect()]
     assert got == list(range(20_000))
 
