@@ -53,7 +53,14 @@ def validate(scopes: DataFrame, ledger: DataFrame, key: str = "pos") -> DataFram
 
 
 def _listed(names: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(names, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    """A list of texts as it is published: in single quotes, in double ones where a text has only the former, with backslashes before what needs them."""
+
+    def quoted(x: Column) -> Column:
+        plain = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        return F.when(x.contains("'") & ~x.contains('"'), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(names, quoted), ", "), F.lit("]"))
 
 
 def validate_directories(directories: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ import math
 import duckdb
 import pytest
 
-from sluice.plans import gates, models, rates, scores
+from sluice.plans import claims, gates, models, rates, scores
 
-QUERIES = {**rates.QUERIES, **gates.QUERIES, **scores.QUERIES, **models.QUERIES}
-ORACLES = {**rates.ORACLES, **gates.ORACLES, **scores.ORACLES, **models.ORACLES}
+QUERIES = {**rates.QUERIES, **gates.QUERIES, **claims.QUERIES, **scores.QUERIES, **models.QUERIES}
+ORACLES = {**rates.ORACLES, **gates.ORACLES, **claims.ORACLES, **scores.ORACLES, **models.ORACLES}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

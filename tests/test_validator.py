@@ -78,3 +78,37 @@ def test_directories_to_verdicts(spark, tmp_path):
         "broken": (False, ["introspection: undefined terms ['Y', 'Z']", "claims.json unparseable"]),
         "far": (False, ["gate1 vocab: claim uses undefined term", "gate2 evidence: claim cites commit absent from ledger", "gate3 scope: claim evidence outside declared window"]),
     }
+
+
+def test_terms_are_quoted_as_published(spark):
+    from sluice.operators.validator import _listed
+
+    names = ["plain", "it's", 'say "x"', "it's \"x\"", "back\\slash", "it's back\\slash", ""]
+    df = spark.createDataFrame([(names,), ([],)], "names array<string>")
+    assert [r[0] for r in df.select(_listed(F.col("names"))).collect()] == [repr(names), "[]"]
+
+
+def test_render_and_judge_several_claims(spark):
+    from sluice.operators import rendering as R
+    from sluice.operators.validator import validate_directories
+
+    sha, claim = "c" * 40, lambda text, terms, commit, date: (text, terms, commit, date)
+    rows = [
+        ("good", [claim("One.", ["B", "A"], "c" * 40, "2024-02-01"), claim("Two.", None, "c" * 40, "2024-03-01")], True, None, None),
+        ("one bad of two", [claim("One.", ["A"], "c" * 40, "2024-02-01"), claim("Two.", [], "d" * 40, "2024-03-01")], True, None, None),
+        ("late", [claim("One.", ["A"], "c" * 40, "2024-02-01"), claim("Two.", [], "c" * 40, "2025-03-01")], True, None, None),
+        ("injected", [claim(None, ["A"], "c" * 40, "2024-02-01")], True, "Odd", {"A": "a letter"}),
+        ("bare", [claim("One.", ["A"], "c" * 40, "2024-02-01")], False, None, None),
+        ("none", None, True, None, None),
+    ]
+    df = spark.createDataFrame(rows, f"scope string, claims array<{R.CLAIM}>, scaffolded boolean, inject string, definitions map<string,string>")
+    out = R.render(df.withColumns({"window_start": F.lit("2024-01-01"), "window_end": F.lit("2024-12-31")}))
+    got = {r["scope"]: r for r in out.collect()}
+    assert got["good"]["prose"] == "One. Two." and got["good"]["readme"] == "# README\nOne. Two.\n" and got["good"]["vocab"] == "# VOCAB\n- [[A]]: defined locally\n- [[B]]: defined locally\n"
+    assert got["good"]["canon"].endswith("\nGoverns [[A]] [[B]].\n") and got["injected"]["canon"].endswith("Governs [[A]] [[Odd]].\n") and got["injected"]["vocab"].endswith("- [[A]]: a letter\n")
+    assert got["bare"]["files"] == ["content.md"] and got["bare"]["canon"] is None and got["none"]["claims_json"] == "[]" and got["injected"]["prose"] == ""
+    ledger = spark.createDataFrame([(sha, "2024-01-01")], "sha string, committed_date string")
+    verdicts = {r["scope"]: (r["accept"], r["reasons"]) for r in validate_directories(out, ledger).collect()}
+    assert {k: v[0] for k, v in verdicts.items()} == {"good": True, "one bad of two": False, "late": False, "injected": False, "bare": False, "none": True}
+    assert verdicts["one bad of two"][1] == ["gate2 evidence: claim cites commit absent from ledger"] and verdicts["late"][1] == ["gate3 scope: claim evidence outside declared window"]
+    assert verdicts["injected"][1] == ["introspection: undefined terms ['Odd']"]
