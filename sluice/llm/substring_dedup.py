@@ -286,7 +286,7 @@ def _cut_rest(sent: Broadcast, text: Column, bit: Column) -> Column:
         place = np.cumsum(~may.to_numpy(zero_copy_only=False)) - 1
         return rest.take(pa.array(np.maximum(place, 0), mask=may.to_numpy(zero_copy_only=False)))
 
-    return cut(text, bit)
+    return cut.asNondeterministic()(text, bit)  # else a filter on the result would be a second evaluation
 
 
 def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
