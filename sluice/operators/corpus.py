@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.validator import ABLATIONS, accept, validate
-from sluice.sources import table
+from sluice.sources import stored, table
 
 LEDGER_ROWS, FAKE_SHA = 200, "0" * 40
 #: Fixed value: the definition of a term that has none of its own.
@@ -100,9 +100,15 @@ def detector_proxy(prose: str = "prose") -> Column:
 
 
 def wide_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per item with its prose's length and a reject column for each arm; the validator's flags are made once and the ablations derived."""
-    arms = {"B0": F.lit(False), "B1b": detector_proxy(), "B2": quality_proxy()} | {arm: ~accept(without) for arm, without in ABLATIONS.items()}
-    return verdicts(spark, sf_dir).select("pos", "klass", "topic", "lang", "gt_slop", "labelled", "quality", "toxic", F.length("prose").cast("long").alias("chars"), *(c.alias(a) for a, c in arms.items()))
+    """A row per item with its prose's length and a reject column for each arm; the validator's flags are made once and the ablations derived.
+
+    Texts are read once: what the arms need of an item is written without its prose.
+    """
+    parts = F.transform("claims", lambda c: F.struct(c["terms"].alias("terms"), c["evidence_commit"].alias("evidence_commit"), c["evidence_date"].alias("evidence_date")))
+    said = {"chars": F.length("prose").cast("long"), "B0": F.lit(False), "B1b": detector_proxy(), "B2": quality_proxy(), "claims": parts}
+    slim = stored(scopes(spark, sf_dir).withColumns(said).drop("prose"), "scopes")
+    judged = validate(slim, ledger(spark, sf_dir))
+    return judged.select("pos", "klass", "topic", "lang", "gt_slop", "labelled", "quality", "toxic", "chars", "B0", "B1b", "B2", *((~accept(without)).alias(arm) for arm, without in ABLATIONS.items()))
 
 
 def decisions(spark: SparkSession, sf_dir: str, core: bool = False) -> DataFrame:

@@ -89,26 +89,37 @@ def coverage(claim: Column, context: Column) -> Column:
     return F.transform(F.array(F.struct(of(claim).alias("a"), of(context).alias("b"))), lambda s: F.when(F.size(s["a"]) == 0, 0.0).otherwise(F.size(F.array_intersect(s["a"], s["b"])).cast("double") / F.size(s["a"])))[0]
 
 
-#: Words of a passage that documents are looked up by.
-GRAM = 4
+#: Words of a passage that documents are looked up by, at most; passages without a whole inner word that are compared with all texts at once.
+GRAM, SHORT = 4, 4096
 _WORDS = r"array_remove(split(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), '')"
 
 
 def contained(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """(item, key) of the passages (item, text) that stand in documents, character by character.
 
-    A passage's second to fifth words stand whole in a text that has it, so texts and passages meet
-    on the hash of these four, and what meets is compared. Passages of fewer than six words are
-    compared with all texts. Null texts have no passages, and an empty passage stands in every text.
+    All words of a passage but the first and the last stand whole in a text that has it, so texts and
+    passages meet on the hash of the first of these, GRAM of them at most, and what meets is compared.
+    Passages of one or two words have none: they are compared with all texts, SHORT of them at a time,
+    which is the only size that is broadcast. Null texts have no passages, and an empty passage stands
+    in every text.
     """
     listed = passages.select(item, F.col(text).alias("passage"), F.expr(_WORDS.format(text)).alias("w")).where("passage is not null")
-    four = "xxhash64({})".format(", ".join(f"get(w, {{}} + {k})" for k in range(GRAM)))
-    long = listed.where(F.size("w") >= GRAM + 2).select(item, "passage", F.expr(four.replace("{}", "1")).alias("h"))
-    grams = docs.select(key, F.expr(_WORDS.format(text)).alias("w")).where(F.size("w") >= GRAM)
-    grams = grams.select(key, F.explode(F.array_distinct(F.expr(f"transform(sequence(0, size(w) - {GRAM}), i -> {four.replace('{}', 'i')})"))).alias("h"))
-    met = grams.join(long, "h").select(key, item).distinct()
+    listed = listed.withColumn("k", F.least(F.lit(GRAM), F.size("w") - 2))
     texts = docs.select(key, F.col(text).alias("__text"))
-    far = met.join(texts, key).join(passages.select(item, F.col(text).alias("passage")), item).where(F.contains("__text", "passage")).select(item, key)
-    short = listed.where(F.size("w") < GRAM + 2).select(item, "passage")
-    near = texts.join(short, F.contains("__text", "passage")).select(item, key)
-    return far.unionByName(near).distinct()
+    rows = docs.select(key, F.expr(_WORDS.format(text)).alias("w"))
+    hashed = lambda at, k: "xxhash64({})".format(", ".join(f"get(w, {at} + {j})" for j in range(k)))
+    out = None
+    for k in sorted(r["k"] for r in listed.where("k > 0").select("k").distinct().collect()):  # GRAM numbers at most
+        grams = rows.where(F.size("w") >= k).select(key, F.explode(F.array_distinct(F.expr(f"transform(sequence(0, size(w) - {k}), i -> {hashed('i', k)})"))).alias("h"))
+        met = grams.join(listed.where(F.col("k") == k).select(item, F.expr(hashed("1", k)).alias("h")), "h").select(key, item).distinct()
+        out = met if out is None else out.unionByName(met)
+    found = None
+    if out is not None:
+        found = out.join(texts, key).join(passages.select(item, F.col(text).alias("passage")), item).where(F.contains("__text", "passage")).select(item, key)
+    short = listed.where("k <= 0").select(item, "passage")
+    blocks = -(-short.count() // SHORT)
+    numbered = short.withColumn("b", F.pmod(F.xxhash64("passage"), F.lit(max(1, blocks))))
+    for b in range(blocks):
+        near = texts.join(F.broadcast(numbered.where(F.col("b") == b)), F.contains("__text", "passage")).select(item, key)  # about SHORT rows
+        found = near if found is None else found.unionByName(near)
+    return texts.join(listed.limit(0), F.lit(True)).select(item, key) if found is None else found.distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from sluice.functions import gates as G
 from sluice.operators import chains
 from sluice.operators import corpus as C
+from sluice.operators.thresholds import numbered
 from sluice.operators.validator import ABLATIONS, FLAGS, NAMED_TERMS, REASONS, accept
 from sluice.plans import oracle as O
 from sluice.sources import table
@@ -27,22 +28,29 @@ def query(sql: str | None = None):
     return register
 
 
-#: Items of the core and of each gate class, topics, providers and topic offsets by class.
-N_CORE, N_GATE, N_TOPICS = 90, 40, 20
+#: Providers, and the classes with their topic offsets, whether they are slop, and whether an adversary writes them.
 PROVIDERS = ("anthropic", "openai", "deepseek")
 CLASSES = [("C1", 0, False, False), ("C2", 0, True, False), ("C3", 3, True, True), ("C4", 5, False, False), ("Gintro", 7, True, True), ("Gevid", 11, True, True), ("Gscope", 13, True, True)]
+#: The gate classes have an item for every so many of the core's: 40 for 90.
+GATE, CORE = 40, 90
 
 
-@query("""WITH k(klass, off, slop, adversary) AS (VALUES """ + ", ".join(f"('{k}', {o}, {s}, {a})" for k, o, s, a in CLASSES) + f"""), i AS (SELECT range AS i FROM range({N_CORE}))
-SELECT klass || '-' || lpad(i::VARCHAR, 3, '0') AS id, klass, i, (i + off) % {N_TOPICS} AS topic, slop, CASE WHEN adversary THEN 'openai' ELSE (['anthropic', 'openai', 'deepseek'])[i % 3 + 1] END AS provider
-FROM k CROSS JOIN i WHERE klass LIKE 'C%' OR i < {N_GATE}""")
+@query("""WITH k(klass, off, slop, adversary) AS (VALUES """ + ", ".join(f"('{k}', {o}, {s}, {a})" for k, o, s, a in CLASSES) + f"""),
+n AS (SELECT count(*) AS n FROM labels), i AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels),
+t AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS t, count(*) OVER () AS topics FROM (SELECT DISTINCT source FROM documents))
+SELECT klass || '-' || lpad(i::VARCHAR, 6, '0') AS id, klass, i, source AS topic, slop, CASE WHEN adversary THEN 'openai' ELSE (['anthropic', 'openai', 'deepseek'])[i % 3 + 1] END AS provider
+FROM k CROSS JOIN i CROSS JOIN n JOIN t ON (i + off) % topics = t WHERE klass LIKE 'C%' OR i < {GATE} * n // {CORE}""")
 def spec_grid(spark, sf):
-    """Item specifications: the core's classes interleaved, then the gate classes; the adversary is the first provider but one's own."""
+    """Item specifications: as many items a core class as there are labels, over the documents' sources as topics; the adversary is the first provider but one's own."""
+    items = numbered(table(spark, sf, "labels").select("doc_id"), "doc_id", "i").select("i")
+    topics = numbered(table(spark, sf, "documents").select("source").distinct(), "source", "t")
+    sizes = table(spark, sf, "labels").agg(F.count("*").alias("n")).join(topics.agg(F.count("*").alias("topics")))  # one row
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("klass"), F.lit(o).alias("off"), F.lit(s).alias("slop"), F.lit(a).alias("adversary")) for k, o, s, a in CLASSES)))
-    grid = spark.range(N_CORE).select(F.col("id").alias("i"), kinds.alias("k")).select("i", "k.*").where(F.col("klass").startswith("C") | (F.col("i") < N_GATE))
+    grid = items.join(F.broadcast(sizes)).select("i", "n", "topics", kinds.alias("k")).select("i", "n", "topics", "k.*").where(F.col("klass").startswith("C") | F.expr(f"i < {GATE} * n div {CORE}"))
     adversary = next(p for p in PROVIDERS if p != "anthropic")
     turn = F.element_at(F.array(*map(F.lit, PROVIDERS)), (F.col("i") % len(PROVIDERS) + 1).cast("int"))
-    return grid.select(F.format_string("%s-%03d", "klass", "i").alias("id"), "klass", "i", F.pmod(F.col("i") + F.col("off"), F.lit(N_TOPICS)).alias("topic"), "slop", F.when(F.col("adversary"), adversary).otherwise(turn).alias("provider"))
+    named = grid.withColumn("t", F.pmod(F.col("i") + F.col("off"), "topics")).join(topics, "t")
+    return named.select(F.format_string("%s-%06d", "klass", "i").alias("id"), "klass", "i", F.col("source").alias("topic"), "slop", F.when(F.col("adversary"), adversary).otherwise(turn).alias("provider"))
 
 
 @query(O.sql(O.LEDGER, select="SELECT min(committed_date) AS window_start, max(committed_date) AS window_end, count(*) AS n FROM ledger"))

@@ -280,10 +280,11 @@ def cache_incremental(spark, sf):
     return both.groupBy("cached").agg(F.count("*").alias("n"), F.count_if("value").alias("rejected"))
 
 
-@query(f"""WITH RECURSIVE l(g, state) AS (SELECT 1, ({R.A}::BIGINT * {R.SEED} + {R.C}) % {R.MODULUS} UNION ALL SELECT g + 1, ({R.A}::BIGINT * state + {R.C}) % {R.MODULUS} FROM l WHERE g < 5000) SELECT g::BIGINT AS g, state, state % 360 AS draw FROM l""")
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), l(g, state) AS (SELECT 1, ({R.A}::BIGINT * {R.SEED} + {R.C}) % {R.MODULUS} UNION ALL SELECT g + 1, ({R.A}::BIGINT * state + {R.C}) % {R.MODULUS} FROM l, n WHERE g < n) SELECT g::BIGINT AS g, state, state % n AS draw FROM l, n""")
 def lcg_stream(spark, sf):
-    """The published generator's first 5000 states, found in parallel."""
-    return R.lcg_states(spark, 5000).withColumn("draw", F.col("state") % 360)
+    """The published generator's states, one for each document, and the document that each draws: found in parallel."""
+    size = table(spark, sf, "documents").agg(F.count("*").alias("n"))
+    return R.lcg_states(spark, F.col("n"), size).join(F.broadcast(size)).select("g", "state", (F.col("state") % F.col("n")).alias("draw"))  # one row
 
 
 ARMS = C.ARMS
