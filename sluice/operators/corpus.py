@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.validator import ABLATIONS, accept, validate
-from sluice.sources import stored, table
+from sluice.sources import spread, stored, table
 
 LEDGER_ROWS, FAKE_SHA = 200, "0" * 40
 #: Fixed value: the definition of a term that has none of its own.
@@ -24,7 +24,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     Labelled documents are the core: legit or slop by quality, structured where pos is even.
     The others are slop that fails one gate, by pos % 3.
     """
-    docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id")
+    docs, marks = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id")
     even, legit = F.col("doc_id") % 2 == 0, F.col("quality") == 1
     klass = (
         F.when(F.col("l_id").isNull(), F.element_at(F.array(*map(F.lit, GATES.values())), (F.col("doc_id") % 3 + 1).cast("int")))

@@ -17,7 +17,7 @@ from sluice.operators import lm
 from sluice.operators import retrieval as V
 from sluice.operators import scoring as S
 from sluice.plans import oracle as O
-from sluice.sources import shared_dir, stored, table
+from sluice.sources import shared_dir, spread, stored, table
 from sluice.streaming import scopes as W
 
 QUERIES: dict = {}
@@ -112,7 +112,7 @@ _REJECTED = f"CASE {_form(0)} WHEN 0 THEN FALSE WHEN 1 THEN FALSE WHEN 6 THEN FA
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("prose"))
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("prose")))
 
 
 @query(O.sql(SHOWN, select=f"SELECT pos, {_REJECTED} AS reject, {_form(0)} IN (0, 1) AS failed, {_calls(0)} AS attempts, CASE {_form(0)} WHEN 0 THEN 'ConnectionError: no answer' WHEN 1 THEN 'unreadable reply' END AS error FROM seen"))
@@ -168,7 +168,7 @@ ppl AS (SELECT pos, count(*) AS n, round(exp(least(avg(-ln(alone)), 20)), 4) AS
 
 
 def _bigram(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("prose"))
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("prose")))
     return lm.perplexities(docs, C.tokens(), F.col("pos") % 10 != 0)
 
 
@@ -206,7 +206,7 @@ before AS (SELECT DISTINCT text AS known FROM t WHERE pos % 2 = 0 AND n % 7 <> 0
 
 def _embedded(spark, sf):
     """Two runs over one cache: the even documents with a model that fails at times, then all with one that doesn't."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text")
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text"))
     path = f"{shared_dir(spark)}/embeddings-{uuid.uuid4().hex}"
     E.embedded(docs.where("pos % 2 = 0"), path, "letters", _letters_at_times)
     return E.embedded(docs, path, "letters", _letters), path
@@ -285,4 +285,4 @@ def streaming_validator(spark, sf):
 
 
 #: Parts that the replay comes in, and how long a scope's files may be apart.
-REPLAYED, LATE = 3, "2 hours"
+REPLAYED, LATE = 2, "2 hours"
