@@ -34,7 +34,7 @@ LEVEL = 1 << 14
 #: Tiers before the last hold this share of a term's postings, and so many of a rare term.
 SHARES, RARE = (1 / 16, 1 / 4), 256
 #: Rows of asked terms and postings in a block; documents of a block that may be scored in full for an item.
-ASKED_BLOCK, POSTING_BLOCK, IN_FULL = 8192, 1 << 20, 1024
+ASKED_BLOCK, POSTING_BLOCK, IN_FULL = 8192, 1 << 18, 1024
 #: A table of terms of so many rows at most is broadcast; a larger one is joined over so many parts of each term.
 LEXICON, PARTS = 100_000, 64
 
@@ -180,10 +180,10 @@ def _rows(q: list, at: list, score: list, rows: np.ndarray, ids: pa.Array) -> pa
 
 
 def _best(asked: pa.Table, postings: pa.Table, k: int) -> pa.Table:
-    """A block's k best documents of each item by what is seen, ties by id."""
+    """A block's k best documents of each item by what is seen, ties by id; none below the item's floor."""
     q, at, scored = [], [], []
     for item, score, _, rows, ids in _scores(asked, postings):
-        some = np.flatnonzero(score > 0)
+        some = np.flatnonzero(score >= item.column("floor")[0].as_py())
         if len(some) > k:
             some = some[score[some] >= np.partition(score[some], len(some) - k)[len(some) - k]]
         some = some[np.lexsort((some, -score[some]))][:k]
@@ -225,14 +225,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id",
     asked = materialize(terms.join(index.lexicon, "term").where("w > 0"), "asked")
     keys, sizes, top = ("q", "row"), (ASKED_BLOCK, POSTING_BLOCK), "q long, row long, id long, score long"
     best_first = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
-    out, waiting = None, asked
+    # floor: a score that k documents are known to reach
+    out, waiting = None, asked.withColumn("floor", F.lit(1).cast("long"))
     for tier in range(len(SHARES)):
         postings = index.postings.where(F.col("tier") <= tier)
-        now = waiting.select("q", "term", "w", F.col(f"rest_{tier}").alias("rest"))
+        now = waiting.select("q", "term", "w", "floor", F.col(f"rest_{tier}").alias("rest"))
         seen = in_blocks(now, postings, lambda a, b: _best(a, b, k), top, keys, sizes)
         kth = seen.withColumn("r", F.row_number().over(best_first)).where(F.col("r") == k).select("q", F.col("score").alias("reach"))
-        bounds = now.groupBy("q").agg(F.sum(F.col("w") * F.col("rest")).alias("bound")).join(kth, "q", "left").withColumn("reach", F.coalesce("reach", F.lit(1)))
-        bounds = materialize(bounds.where("bound < reach"), "bounds")  # a document without any seen term can't be among the k
+        reached = now.groupBy("q", "floor").agg(F.sum(F.col("w") * F.col("rest")).alias("bound")).join(kth, "q", "left")
+        reached = materialize(reached.select("q", "bound", F.coalesce("reach", "floor").alias("reach")), "bounds")
+        bounds = reached.where("bound < reach")  # a document without any seen term can't be among the k
         few = materialize(in_blocks(now.join(bounds, "q"), postings, _candidates, "q long, row long", keys, sizes), "candidates")
         proven = materialize(bounds.select("q").join(few.where("row is null"), "q", "left_anti"), "proven")
         exact = few.where("row is not null").join(proven, "q", "left_semi")
@@ -242,11 +244,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id",
         whole = whole.select("q", "row", "id", F.col("terms").alias("term"), _impact("tfs").alias("impact")).join(asked.select("q", "term", "w"), ["q", "term"])
         scored = whole.groupBy("q", "row", "id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
         out = scored if out is None else out.unionByName(scored)
-        waiting = materialize(waiting.join(proven, "q", "left_anti"), "waiting")
+        waiting = waiting.drop("floor").join(proven, "q", "left_anti").join(reached.select("q", F.col("reach").alias("floor")), "q")
+        waiting = materialize(waiting, "waiting")
         if waiting.isEmpty():
             break
     else:
-        rest = in_blocks(waiting.select("q", "term", "w", F.lit(0).cast("long").alias("rest")), index.postings, lambda a, b: _best(a, b, k), top, keys, sizes)
+        rest = in_blocks(waiting.select("q", "term", "w", "floor", F.lit(0).cast("long").alias("rest")), index.postings, lambda a, b: _best(a, b, k), top, keys, sizes)
         out = out.unionByName(rest.select(*out.columns))
     ranked = out.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
     return ranked.join(listed.select("q", "item"), "q").select(F.col("item").alias(item), "rank", F.col("id").alias(key), "score")
