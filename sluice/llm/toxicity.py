@@ -240,8 +240,8 @@ def fit_chain(texts: DataFrame, marked: DataFrame, categories: list[str] | None,
     At most `most` labelled rows are fitted on, those least in a hash of their key, so the sample
     has a bound; of these the driver gets the chosen words' columns only. Each model sees the words
     and the probabilities of the categories before it; in fitting, these are out-of-fold predictions,
-    whose words are chosen without the fold as well. Without categories two are derived from the
-    data: the overall label's rows on either side of their main direction. Rows with a null key or
+    whose words are chosen without the fold as well. With categories None two are derived from the
+    data (an empty list: none, a single model): the overall label's rows on either side of their main direction. Rows with a null key or
     null labels are left out; a key marked twice has the larger labels; a text that is copied is
     one observation, labelled as its least key is.
     """
@@ -266,7 +266,7 @@ def fit_chain(texts: DataFrame, marked: DataFrame, categories: list[str] | None,
     column[buckets] = np.arange(width)
 
     every = Rows(columns, at, width, np.ones((n, 1)))
-    names = [*(categories or DERIVED), overall]
+    names = [*(DERIVED if categories is None else categories), overall]
     if categories is None:
         upper = main_sides(every, y[overall] == 1)
         y |= {name: y[overall] * (upper == side) for name, side in zip(DERIVED, (True, False), strict=True)}
