@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -22,9 +23,8 @@ KINDS = ("assign", "access", "hex", "novel")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = (*KEYWORDS, "credential", "bearer", "authorization", "private key", "private_key")
 
-#: Common identifiers and code words: what a candidate's bytes are measured against, next to the text around it.
-IDENTIFIERS = " ".join(
-    """accessToken apiKey application authorization authToken base64 bearer buffer callback certificate className client
+#: Common identifiers and code words, which are on every page, beside the parts of words that are counted in the documents.
+IDENTIFIERS = """accessToken apiKey application authorization authToken base64 bearer buffer callback certificate className client
     clientSecret config configuration connection connectionString const container content context cookie credential
     credentials database default define description digest document element encoding endpoint environment example
     export expires function getElementById handler hashCode header headers hostname identifier identity import index
@@ -32,26 +32,48 @@ IDENTIFIERS = " ".join(
     password passphrase path payload placeholder private privateKey process production property protected public
     publicKey redirect refresh refreshToken register request resource response return schema secret secretKey security
     server service session sessionId signature static storage string struct template timestamp token undefined
-    username value variable version webhook 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
-    your_api_key_here changeme example_token xxxxxxxxxxxxxxxx 0000000000000000""".split()
-)
+    username value variable version webhook your_api_key_here changeme example_token""".split()
+#: Runs that are no secrets, in every dictionary.
+FILLERS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "x" * 16, "0" * 16]
+
+#: Parts of words and identifiers, with the sign before them, of 3 to LONGEST_PART characters; the PARTS most frequent are kept.
+#: All are shorter than a candidate, so a secret that is copied never becomes an identifier as a whole.
+PART, LONGEST_PART, PARTS = "[+/_=.-]?(?:[A-Z]?[a-z]+|[A-Z]+)", 15, 2176
+#: Every PAGE-th of them is on the page that a candidate is compressed with; the others are in the dictionary.
+PAGE = 17
 
 _CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.I | re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+_LETTER = re.compile("[A-Za-z]")
 #: Code points between a sensitive word, or a secret found so, and a candidate on either side; and those of text that prime the compressor.
 REACH, AROUND = 48, 256
 #: Least bytes of a candidate, and of what base spans leave of one.
 SHORTEST = 16
-#: Least share of a candidate's bytes that the primed compressor still needs.
-NOVELTY = 0.75
+#: Least share of a candidate's bytes that the primed compressor still needs, and the compressor's level.
+NOVELTY, LEVEL = 0.78, 1
+
 
+@lru_cache(maxsize=4)
+def _words(parts: str) -> tuple[bytes, bytes]:
+    """(dictionary, page) of the parts, joined by spaces and the most frequent first, and of the fixed words; see PAGE."""
+    ranked = parts.split()
+    page = " ".join([*IDENTIFIERS, *ranked[PAGE - 1 :: PAGE]])
+    del ranked[PAGE - 1 :: PAGE]
+    return " ".join([*FILLERS, *reversed(ranked)]).encode(), page.encode()
 
-def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Compressed bytes that candidate adds to its surroundings, under a dictionary of identifiers and those surroundings."""
-    around = (before + " " + after).encode()
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode() + b" " + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    squeeze = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
-    return len(squeeze.compress(around[-64:] + candidate.encode())) - len(squeeze.compress(around[-64:]))
+
+def marginal_bytes(candidate: str, before: str, after: str, parts: str = "") -> int:
+    """Compressed bytes that candidate adds to a page of identifiers and word parts, under a dictionary of more parts and its surroundings.
+
+    The page makes the symbols' codes those of words: letters of a name get short ones, a random string none,
+    whatever is around it. Without a letter it counts as digits.
+    """
+    if not _LETTER.search(candidate):
+        return -(-len(candidate) * 10 // 24)
+    words, page = _words(parts)
+    primed = zstandard.ZstdCompressionDict(words + f" {after} {before}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False)
+    return len(squeeze.compress(page + b" " + candidate.encode())) - len(squeeze.compress(page + b" "))
 
 
 def _uncovered(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -79,7 +101,7 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _novel(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+def _novel(text: str, taken: list[tuple[int, int]], parts: str) -> Iterator[tuple[str, int, int]]:
     """Candidates within REACH of a sensitive word, before or after it, or of a secret reached so, that are novel.
 
     What base spans leave of a candidate is measured if it is SHORTEST or more. A secret reaches on:
@@ -96,7 +118,7 @@ def _novel(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int,
     def secret(k: int) -> bool:
         if k not in known:
             a, b, base = pieces[k]
-            known[k] = base or marginal_bytes(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY * (b - a)
+            known[k] = base or marginal_bytes(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], parts) >= NOVELTY * (b - a)
         return known[k]
 
     def sweep(order: range, near) -> set[int]:
@@ -126,8 +148,8 @@ def _novel(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int,
             yield "novel", a, b
 
 
-def spans_of(text: str | None) -> str:
-    """All spans of one text as kind:start:end, by start, then kind in the order of KINDS; code points, end exclusive."""
+def spans_of(text: str | None, parts: str = "") -> str:
+    """All spans of one text as kind:start:end, by start, then kind in the order of KINDS; code points, end exclusive. parts: see word_parts."""
     if not text:
         return ""
     low = text.lower()  # only to skip texts that can't match; matching is on the text itself
@@ -138,7 +160,7 @@ def spans_of(text: str | None) -> str:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [("hex", *m.span()) for m in _LONG_HEX.finditer(text)]
     if any(k in low for k in CONTEXT_WORDS):
-        spans += list(_novel(text, [x[1:] for x in spans]))
+        spans += list(_novel(text, [x[1:] for x in spans], parts))
     spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -147,11 +169,6 @@ def spans_of(text: str | None) -> str:
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 
-@F.pandas_udf(T.StringType())
-def _spans_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(spans_of, na_action=None)
-
-
 @F.pandas_udf(T.StringType())
 def _redact_udf(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
@@ -171,26 +188,40 @@ def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def secret_spans(text: Column | str) -> Column:
+def word_parts(docs: DataFrame, text: str = "text") -> str:
+    """The most frequent parts of the words of all rows' whole texts, joined by spaces, most frequent first (ties: in code point order).
+
+    Counted on the executors; the driver gets PARTS rows at most. Without words it is empty.
+    """
+    parts = docs.select(F.explode(F.regexp_extract_all(text, F.lit(PART), F.lit(0))).alias("part")).where(F.length("part").between(3, LONGEST_PART))
+    return " ".join(r["part"] for r in parts.groupBy("part").count().orderBy(F.desc("count"), "part").limit(PARTS).collect())
+
+
+def secret_spans(text: Column | str, parts: str = "") -> Column:
     """The spans of a text column, as spans_of gives them. Null and empty texts have none."""
-    return _spans_udf(F.col(text) if isinstance(text, str) else text)
+
+    @F.pandas_udf(T.StringType())
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: spans_of(t, parts), na_action=None)
+
+    return spans(F.col(text) if isinstance(text, str) else text)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """docs with their secret spans in column `out`.
+    """docs with their secret spans in column `out`; docs is read twice, first for the parts of its words.
 
     Null or empty text: the empty string. Very long texts are scanned whole. Repeated rows and
     ties give the same spans; an empty table stays empty; other columns pass through, and a
     column already called `out` is replaced.
     """
     small_batches(docs.sparkSession)
-    return docs.withColumn(out, secret_spans(text))
+    return docs.withColumn(out, secret_spans(text, word_parts(docs, text)))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each secret span of the text replaced by [SECRET]; null stays null, other columns pass through."""
     small_batches(docs.sparkSession)
-    return docs.withColumn(text, _redact_udf(F.col(text), secret_spans(text)))
+    return docs.withColumn(text, _redact_udf(F.col(text), secret_spans(text, word_parts(docs, text))))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -758,6 +759,52 @@ def test_novel_spans_match_a_plain_version():
         assert got == plain_novel(text), text
 
 
+def planted(rng):
+    """(random strings, names that aren't secrets): keys over four alphabets; camel case, snake case, paths, dotted names, hosts, numbers and dates."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [letters + letters.upper() + "0123456789+/", letters + letters.upper() + "0123456789", letters + "0123456789", letters.upper() + "0123456789"]
+    words = """account address archive balance browser calendar category channel command comment company counter country currency customer
+        delivery device discount download editor factory feature filter folder gallery history invoice journal keyboard language layout library
+        license manager market member memory monitor network number office option order owner packet partner period picture player policy
+        position printer product profile project provider quality record region report result review schedule screen search section selector
+        shipping signal source station status storage summary supplier support system target template ticket traffic transfer update upload""".split()
+
+    def name():
+        w = [rng.choice(words) for _ in range(rng.randint(3, 5))]
+        return rng.choice([
+            w[0] + "".join(x.title() for x in w[1:]), "_".join(w), "/".join(w) + ".py", ".".join(w), f"{w[0]}{rng.randint(1, 99)}.{w[1]}.example.org",
+            "".join(rng.choice("0123456789") for _ in range(16)), f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{rng.randint(10, 23)}.00",
+        ])
+
+    keys = ["".join(rng.choice(alphabets[k % 4]) for _ in range(rng.randint(16, 44))) for k in range(400)]
+    return keys, [x for x in (name() for _ in range(600)) if len(x) >= 16][:400]
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_planted_secrets_are_told_from_names(spark, sf_dir, texts, counted):
+    rng, bodies = random.Random(31), [t for t in texts.values() if t and not secrets.spans_of(t)]
+    parts = secrets.word_parts(spark.read.parquet(f"{sf_dir}/documents.parquet")) if counted else ""
+
+    def reported(string):
+        body = rng.choice(bodies)
+        at = rng.randrange(len(body) + 1)
+        text = f"{body[:at]} the bearer is {string} {body[at:]}"
+        return f"novel:{at + 15}:{at + 15 + len(string)}" in secrets.spans_of(text, parts).split(",")
+
+    keys, names = planted(rng)
+    caught, wrong = sum(map(reported, keys)), sum(map(reported, names))
+    print(f"recall {caught / len(keys):.3f}, precision {caught / (caught + wrong):.3f}")
+    assert caught >= 0.9 * len(keys) and caught >= 0.9 * (caught + wrong)
+    assert not any("novel" in secrets.spans_of(f"bearer x@{host} of", parts) for host in ("mail6.example.com", "mail7.example.com"))
+
+
+def test_word_parts_match_a_plain_count(spark, sf_dir, texts):
+    count = Counter(m for t in texts.values() for m in re.findall(secrets.PART, t or "") if 3 <= len(m) <= secrets.LONGEST_PART)
+    best = sorted(count, key=lambda p: (-count[p], p))[: secrets.PARTS]
+    assert secrets.word_parts(spark.read.parquet(f"{sf_dir}/documents.parquet")) == " ".join(best)
+    assert secrets.word_parts(empty(spark)) == "" and secrets.word_parts(hard(spark).where("text is null")) == ""
+
+
 def test_secret_query(spark, sf_dir, texts):
     for r in queries.QUERIES["op10_secrets"](spark, sf_dir).collect():
         base = ",".join(x for x in brute_secrets(texts[r["doc_id"]] or "").split(",") if x)
@@ -766,5 +813,5 @@ def test_secret_query(spark, sf_dir, texts):
 
 
 def test_every_query_is_registered(spark, sf_dir):
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert queries.QUERIES["op8_mixing"](spark, sf_dir).count() == 200
