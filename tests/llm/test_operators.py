@@ -299,6 +299,8 @@ def test_toxicity_hard_cases(spark):
     out = toxicity.score_toxicity(hard(spark), marked)
     assert out.count() == 10 and "spans" in out.columns and out.where("p_toxic is null").count() == 0
     assert toxicity.score_toxicity(empty(spark), marked).count() == 0
+    alone = toxicity.score_toxicity(hard(spark), marked, categories=[])
+    assert [c for c in alone.columns if c.startswith("p_")] == ["p_toxic"] and alone.count() == 10
     assert toxicity.drop_toxic(hard(spark), marked.limit(0)).count() == 10
 
 
