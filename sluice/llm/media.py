@@ -28,6 +28,8 @@ from sluice.llm.shared import chunks, documents, materialize, new_path, small_ba
 WIDTH, FILL, HEADER = 576, 255, 33
 #: A digest that one in HOT rows have isn't joined by a merge; at most HOT digests are so frequent.
 HOT = 256
+#: The last bytes of a payload that the query's checksum is of.
+TAIL = 32
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _TAR = 512
 
@@ -187,24 +189,27 @@ def with_metadata(payloads: DataFrame, folder: str) -> DataFrame:
     return _near(kept).mapInArrow(run, _ddl(kept) + ", width int, height int, bits int")
 
 
-def _full(source, offset: int, length: int, digest: bytes) -> tuple:
+def _full(source, offset: int, length: int, digest: bytes, tail: int = WIDTH) -> tuple:
     image = _read(source, offset, length)
     own = hashlib.sha256(image).digest()
     if own != digest:
         raise ValueError(f"what is stored at {offset} isn't what was written")
     payload = decode(image)
-    return len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), length, own, features_of(payload)
+    return len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-tail:]), length, own, features_of(payload)
 
 
 _FULL = {"payload_bytes": "long", "payload_sha256": "binary", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "binary", "feature": "string"}
 _ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
-def with_features(payloads: DataFrame, folder: str) -> DataFrame:
-    """payloads with the columns of _FULL, of what is read back from the shards; an error if its digest isn't the row's."""
+def with_features(payloads: DataFrame, folder: str, tail: int = WIDTH) -> DataFrame:
+    """payloads with the columns of _FULL, of what is read back from the shards; an error if its digest isn't the row's.
+
+    tail: the last bytes of a payload, a row of samples by default, that tail_crc32 is of.
+    """
 
     def run(batches):
-        for names, batch, columns in _by_shard(batches, folder, _full):
+        for names, batch, columns in _by_shard(batches, folder, lambda *a: _full(*a, tail)):
             made = columns or [[]] * len(_FULL)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, _ARROW[k]) for c, k in zip(made, _FULL.values(), strict=True))], [*names, *_FULL])
 
@@ -224,7 +229,7 @@ def _ddl(df: DataFrame) -> str:
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, payloads, folder = store(documents(spark, sf_dir))
     # the digest is that of the stored form, as read back: with_features makes sure
-    known = materialize(with_features(with_metadata(payloads, folder), folder).drop("media_sha256"), "payloads")
+    known = materialize(with_features(with_metadata(payloads, folder), folder, TAIL).drop("media_sha256"), "payloads")
     hexed = lambda c: F.lower(F.hex(c))
     return attach(rows, known).select(
         F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes",

@@ -346,6 +346,19 @@ def test_media_query_has_equal_values_for_equal_texts(spark, sf_dir, docs):
     assert first["payload_sha256"] == hashlib.sha256(media.payload_of(first["text"].encode())).hexdigest() and len(first["media_sha256"]) == 64
 
 
+def test_media_query_on_hard_rows(spark, tmp_path):
+    """The contract's columns, the checksum of the last 32 bytes that are read back among them, on hard rows and bytes that aren't UTF-8."""
+    odd = spark.createDataFrame([(20 + k, bytearray(b)) for k, b in enumerate((b"a" * 575, b"a" * 576, b"a" * 577, b"\xff", b"\x00" * 600, b"\xc3(" * 400))], "doc_id long, b binary")
+    rows = hard(spark).select("doc_id", "text").unionByName(odd.selectExpr("doc_id", "cast(b as string) as text"))
+    rows.write.parquet(f"file://{tmp_path}/documents.parquet")
+    wanted = []
+    for r in rows.selectExpr("doc_id", "cast(coalesce(text, '') as binary) as b").collect():
+        payload = bytes(r["b"]) + b"\xff" * (-len(r["b"]) % 576 if r["b"] else 576)
+        wanted.append((r["doc_id"], len(r["b"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+    got = media.op5_media(spark, f"file://{tmp_path}").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, wanted))
+
+
 def test_media_shards_are_tar_files(spark):
     import tarfile
 
