@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sluice.sources import stored
 
 #: Rows of a count table that are broadcast.
-FREQUENT = 4096
+FREQUENT = 1 << 16
 #: Taken off each bigram's count and given to the unigrams, and what is added to a word's count.
 DISCOUNT, ADDED = 0.75, 0.1
 #: Fixed value: the greatest mean negative log likelihood that a perplexity is made of.
