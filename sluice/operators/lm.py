@@ -29,10 +29,10 @@ def look_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> D
 
 
 def pairs(tokens: DataFrame) -> DataFrame:
-    """(pos, train, u, v, k): a document's neighbouring words and how often it has them. tokens: pos, train, t (array)."""
+    """(pos, train, u, v): a document's neighbouring words, a row each time. tokens: pos, train, t (array)."""
     size = F.size("t")
     both = F.transform(F.sequence(F.lit(2), size), lambda i: F.struct(F.get("t", i - 2).alias("u"), F.get("t", i - 1).alias("v")))
-    return tokens.where(size >= 2).select("pos", "train", F.explode(both).alias("p")).groupBy("pos", "train", "p.u", "p.v").agg(F.count("*").alias("k"))
+    return tokens.where(size >= 2).select("pos", "train", F.explode(both).alias("p")).select("pos", "train", "p.u", "p.v")
 
 
 def bigram_costs(tokens: DataFrame, counted: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def bigram_costs(tokens: DataFrame, counted: DataFrame) -> DataFrame:
     """
     words = stored(tokens.where("train").select(F.explode("t").alias("v")).groupBy("v").agg(F.count("*").alias("c_v")), "words")
     whole = words.agg(F.coalesce(F.sum("c_v"), F.lit(0)).cast("double").alias("all"), F.count("*").cast("double").alias("kinds_v"))
-    some = stored(counted.groupBy("u", "v").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("train"), F.col("k")).otherwise(0)).alias("c_uv")), "bigrams")
+    some = stored(counted.groupBy("u", "v").agg(F.count("*").alias("n"), F.count_if("train").alias("c_uv")), "bigrams")
     contexts = stored(some.where("c_uv > 0").groupBy("u").agg(F.sum("c_uv").alias("c_u"), F.count("*").alias("kinds_u")), "contexts")
     after = stored(look_up(some, contexts, ["u"], "c_u"), "after")
     both = look_up(after, words, ["v"], "c_v").join(F.broadcast(whole))  # one row
@@ -60,8 +60,8 @@ def perplexities(texts: DataFrame, words: Column, train: Column) -> DataFrame:
     Models are learnt from texts where train is true. Null where fewer than two words are.
     """
     tokens = stored(texts.select("pos", F.coalesce(train, F.lit(False)).alias("train"), words.alias("t")), "tokens")
-    counted = stored(pairs(tokens), "pairs")
-    costs = bigram_costs(tokens, counted)
-    mean = lambda c: F.round(F.exp(F.least(F.sum(F.col(c) * F.col("k")) / F.sum("k"), F.lit(MOST))), 4)
-    scored = look_up(counted, costs, ["u", "v"], "n").groupBy("pos").agg(F.sum("k").alias("n"), mean("uni").alias("unigram"), mean("bi").alias("bigram"))
+    seen = pairs(tokens).drop("train")
+    costs = bigram_costs(tokens, pairs(tokens))
+    mean = lambda c: F.round(F.exp(F.least(F.avg(c), F.lit(MOST))), 4)
+    scored = look_up(seen, costs, ["u", "v"], "n").groupBy("pos").agg(F.count("*").alias("n"), mean("uni").alias("unigram"), mean("bi").alias("bigram"))
     return tokens.select("pos", "train").join(scored, "pos", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
