@@ -78,3 +78,35 @@ def test_rates_of_nothing_are_empty(spark, replay):
     replay([("", "", None, at(0))])
     replay(events("a", 1))
     assert W.rates(spark, replay.home).agg(F.sum("n")).first()[0] == 4
+
+
+def test_a_batch_is_one_gathering_without_python(spark, replay, tmp_path):
+    """No Python call or state store entry a scope: what is held is a table, of those whose time isn't over."""
+    replay(events("a", 0) + events("b", 1, "CANON.md") + events("c", 60, "CANON.md") + events("d", 119) + events("e", 120, "README.md"))
+    assert not (tmp_path / "home/state/state").exists()
+    rows = spark.createDataFrame(events("f", 121) + events("e", 125, "CANON.md") + events("c", 89, "VOCAB.md") + events("c", 100, "VOCAB.md"), W.EVENTS)
+    now = W.gathered(rows, spark.read.schema(W.SCOPES).parquet(f"{replay.home}/scopes/0"), "30 minutes")
+    plan = W.judged(W.let_go(now, "30 minutes"), spark.createDataFrame([], "sha string"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashPartitioning" in plan or "hashpartitioning" in plan
+    assert not any(word in plan for word in ("Pandas", "Python", "Arrow"))
+    held = {r["scope"]: (r["ts"], r["gone"], None if r["gone"] else {f["name"]: f["ts"] for f in r["files"]}) for r in now.collect()}
+    assert held == {  # a and b are let go and forgotten, d's files as well; c's last file but one is too late
+        "c": (at(100), False, {"CANON.md": at(60), "VOCAB.md": at(100)}), "d": (at(119), True, None),
+        "e": (at(125), False, {"README.md": at(120), "CANON.md": at(125)}), "f": (at(121), False, dict.fromkeys(FILES, at(121))),
+    }
+
+
+def test_files_from_before_1970_and_without_a_time(replay):
+    old = at(-60 * 24 * 365 * 60)  # 1964
+    got = replay([(s, n, c, old) for s, n, c, _ in events("a", 0)] + [("b", n, c, None) for _, n, c, _ in events("b", 0)])
+    assert got == {"a": (old, True, False)}
+
+
+def test_waiting_does_not_depend_on_the_time_zone(spark, replay):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        replay(events("a", 0, "CANON.md", "VOCAB.md"))
+        assert replay(events("a", 20, "README.md", "claims.json")) == {"a": (at(20), True, False)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
